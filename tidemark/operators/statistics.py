@@ -13,65 +13,71 @@ from tidemark import defaults as D
 from tidemark.operators.topk import cumulative_counts
 
 
-def log_factorial(n: Column) -> Column:
-    """``ln n!`` from Stirling's series, from exact values below 16.
-
-    A closed form needs no lookup table that grows with the largest count.
-    """
-    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
-    x = n.cast("double")
-    series = (
-        (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi)
-        + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
-    )
-    return F.when(n < 16, F.get(small, n.cast("int"))).otherwise(series)
+# ln n! below 16, where Stirling's series is not exact enough
+_SMALL = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(16))
+_HALF_LOG_2PI = repr(0.5 * math.log(2 * math.pi))
 
 
-def fisher_increase_p(
-    baseline: Column, baseline_total: Column, target: Column, target_total: Column
-) -> Column:
-    """P(at least ``target`` hits in the target period) under equal rates.
+def log_factorial(n: str) -> str:
+    """SQL text of ``ln n!`` for a whole number ``n`` held as a double.
 
-    The upper hypergeometric tail. Terms follow from each other by a ratio, so one
-    of them is evaluated with logarithms and the others by multiplication. Terms
-    more than ten deviations (and forty steps) from both the mode and the observed
-    count are below double precision and are not visited, which keeps the work
-    near the square root of the counts.
+    A closed form needs no lookup table that grows with the largest count.
     """
-    b, bt, t, tt = (c.cast("double") for c in (baseline, baseline_total, target, target_total))
-    hits = b + t
-    size = bt + tt
-    mode = F.floor((tt + 1) * (hits + 1) / (size + 2)).cast("double")
-    spread = F.sqrt(hits * tt * (size - hits) / (size * size))
-    reach = F.ceil(10 * spread).cast("double") + 40
-    first = F.greatest(t, mode - reach)
-    last = F.least(F.greatest(t, mode) + reach, hits, tt)
-    log_first = (
-        log_factorial(hits) - log_factorial(first) - log_factorial(hits - first)
-        + log_factorial(size - hits) - log_factorial(tt - first)
-        - log_factorial(size - hits - tt + first)
-        - log_factorial(size) + log_factorial(tt) + log_factorial(bt)
+    n = f"({n})"
+    return (
+        f"CASE WHEN {n} < 16 THEN get(array({_SMALL}), cast({n} AS int)) "
+        f"ELSE ({n} + 0.5D) * ln({n}) - {n} + {_HALF_LOG_2PI}D + 1 / (12 * {n}) "
+        f"- 1 / (360 * power({n}, 3)) + 1 / (1260 * power({n}, 5)) END"
     )
-    steps = F.when(last > first, F.sequence((first + 1).cast("bigint"), last.cast("bigint")))
-    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-
-    def add(acc: Column, k: Column) -> Column:
-        term = (
-            acc["term"] * (hits - k + 1) * (tt - k + 1) / (k * (size - hits - tt + k))
-        )
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
-
-    scale = F.coalesce(F.aggregate(steps, one, add)["sum"], F.lit(1.0))
-    trivial = (tt == 0) | (bt == 0) | (hits == 0)
-    return F.when(trivial, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_first) * scale))
 
 
 FISHER_COUNTS = ["baseline_count", "baseline_total", "target_count", "target_total"]
 
 
 def with_fisher_p(tests: DataFrame, p: str = "p_value") -> DataFrame:
-    """Add the p-value of each test row."""
-    return tests.withColumn(p, fisher_increase_p(*[F.col(c) for c in FISHER_COUNTS]))
+    """P(at least the target count in the target period) under equal rates.
+
+    The one-sided Fisher exact test: the upper hypergeometric tail. Terms follow
+    from each other by a ratio, so the first is evaluated with logarithms and the
+    others by multiplication. Terms more than ten deviations (and forty steps) from
+    both the mode and the observed count are below double precision and are not
+    visited, which keeps the work near the square root of the counts. The
+    intermediate columns are projected in stages so that none is evaluated twice.
+    """
+    b, bt, t, tt = FISHER_COUNTS
+    numbers = tests.selectExpr(
+        "*", f"cast({t} AS double) AS _t", f"cast({tt} AS double) AS _tt",
+        f"cast({bt} AS double) AS _bt", f"cast({b} + {t} AS double) AS _hits",
+        f"cast({bt} + {tt} AS double) AS _size",
+    )
+    reach = numbers.selectExpr(
+        "*", "cast(floor((_tt + 1) * (_hits + 1) / (_size + 2)) AS double) AS _mode",
+        "ceil(10 * sqrt(coalesce(try_divide(_hits * _tt * (_size - _hits), _size * _size), 0D)))"
+        " + 40D AS _reach",
+    )
+    bounds = reach.selectExpr(
+        "*", "greatest(_t, _mode - _reach) AS _first",
+        "least(greatest(_t, _mode) + _reach, _hits, _tt) AS _last",
+    )
+    over = ["_hits", "_size - _hits", "_tt", "_bt"]
+    under = ["_first", "_hits - _first", "_tt - _first", "_size - _hits - _tt + _first", "_size"]
+    log_first = " + ".join(log_factorial(x) for x in over) + "".join(
+        f" - ({log_factorial(x)})" for x in under
+    )
+    terms = bounds.selectExpr(
+        "*", f"CASE WHEN _tt > 0 AND _bt > 0 AND _hits > 0 THEN {log_first} END AS _log",
+        """aggregate(
+             CASE WHEN _last > _first THEN
+               sequence(cast(_first AS bigint) + 1, cast(_last AS bigint)) END,
+             struct(1D AS term, 1D AS sum),
+             (acc, k) -> struct(
+               acc.term * (_hits - k + 1) * (_tt - k + 1) / (k * (_size - _hits - _tt + k)) AS term,
+               acc.sum + acc.term * (_hits - k + 1) * (_tt - k + 1)
+                 / (k * (_size - _hits - _tt + k)) AS sum)).sum AS _scale""",
+    )
+    return terms.selectExpr(
+        *tests.columns, f"coalesce(least(1D, exp(_log) * coalesce(_scale, 1D)), 1D) AS {p}"
+    )
 
 
 def bh_q_by_p(p_counts: DataFrame, p: str = "p_value", count: str = "n") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import defaults as D
 from tidemark.operators import compare
 from tidemark.operators.facts import ISSUE
+from tidemark.operators.lineage import cut
 from tidemark.operators.statistics import anomaly_level, with_bh_q, with_fisher_p
 
 
@@ -37,7 +38,8 @@ def radar(
     negatives = compare.issues(
         evaluable, rollup.filter(F.col("negative") > 0)
     ).filter(F.col("polarity") == "negative")
-    tests = with_bh_q(with_fisher_p(negatives)).withColumn("is_provisional", ~F.col("complete"))
+    # the correction reads the tests several times
+    tests = with_bh_q(cut(with_fisher_p(negatives))).withColumn("is_provisional", ~F.col("complete"))
     level = anomaly_level(
         F.col("p_value"), F.col("q_value"), F.col("change_pp"), F.col("target_count")
     )

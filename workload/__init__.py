@@ -1,6 +1,6 @@
 """Registered queries: library operators bound to the test tables, with SQL twins."""
 
-from workload import aggregates  # noqa: F401
+from workload import aggregates, comparison  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

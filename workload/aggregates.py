@@ -152,7 +152,7 @@ SELECT product_id, CAST(rank AS INTEGER) AS rank, aspect, detail, negative_count
 FROM k JOIN n USING (product_id) WHERE rank <= 3""")
 def top_complaints(spark: SparkSession, sf: str) -> DataFrame:
     f = Facts(spark, sf)
-    return insights.top_complaints(insights.aspects(insights.overview(f.products, f.months), f.rollup))
+    return insights.top_complaints(insights.aspects(insights.overview(f.products, f.month_table), f.issue_table))
 
 
 @query(f"""WITH {sql_views()},
@@ -183,7 +183,7 @@ SELECT m.*, CAST(mention_count AS DOUBLE) / n AS mention_rate,
 FROM m JOIN n USING (product_id)""")
 def aspect_insights(spark: SparkSession, sf: str) -> DataFrame:
     f = Facts(spark, sf)
-    return insights.aspects(insights.overview(f.products, f.months), f.rollup)
+    return insights.aspects(insights.overview(f.products, f.month_table), f.issue_table)
 
 
 @query(f"""WITH {sql_views()}, {COVERAGE_SQL},

@@ -8,10 +8,13 @@ detail, the return flag is the polarity, the part name the quote.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import facts
+from tidemark.operators.lineage import cut
 
 RUN = "run-1"
 
@@ -155,6 +158,16 @@ class Facts:
     def rollup(self) -> DataFrame:
         return facts.issue_rollup(self.issue_facts)
 
+    # Rollups that several parts of a report read are stored once.
+
+    @cached_property
+    def month_table(self) -> DataFrame:
+        return cut(self.months)
+
+    @cached_property
+    def issue_table(self) -> DataFrame:
+        return cut(self.rollup)
+
 
 # --- the same views in SQL -------------------------------------------------------
 
