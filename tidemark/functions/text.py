@@ -73,7 +73,7 @@ def citation_markers(value: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
 
 
-def is_hard_case(title: Column, text: Column) -> Column:
+def is_hard_case(title: Column, text: Column, pattern: str = D.HARD_CASE_PATTERN) -> Column:
     """Reviews whose wording is easy to misread: negation, contrast, returns."""
     joined = F.concat_ws(" ", F.coalesce(title, F.lit("")), text)
-    return joined.rlike("(?iU)" + D.HARD_CASE_PATTERN)
+    return joined.rlike("(?iU)" + pattern)
