@@ -3,10 +3,16 @@
 A quote may differ from the source in letter case, white-space runs and the shape
 of quotes and dashes; it must start and end at word boundaries. The character map
 is one-to-one, so a position in the mapped text is a position in the original.
+
+Searching long texts is the cost here, so each step is bound to a name once (an
+array lambda serves as the binding) instead of being repeated in every branch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,14 +20,18 @@ from tidemark.defaults import MIN_EVIDENCE_WORDS, SHORT_PART_WORDS
 from tidemark.functions.text import WHITESPACE, words
 
 # Typographic quotes and dashes and what they are read as.
-_TYPOGRAPHIC = "’‘“”–—"
-_PLAIN = "''\"\"--"
+PLAIN_PUNCTUATION = {"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
 
 _WORD = r"[\p{L}\p{N}_]"
 
 
 def plain_punctuation(value: Column) -> Column:
-    return F.translate(value, _TYPOGRAPHIC, _PLAIN)
+    """Typographic marks as ASCII. One literal replacement per mark scans bytes and
+    leaves a text without marks as it is; ``translate`` would look up every letter."""
+    return reduce(
+        lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])),
+        PLAIN_PUNCTUATION.items(), value,
+    )
 
 
 def evidence_tokens(evidence: Column) -> Column:
@@ -43,55 +53,98 @@ def evidence_pattern(tokens: Column) -> Column:
     )
 
 
-def first_match(part: Column, pattern: Column) -> Column:
-    """First matching text in the mapped part; empty when there is none."""
-    return F.call_function("regexp_extract", plain_punctuation(part), pattern, F.lit(0))
+def is_short_part(part: Column) -> Column:
+    """At most four words; looks no further than the fifth."""
+    space, word = f"[{WHITESPACE}]", f"[^{WHITESPACE}]"
+    longer = f"^{space}*({word}+{space}+){{{SHORT_PART_WORDS}}}{word}"
+    return ~part.rlike(longer)
 
 
-def original_span(part: Column, pattern: Column, match: Column) -> Column:
-    """The same stretch of the original part, its own letters and spacing kept."""
-    before = F.get(F.split(plain_punctuation(part), pattern, 2), F.lit(0))
-    return F.substring(part, F.char_length(before) + 1, F.char_length(match))
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def is_short_part(part: Column) -> Column:
-    return F.size(words(part)) <= SHORT_PART_WORDS
+def search_parts(tokens: Column, plain_title: Column, plain_text: Column) -> Column:
+    """``struct<tokens, pattern, in_title, in_text>``: first match in each part.
 
+    The parts must be mapped already; an empty match means none.
+    """
+    def look(pattern: Column) -> Column:
+        return F.struct(
+            tokens.alias("tokens"), pattern.alias("pattern"),
+            F.call_function("regexp_extract", plain_title, pattern, F.lit(0)).alias("in_title"),
+            F.call_function("regexp_extract", plain_text, pattern, F.lit(0)).alias("in_text"),
+        )
 
-def find_evidence(
-    evidence: Column,
+    return bind(evidence_pattern(tokens), look)
+
+
+def _original(part: Column, plain_part: Column, pattern: Column, match: Column) -> Column:
+    """The matched stretch of the original part, its own letters and spacing kept."""
+    before = F.get(F.split(plain_part, pattern, 2), F.lit(0))
+    return F.substring(part, F.char_length(before) + 1, F.char_length(match))
+
+
+def judge_match(
+    found: Column,
     title: Column,
     text: Column,
+    plain_title: Column,
+    plain_text: Column,
+    short_title: Column,
+    short_text: Column,
     min_words: int = MIN_EVIDENCE_WORDS,
 ) -> Column:
-    """``struct<span, problem>``: the source stretch, or why there is none.
+    """``struct<span, problem>`` of a search: the source stretch, or why there is none.
 
     The title is tried before the body. A quote below ``min_words`` counts only in
     a part of at most four words.
     """
-    title = F.coalesce(title, F.lit(""))
-    tokens = evidence_tokens(evidence)
-    pattern = evidence_pattern(tokens)
-    long_enough = F.size(tokens) >= min_words
-    in_title = first_match(title, pattern)
-    in_text = first_match(text, pattern)
-    title_ok = (in_title != "") & (long_enough | is_short_part(title))
-    text_ok = (in_text != "") & (long_enough | is_short_part(text))
-    empty = F.coalesce(F.size(tokens) == 0, F.lit(True))
+    long_enough = F.size(found["tokens"]) >= min_words
+    title_ok = (found["in_title"] != "") & (long_enough | short_title)
+    text_ok = (found["in_text"] != "") & (long_enough | short_text)
+    none = F.lit(None).cast("string")
+    # no tokens make a pattern of boundaries only, which matches nothing of a text
+    empty = F.size(found["tokens"]) == 0
     span = (
-        F.when(empty, F.lit(None).cast("string"))
-        .when(title_ok, original_span(title, pattern, in_title))
-        .when(text_ok, original_span(text, pattern, in_text))
+        F.when(empty, none)
+        .when(title_ok, _original(title, plain_title, found["pattern"], found["in_title"]))
+        .when(text_ok, _original(text, plain_text, found["pattern"], found["in_text"]))
     )
     problem = (
         F.when(empty, "empty_evidence")
-        .when(title_ok | text_ok, F.lit(None).cast("string"))
-        .when((in_title != "") | (in_text != ""), "evidence_too_short")
+        .when(title_ok | text_ok, none)
+        .when((found["in_title"] != "") | (found["in_text"] != ""), "evidence_too_short")
         .otherwise("evidence_not_in_source")
     )
     return F.struct(span.alias("span"), problem.alias("problem"))
 
 
+def find_evidence(
+    evidence: Column,
+    title: Column,
+    text: Column,
+    min_words: int = MIN_EVIDENCE_WORDS,
+) -> Column:
+    """``struct<span, problem>`` of one quote in one review."""
+    title = F.coalesce(title, F.lit(""))
+    tokens = F.coalesce(evidence_tokens(evidence), F.array().cast("array<string>"))
+    parts = F.struct(
+        tokens.alias("tokens"), plain_punctuation(title).alias("title"),
+        plain_punctuation(text).alias("text"),
+    )
+
+    def search(p: Column) -> Column:
+        found = search_parts(p["tokens"], p["title"], p["text"])
+        return bind(found, lambda m: judge_match(
+            m, title, text, p["title"], p["text"], is_short_part(title), is_short_part(text),
+            min_words,
+        ))
+
+    return bind(parts, search)
+
+
 def highlight_spans(text: Column, evidences: Column) -> Column:
     """Non-overlapping marks ``array<struct<start, end, pos>>``, earliest first.
 
@@ -102,26 +155,19 @@ def highlight_spans(text: Column, evidences: Column) -> Column:
     placed = F.transform(
         evidences,
         lambda e, i: F.struct(
-            (F.instr(text, e) - 1).alias("start"),
-            i.alias("pos"),
-            (F.instr(text, e) - 1 + F.char_length(e)).alias("end"),
+            (F.instr(text, e) - 1).alias("start"), i.alias("pos"),
+            F.char_length(e).alias("length"),
         ),
     )
     found = F.array_sort(F.filter(placed, lambda p: p["start"] >= 0))
     none = F.array().cast("array<struct<start:int,end:int,pos:int>>")
     start = F.struct(F.lit(0).alias("cursor"), none.alias("marks"))
-    folded = F.aggregate(
-        found,
-        start,
-        lambda acc, p: F.when(p["start"] < acc["cursor"], acc).otherwise(
-            F.struct(
-                p["end"].alias("cursor"),
-                F.concat(
-                    acc["marks"],
-                    F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"),
-                                     p["pos"].alias("pos"))),
-                ).alias("marks"),
-            )
-        ),
-    )
-    return folded["marks"]
+
+    def add(acc: Column, p: Column) -> Column:
+        end = p["start"] + p["length"]
+        mark = F.struct(p["start"].alias("start"), end.alias("end"), p["pos"].alias("pos"))
+        return F.when(p["start"] < acc["cursor"], acc).otherwise(F.struct(
+            end.alias("cursor"), F.concat(acc["marks"], F.array(mark)).alias("marks")
+        ))
+
+    return F.aggregate(found, start, add)["marks"]

@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from tidemark import defaults as D
 from tidemark.functions.evidence import (
-    evidence_pattern,
+    bind,
     evidence_tokens,
-    first_match,
     is_short_part,
-    original_span,
+    judge_match,
+    plain_punctuation,
+    search_parts,
 )
 from tidemark.functions.text import is_filled, numbers, strip
 
@@ -51,65 +52,72 @@ def validate_label_documents(
         return strip(F.coalesce(value, F.lit("")))
 
     def unpack(item: Column) -> Column:
-        label = F.from_json(item, _LABEL)
-        compact = clean(label["code"])
+        return bind(F.from_json(item, _LABEL), lambda label: bind(
+            clean(label["code"]), lambda compact: read(item, label, compact)
+        ))
+
+    def read(item: Column, label: Column, compact: Column) -> Column:
+        """Either shape of a label: one ``aspect.detail`` code, or two fields."""
         dot = F.instr(compact, ".")
         is_compact = compact != ""
-        aspect = F.when(is_compact, F.when(dot > 0, F.substring_index(compact, ".", 1)))
-        detail = F.when(is_compact, F.when(dot > 0, F.substr(compact, dot + 1)))
-        return F.struct(
-            (F.substring(F.ltrim(item), 1, 1) == "{").alias("is_object"),
-            F.when(is_compact, aspect).otherwise(clean(label["aspect_code"])).alias("aspect"),
-            F.when(is_compact, detail).otherwise(clean(label["detail_code"])).alias("detail"),
-            clean(F.when(is_compact, label["sentiment"]).otherwise(label["polarity"]))
-            .alias("polarity"),
-            evidence_tokens(
-                clean(F.when(is_compact, label["evidence"]).otherwise(label["evidence_span"]))
-            ).alias("tokens"),
-        )
 
-    def match(label: Column) -> Column:
-        pattern = evidence_pattern(label["tokens"])
+        def pick(short: Column, long: Column) -> Column:
+            return F.when(is_compact, short).otherwise(long)
+
         return F.struct(
-            label.alias("label"), pattern.alias("pattern"),
-            first_match(F.col("_title"), pattern).alias("in_title"),
-            first_match(F.col("text"), pattern).alias("in_text"),
+            (F.substring(F.ltrim(item), 1, 1) == "{").alias("is_object"),
+            pick(F.when(dot > 0, F.substring_index(compact, ".", 1)), clean(label["aspect_code"]))
+            .alias("aspect"),
+            pick(F.when(dot > 0, F.substr(compact, dot + 1)), clean(label["detail_code"]))
+            .alias("detail"),
+            pick(clean(label["sentiment"]), clean(label["polarity"])).alias("polarity"),
+            evidence_tokens(pick(clean(label["evidence"]), clean(label["evidence_span"])))
+            .alias("tokens"),
         )
 
-    def judge(found: Column) -> Column:
-        label = found["label"]
-        long_enough = F.size(label["tokens"]) >= min_words
-        title_ok = (found["in_title"] != "") & (long_enough | F.col("_short_title"))
-        text_ok = (found["in_text"] != "") & (long_enough | F.col("_short_text"))
+    def judge(label: Column) -> Column:
+        """Code and polarity first; the text is searched only when they hold."""
         known = F.array_contains(
             F.col("_codes"), F.concat_ws(".", label["aspect"], label["detail"])
         ) & label["aspect"].isNotNull()
-        problem = (
+        coded = (
             F.when(~label["is_object"], "response_format_error")
             .when(~F.coalesce(known, F.lit(False)), "taxonomy_validation_error")
             .when(~label["polarity"].isin(*polarities), "taxonomy_validation_error")
-            .when((F.size(label["tokens"]) == 0) | ~(title_ok | text_ok),
-                  "evidence_validation_error")
-        )
-        span = F.when(
-            title_ok, original_span(F.col("_title"), found["pattern"], found["in_title"])
-        ).when(text_ok, original_span(F.col("text"), found["pattern"], found["in_text"]))
-        return F.struct(
-            problem.alias("problem"), label["aspect"].alias("aspect"),
-            label["detail"].alias("detail"), label["polarity"].alias("polarity"),
-            span.alias("evidence"),
         )
 
+        def located(problem: Column) -> Column:
+            return F.when(problem.isNull(), bind(
+                search_parts(label["tokens"], F.col("_plain_title"), F.col("_plain_text")),
+                lambda found: judge_match(
+                    found, F.col("_title"), F.col("text"), F.col("_plain_title"),
+                    F.col("_plain_text"), F.col("_short_title"), F.col("_short_text"), min_words,
+                ),
+            ))
+
+        def settle(problem: Column, place: Column) -> Column:
+            missing = F.when(place["problem"].isNotNull(), "evidence_validation_error")
+            return F.struct(
+                F.coalesce(problem, missing).alias("problem"), label["aspect"].alias("aspect"),
+                label["detail"].alias("detail"), label["polarity"].alias("polarity"),
+                place["span"].alias("evidence"),
+            )
+
+        return bind(coded, lambda problem: bind(
+            located(problem), lambda place: settle(problem, place)
+        ))
+
     judged = (
         documents.join(codes, "category", "left")
         .withColumns({
             "_title": title, "_raw": raw,
+            "_plain_title": plain_punctuation(title),
+            "_plain_text": plain_punctuation(F.col("text")),
             "_codes": F.coalesce("_codes", empty),
             "_short_title": is_short_part(title), "_short_text": is_short_part(F.col("text")),
         })
         .withColumn("_labels", F.transform("_raw", unpack))
-        .withColumn("_found", F.transform("_labels", match))
-        .withColumn("_judged", F.transform("_found", judge))
+        .withColumn("_judged", F.transform("_labels", judge))
     )
     problems = F.filter("_judged", lambda j: j["problem"].isNotNull())
     first = F.get(problems, F.lit(0))["problem"]

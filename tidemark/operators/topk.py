@@ -80,7 +80,7 @@ def cumulative_counts(
     keys: Sequence[str],
     value: str,
     count: str,
-    pieces: int = 256,
+    pieces: int = 64,
 ) -> DataFrame:
     """Running count over the values of each group, without one task per group.
 

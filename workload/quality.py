@@ -69,32 +69,32 @@ def token_extraction(spark: SparkSession, sf: str) -> DataFrame:
 # --- evidence --------------------------------------------------------------------
 
 # A quote is three words from the middle of the document, in lower case with doubled
-# spaces; in Spanish documents its last word is changed.
+# spaces; in Spanish documents its last word is changed. Very short texts have none.
+QUOTES_SQL = """
+q0 AS (SELECT doc_id, lang, source, text, regexp_extract(
+         substr(text, length(text) // 2 + 1), '\\s(\\S+\\s+\\S+\\s+\\S+)', 1) AS w FROM documents),
+q AS (SELECT doc_id, lang, source, text, regexp_replace(lower(CASE WHEN lang = 'es' AND w <> ''
+        THEN w || 'x' ELSE w END), '\\s+', '  ', 'g') AS quote FROM q0)
+"""
 
 
 def _quotes(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").filter(F.trim("text") != "")
-    w = words(F.col("text"))
-    middle = (F.size("w") / 2).cast("int")
-    last = F.get("w", middle + 2)
-    changed = F.when(F.col("lang") == "es", F.concat(F.coalesce(last, F.lit("")), F.lit("x"))).otherwise(last)
-    tokens = F.array_compact(F.array(F.get("w", middle), F.get("w", middle + 1), changed))
-    return docs.withColumn("w", w).select(
-        "doc_id", "lang", "source", "text", F.lower(F.array_join(tokens, "  ")).alias("quote")
+    text = F.col("text")
+    half = F.substr(text, F.floor(F.char_length(text) / 2).cast("int") + 1)
+    three = F.regexp_extract(half, r"\s(\S+\s+\S+\s+\S+)", 1)
+    changed = F.when((F.col("lang") == "es") & (F.col("w") != ""), F.concat("w", F.lit("x")))
+    quote = F.regexp_replace(F.lower(F.coalesce(changed, F.col("w"))), r"\s+", "  ")
+    return table(spark, sf, "documents").withColumn("w", three).select(
+        "doc_id", "lang", "source", "text", quote.alias("quote")
     )
 
 
-@query("""
-WITH d AS (SELECT doc_id, lang, text, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w
-           FROM documents WHERE trim(text) <> ''),
-q AS (SELECT doc_id, text, [x for x in [w[len(w) // 2 + 1], w[len(w) // 2 + 2],
-        CASE WHEN lang = 'es' THEN coalesce(w[len(w) // 2 + 3], '') || 'x'
-             ELSE w[len(w) // 2 + 3] END] if x IS NOT NULL] AS tokens FROM d),
-p AS (SELECT doc_id, lower(array_to_string(tokens, '  ')) AS quote, nullif(regexp_extract(text,
-        '(?i)(^|[^\\p{L}\\p{N}_])(' || array_to_string([regexp_escape(x) for x in tokens], '\\s+')
-        || ')($|[^\\p{L}\\p{N}_])', 2), '') AS span FROM q)
-SELECT doc_id, quote, span, CASE WHEN span IS NULL THEN 'evidence_not_in_source' END AS problem
-FROM p""")
+@query(f"""WITH {QUOTES_SQL},
+p AS (SELECT doc_id, quote, nullif(regexp_extract(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])('
+        || array_to_string([regexp_escape(x) for x in string_split(quote, '  ')], '\\s+')
+        || ')($|[^\\p{{L}}\\p{{N}}_])', 2), '') AS span FROM q)
+SELECT doc_id, quote, span, CASE WHEN quote = '' THEN 'empty_evidence'
+  WHEN span IS NULL THEN 'evidence_not_in_source' END AS problem FROM p""")
 def evidence_check(spark: SparkSession, sf: str) -> DataFrame:
     """Quotes looked for in whole documents."""
     found = find_evidence(F.col("quote"), F.col("source"), F.col("text"))
@@ -147,7 +147,7 @@ def _label_documents(spark: SparkSession, sf: str) -> DataFrame:
     content = F.to_json(F.struct(F.array(label, label).alias("labels")))
     return quoted.select(
         "doc_id", F.lit("all").alias("category"), F.lit("").alias("title"), "text",
-        F.when(F.col("source") == "src3", F.substring(content, 2, 1000000)).otherwise(content)
+        F.when(F.col("source") == "src3", F.substr(content, F.lit(2))).otherwise(content)
         .alias("content"),
     )
 
@@ -161,16 +161,14 @@ def _codes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.taxonomy_codes(seen)
 
 
-@query("""SELECT doc_id, CASE WHEN source = 'src3' THEN 'response_format_error'
+@query(f"""WITH {QUOTES_SQL}
+SELECT doc_id, CASE WHEN source = 'src3' THEN 'response_format_error'
   WHEN lang = 'de' OR source = 'src7' THEN 'taxonomy_validation_error'
-  WHEN lang = 'es' THEN 'evidence_validation_error' END AS problem,
-  CASE WHEN source = 'src3' OR lang IN ('de', 'es') OR source = 'src7' THEN 0 ELSE 1 END AS n_labels
-FROM documents WHERE trim(text) <> '' AND len(string_split(
-  trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) >= 6""")
+  WHEN lang = 'es' OR quote = '' THEN 'evidence_validation_error' END AS problem,
+  CASE WHEN source IN ('src3', 'src7') OR lang IN ('de', 'es') OR quote = '' THEN 0 ELSE 1 END
+    AS n_labels FROM q""")
 def label_document_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Label documents of texts with six words or more."""
-    docs = _label_documents(spark, sf).filter(F.size(words(F.col("text"))) >= 6)
-    judged = quality.validate_label_documents(docs, _codes(spark, sf))
+    judged = quality.validate_label_documents(_label_documents(spark, sf), _codes(spark, sf))
     return judged.select(
         "doc_id", "problem", F.coalesce(F.size("labels"), F.lit(0)).alias("n_labels")
     )
