@@ -137,6 +137,17 @@ def test_no_run_means_not_started(catalog):
     assert {r["status"] for r in covered.collect()} == {"insufficient_data"}
 
 
+def test_run_reviews_give_the_same_rollup(catalog):
+    scoped = facts.run_reviews(catalog.reviews, "fixture-run")
+    months = facts.month_rollup(facts.review_facts(scoped, catalog.results, catalog.labels))
+    same = facts.for_products(months, catalog.products).select(*catalog.months.columns)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, catalog.months.collect()))
+    none = catalog.products.filter("product_id = 'coffee'").withColumn("run_id", F.lit(None).cast("string"))
+    left = facts.for_products(months, none).collect()
+    assert {(r["product_id"], r["review_count"], r["succeeded"], r["scope_total"]) for r in left} == {
+        ("coffee", 6, 0, 6)}
+
+
 def test_sample_restricts_coverage_but_not_totals(spark, catalog):
     from tidemark.operators.sampling import month_sample
 
@@ -147,6 +158,9 @@ def test_sample_restricts_coverage_but_not_totals(spark, catalog):
     months = facts.month_rollup(facts.review_facts(scoped, catalog.results, catalog.labels))
     assert {(r["review_count"], r["scope_total"], r["succeeded"], r["succeeded_all"])
             for r in months.collect()} == {(6, 3, 3, 6)}
+    again = facts.run_reviews(catalog.reviews, "fixture-run", sample)
+    same = facts.month_rollup(facts.review_facts(again, catalog.results, catalog.labels))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, months.collect()))
 
 
 def test_review_filter_holds_on_one_label(catalog):

@@ -72,6 +72,29 @@ def scoped_reviews(
     )
 
 
+def run_reviews(reviews: DataFrame, run_id: str, sample: DataFrame | None = None) -> DataFrame:
+    """Eligible reviews under one run, without a look at the product table.
+
+    The usual case: reports are about one source mode, which has one active run.
+    Reviews then meet results and labels on the review alone and are never
+    shuffled by product. Which products a report covers is settled on the rollups
+    (:func:`for_products`). ``sample`` holds the members of every product, as
+    :func:`tidemark.operators.sampling.month_sample` gives them.
+    """
+    scoped = reviews.filter("eligible").select(
+        "product_id", "review_id", "rating", "reviewed_at",
+        month_index(F.col("reviewed_at")).alias("month_idx"), F.lit(run_id).alias("run_id"),
+    )
+    if sample is None:
+        return scoped.withColumn("in_sample", F.lit(True))
+    members = sample.select("review_id", F.lit(True).alias("member"))
+    return (
+        scoped.join(members, "review_id", "left")
+        .withColumn("in_sample", F.coalesce("member", F.lit(False)))
+        .drop("member")
+    )
+
+
 def review_facts(scoped: DataFrame, results: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per scoped review: status in its run, labelled flag, polarity flags.
 
@@ -156,6 +179,21 @@ def month_rollup(facts: DataFrame) -> DataFrame:
     )
 
 
+ANALYSIS_COLUMNS = (
+    "succeeded", "failed", "in_progress", "labelled", "succeeded_all",
+    *[f"{p}_reviews" for p in POLARITIES],
+)
+
+
+def for_products(months: DataFrame, products: DataFrame) -> DataFrame:
+    """The month rollup of the given products; those without a run count no analysis."""
+    joined = months.join(products.select("product_id", F.col("run_id").alias("_run")), "product_id")
+    none = F.lit(0).cast("bigint")
+    return joined.withColumns({
+        c: F.when(F.col("_run").isNull(), none).otherwise(F.col(c)) for c in ANALYSIS_COLUMNS
+    }).drop("_run")
+
+
 def product_rollup(months: DataFrame) -> DataFrame:
     """Product totals from the month rollup; coverage counts the supported range."""
     inside = in_supported_range(F.col("month_idx"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tidemark.defaults import STAGES
 from tidemark.functions.hashing import PROCESSING_SALT, order_hash
 from tidemark.functions.months import key_of_index, month_index
+from tidemark.operators.lineage import cut
 from tidemark.operators.topk import hash_rank, top_per_group
 
 
@@ -36,7 +37,8 @@ def month_sample(
 ) -> DataFrame:
     """The sample of each product: the first ``quota`` reviews by hash in each month.
 
-    ``sizes`` has ``product_id, sample_size``. Adds ``month_idx, order_hash, n,
+    ``sizes`` has ``product_id, sample_size``; a product without a size takes part
+    with every review. Adds ``month_idx, order_hash, n,
     quota, rank`` and ``position``, the review's place in an order whose every
     prefix fills the months in proportion.
     """
@@ -44,7 +46,8 @@ def month_sample(
         "product_id", "review_id", month_index(F.col("reviewed_at")).alias("month_idx")
     )
     counts = dated.groupBy("product_id", "month_idx").agg(F.count(F.lit(1)).alias("n"))
-    quotas = month_quotas(counts.join(sizes, "product_id"))
+    # one row per product and month, read by the ranking and by its hot-group counts
+    quotas = cut(month_quotas(counts.join(sizes, "product_id", "left")))
     hashed = dated.join(quotas, ["product_id", "month_idx"]).withColumn(
         "order_hash", order_hash(salt, F.col("review_id"))
     )
@@ -76,7 +79,7 @@ def product_month_order(
     if months:
         chosen = chosen.filter(key_of_index(F.col("month_idx")).isin(*sorted(set(months))))
     chosen = chosen.select("product_id", "review_id", "month_idx")
-    sizes = chosen.groupBy("product_id", "month_idx").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(chosen.groupBy("product_id", "month_idx").agg(F.count(F.lit(1)).alias("n")))
     hashed = chosen.join(sizes, ["product_id", "month_idx"]).withColumn(
         "order_hash", order_hash(salt, F.col("review_id"))
     )
@@ -146,10 +149,17 @@ def _greedy_picks(per_product: int):
 
 
 def stratified_sample(
-    reviews: DataFrame, per_product: int, seed: str, exclude: DataFrame | None = None
+    reviews: DataFrame,
+    per_product: int,
+    seed: str,
+    exclude: DataFrame | None = None,
+    products: DataFrame | None = None,
 ) -> DataFrame:
     """A fixed number of reviews per product, spread over ratings and months.
 
+    ``exclude`` holds reviews that may not be picked again, ``products`` the products
+    to sample (all without it).
+
     Turn ``i`` wants rating ``1 + i mod 5``, or any rating when none is left, from
     the least used month, first by a hash of (seed, product, turn, review). Each
     turn depends on the earlier ones, so the turns run per product in Python, but
@@ -160,6 +170,8 @@ def stratified_sample(
     pool = reviews.filter("eligible").select(
         "product_id", "review_id", "rating", month_index(F.col("reviewed_at")).alias("month_idx")
     )
+    if products is not None:
+        pool = pool.join(products.select("product_id"), "product_id", "left_semi")
     if exclude is not None:
         pool = pool.join(exclude.select("review_id"), "review_id", "left_anti")
     turns = F.explode(F.sequence(F.lit(0), F.lit(per_product - 1))).alias("turn")

@@ -17,26 +17,30 @@ def nearest_reviews(
     """The ``limit`` closest reviews of each query's product and months.
 
     ``queries`` has ``query_id, product_id, months, vector, model``; months are
-    ``YYYY-MM`` or null for all. Product and period are applied before any
-    distance is computed, norms once per vector. Every task keeps only its best
+    ``YYYY-MM`` or null for all. Product and period cut the reviews before they
+    meet the vectors; norms are computed once per vector. Every task keeps only its best
     ``limit`` per query, so a hot product does not gather in one place.
     """
     if not 1 <= limit <= 30:
         raise ValueError("limit must be between 1 and 30")
-    vectors = embeddings.select(
-        "review_id", "model", "embedding", norm(F.col("embedding")).alias("_norm")
-    )
-    candidates = (
-        reviews.filter("eligible")
-        .select("product_id", "review_id", month_index(F.col("reviewed_at")).alias("_month"))
-        .join(vectors, "review_id")
-    )
     asked = queries.select(
         "query_id", "product_id", "model", "vector",
         F.transform("months", index_of_key).alias("_months"),
         norm(F.col("vector")).alias("_query_norm"),
     )
     in_period = F.col("_months").isNull() | F.array_contains("_months", F.col("_month"))
+    dated = reviews.filter("eligible").select(
+        "product_id", "review_id", month_index(F.col("reviewed_at")).alias("_month")
+    )
+    scope = asked.select("product_id", "_months")
+    wanted = dated.join(
+        scope,
+        (dated["product_id"] == scope["product_id"])
+        & (scope["_months"].isNull() | F.array_contains(scope["_months"], dated["_month"])),
+        "left_semi",
+    )
+    vectors = embeddings.select("review_id", "model", "embedding")
+    candidates = wanted.join(vectors, "review_id").withColumn("_norm", norm(F.col("embedding")))
     scored = (
         candidates.join(asked, ["product_id", "model"])
         .filter(in_period)

@@ -51,18 +51,18 @@ def hash_rank(
     column) only ranks up to it are kept and slices past it are dropped unsorted.
     """
     keys = list(keys)
-    sliced = df.withColumn(
-        "_slice",
-        F.when(F.col(group_size) > slice_rows, F.substring(hash_col, 1, 3)).otherwise(F.lit("")),
-    )
+    prefix = F.substring(hash_col, 1, 3)
+    hot = F.col(group_size) > slice_rows
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # counts hot groups only; without any, the filter empties this side of the join
     offsets = (
-        sliced.filter(F.col("_slice") != "")
-        .groupBy(*keys, "_slice")
+        df.filter(hot)
+        .groupBy(*keys, prefix.alias("_slice"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
+    sliced = df.withColumn("_slice", F.when(hot, prefix).otherwise(F.lit("")))
     placed = sliced.join(offsets, [*keys, "_slice"], "left").withColumn(
         "_before", F.coalesce("_before", F.lit(0))
     )

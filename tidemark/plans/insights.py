@@ -84,11 +84,14 @@ def label_examples(
     rows = label_rows
     if wanted is not None:
         rows = rows.join(wanted.select(*keys), keys, "left_semi")
-    per_review = rows.groupBy("review_id", *keys).agg(
+    # a product has one run; keeping it in the key reuses the partitioning of the joins
+    per_review = rows.groupBy("review_id", "run_id", *keys).agg(
         F.max("rating").alias("rating"), F.max("reviewed_at").alias("reviewed_at"),
         F.min_by("evidence", "label_id").alias("evidence"),
     )
-    return top_per_group(per_review, keys, [F.desc("reviewed_at"), F.col("review_id")], k)
+    return top_per_group(
+        per_review.drop("run_id"), keys, [F.desc("reviewed_at"), F.col("review_id")], k
+    )
 
 
 def monthly(months: DataFrame) -> DataFrame:

@@ -124,15 +124,12 @@ class Facts:
     """The facts and rollups of one binding, built once per query."""
 
     def __init__(self, spark: SparkSession, sf: str, product: str = "segment",
-                 sizes: DataFrame | None = None, sample: DataFrame | None = None):
+                 sample: DataFrame | None = None):
         self.products = products(spark, sf, product)
         self.reviews = reviews(spark, sf, product)
         self.results = results(spark, sf)
         self.labels = labels(spark, sf)
-        scoped_products = self.products.select("product_id", "run_id")
-        if sizes is not None:
-            scoped_products = scoped_products.join(sizes, "product_id", "left")
-        self.scoped = facts.scoped_reviews(self.reviews, scoped_products, sample)
+        self.scoped = facts.run_reviews(self.reviews, RUN, sample)
 
     @property
     def review_facts(self) -> DataFrame:

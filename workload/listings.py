@@ -272,7 +272,7 @@ def _question_facts(spark: SparkSession, sf: str) -> questions.QuestionFacts:
     f = Facts(spark, sf)
     f.products = reviews.select("product_id").distinct().withColumn("run_id", F.lit(RUN))
     f.reviews = reviews
-    f.scoped = facts.scoped_reviews(reviews, f.products)
+    f.scoped = facts.run_reviews(reviews, RUN)
     over = insights.overview(f.products, f.month_table)
     aspects = insights.aspects(over, f.issue_table)
     return questions.question_facts(

@@ -109,8 +109,7 @@ SELECT product_id, month, review_count, scope_total, succeeded, failed, in_progr
   {sql_status('scope_total', 'succeeded', 'failed', 'in_progress')} AS status FROM cov""")
 def sampled_coverage(spark: SparkSession, sf: str) -> DataFrame:
     f = Facts(spark, sf)
-    wanted = sizes(f)
-    sampled = Facts(spark, sf, sizes=wanted, sample=sampling.month_sample(f.reviews, wanted))
+    sampled = Facts(spark, sf, sample=sampling.month_sample(f.reviews, sizes(f)))
     c = F.col
     return sampled.months.select(
         "product_id", key_of_index(c("month_idx")).alias("month"), "review_count", "scope_total",
