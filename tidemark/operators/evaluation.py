@@ -87,3 +87,68 @@ def export_rows(evaluations: DataFrame, reviews: DataFrame, products: DataFrame)
         F.coalesce("reviewer", F.lit("")).alias("reviewer"),
         F.col("status").alias("review_status"),
     )
+
+
+def trial_rows(
+    sample: DataFrame, reviews: DataFrame, products: DataFrame, results: DataFrame, labels: DataFrame,
+    run_id: str,
+) -> DataFrame:
+    """Predictions of one run for a listed sample, flat for a CSV file.
+
+    ``sample`` has ``position, review_id``; ``results`` and ``labels`` may hold other
+    runs. A review without a result shows as ``not_run``.
+    """
+    entry = F.struct(
+        F.col("aspect").alias("aspect_code"), F.col("detail").alias("detail_code"), "polarity",
+        F.col("evidence").alias("evidence_span"),
+    )
+    predicted = labels.filter(F.col("run_id") == run_id).groupBy("review_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("predicted")
+    )
+    done = results.filter(F.col("run_id") == run_id).select(
+        "review_id", "status", "attempt_count", "duration_ms", "input_chars", "error_history"
+    )
+    empty = F.lit("")
+    joined = (
+        sample.join(reviews, "review_id").join(products, "product_id")
+        .join(done, "review_id", "left").join(predicted, "review_id", "left")
+    )
+    return joined.orderBy("position").select(
+        F.concat(F.lit("trial-"), F.lpad(F.col("position").cast("string"), 3, "0"))
+        .alias("sample_id"),
+        "product_id", F.coalesce("product_name_ko", empty).alias("product_name_ko"), "category",
+        "review_id", month_key(F.col("reviewed_at")).alias("month"),
+        F.col("rating").alias("rating_reference_only"),
+        F.coalesce("title", empty).alias("title_en"), F.col("text").alias("text_en"),
+        F.coalesce("status", F.lit("not_run")).alias("status"),
+        F.coalesce("attempt_count", F.lit(0)).alias("attempt_count"), "duration_ms",
+        F.coalesce("input_chars", F.char_length("text")).alias("input_chars"),
+        F.coalesce(F.to_json("error_history"), F.lit("[]")).alias("error_history_json"),
+        F.coalesce(F.to_json("predicted"), F.lit("[]")).alias("predicted_labels_json"),
+        F.lit(run_id).alias("analysis_version"),
+    )
+
+
+# The columns people fill in on each kind of sheet, with defaults.
+BLIND_COLUMNS = {
+    "gold_labels_json": "", "ambiguity_or_error_notes": "", "reviewer": "",
+    "review_status": "pending",
+}
+PREDICTION_COLUMNS = {
+    "prediction_status": "not_run", "analysis_version": "", "predicted_labels_json": "",
+    "model_error": "", "gold_labels_json": "", "comparison_notes": "",
+}
+HARD_CASE_COLUMNS = {
+    "check_negation": "", "check_mixed_sentiment": "", "check_rating_text_conflict": "",
+    "check_shipping_vs_product": "", "review_notes": "",
+}
+
+
+def sheet(rows: DataFrame, prefix: str, to_fill: dict[str, str]) -> DataFrame:
+    """An evaluation sheet: review columns and the columns to fill in.
+
+    ``rows`` has ``position`` and the review and product columns of
+    :func:`sample_row`.
+    """
+    filled = [F.lit(value).alias(name) for name, value in to_fill.items()]
+    return rows.orderBy("position").select(*sample_row(F.col("position"), prefix), *filled)
