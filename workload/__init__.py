@@ -1,6 +1,14 @@
 """Registered queries: library operators bound to the test tables, with SQL twins."""
 
-from workload import aggregates, comparison, ingestion, listings, quality, samples  # noqa: F401
+from workload import (  # noqa: F401
+    aggregates,
+    comparison,
+    ingestion,
+    listings,
+    quality,
+    reports,
+    samples,
+)
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
