@@ -44,10 +44,15 @@ def test_fisher_against_exact_integers(spark):
 
 
 def test_fisher_with_large_counts(spark):
-    case = (50_000, 1_000_000, 50_400, 1_000_000)
-    near = fisher(spark, [case])[case]
-    # normal approximation with continuity correction
-    assert near == pytest.approx(0.0975, abs=0.003)
+    # reference values from 50-digit arithmetic
+    want = {
+        (50_000, 1_000_000, 50_400, 1_000_000): 0.09816432387787238,
+        (5_000, 100_000, 5_200, 100_000): 0.02155245430539905,
+        (20, 1_000_000, 45, 1_000_000): 0.001312981015689455,
+        (50_000_000, 1_000_000_000, 50_020_000, 1_000_000_000): 0.020101370267285687,
+    }
+    for case, p in fisher(spark, list(want)).items():
+        assert p == pytest.approx(want[case], rel=2e-8), case
 
 
 def brute_bh(ps):

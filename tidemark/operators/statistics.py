@@ -13,24 +13,60 @@ from tidemark import defaults as D
 from tidemark.operators.topk import cumulative_counts
 
 
-# ln n! below 16, where Stirling's series is not exact enough
-_SMALL = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(16))
-_HALF_LOG_2PI = repr(0.5 * math.log(2 * math.pi))
+def _stirling_rest(n: int) -> float:
+    """``ln n!`` less its leading terms ``(n + 1/2) ln n - n + ln sqrt(2 pi)``."""
+    if n == 0:
+        return -0.5 * math.log(2 * math.pi)
+    return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
 
 
-def log_factorial(n: str) -> str:
-    """SQL text of ``ln n!`` for a whole number ``n`` held as a double.
+# below 16 the series is not exact enough
+_SMALL = ", ".join(f"{_stirling_rest(i)!r}D" for i in range(16))
 
-    A closed form needs no lookup table that grows with the largest count.
-    """
+
+def _rest(n: str) -> str:
+    """SQL text of the part of ``ln n!`` that Stirling's leading terms leave."""
     n = f"({n})"
     return (
         f"CASE WHEN {n} < 16 THEN get(array({_SMALL}), cast({n} AS int)) "
-        f"ELSE ({n} + 0.5D) * ln({n}) - {n} + {_HALF_LOG_2PI}D + 1 / (12 * {n}) "
-        f"- 1 / (360 * power({n}, 3)) + 1 / (1260 * power({n}, 5)) END"
+        f"ELSE 1 / (12 * {n}) - 1 / (360 * power({n}, 3)) + 1 / (1260 * power({n}, 5)) END"
     )
 
 
+def _half_log(n: str) -> str:
+    return f"CASE WHEN ({n}) > 0 THEN 0.5D * ln({n}) ELSE 0D END"
+
+
+def _surprise(cell: str, row: str, column: str) -> str:
+    """``x ln(x / expected)`` of one cell of the two-by-two table."""
+    return (
+        f"CASE WHEN ({cell}) > 0 THEN ({cell}) * ln(({cell}) * _size / (({row}) * ({column}))) "
+        "ELSE 0D END"
+    )
+
+
+def _log_hypergeometric(k: str) -> str:
+    """SQL text of ``ln P(k hits in the target)`` from columns of :func:`with_fisher_p`.
+
+    Written with each cell against its expectation, so that the large logarithms of
+    the factorials never appear and cannot cancel; no lookup table is needed either.
+    """
+    missed = "_size - _hits"
+    cells = {
+        k: ("_hits", "_tt"), f"_hits - {k}": ("_hits", "_bt"),
+        f"_tt - {k}": (missed, "_tt"), f"{missed} - _tt + {k}": (missed, "_bt"),
+    }
+    margins = ["_hits", missed, "_tt", "_bt"]
+    parts = [f"- {0.5 * math.log(2 * math.pi)!r}D"]
+    for m in margins:
+        parts.append(f"+ {_half_log(m)} + {_rest(m)}")
+    for x in ["_size", *cells]:
+        parts.append(f"- {_half_log(x)} - {_rest(x)}")
+    for x, (row, column) in cells.items():
+        parts.append(f"- {_surprise(x, row, column)}")
+    return " ".join(parts)
+
+
 FISHER_COUNTS = ["baseline_count", "baseline_total", "target_count", "target_total"]
 
 
@@ -59,11 +95,7 @@ def with_fisher_p(tests: DataFrame, p: str = "p_value") -> DataFrame:
         "*", "greatest(_t, _mode - _reach) AS _first",
         "least(greatest(_t, _mode) + _reach, _hits, _tt) AS _last",
     )
-    over = ["_hits", "_size - _hits", "_tt", "_bt"]
-    under = ["_first", "_hits - _first", "_tt - _first", "_size - _hits - _tt + _first", "_size"]
-    log_first = " + ".join(log_factorial(x) for x in over) + "".join(
-        f" - ({log_factorial(x)})" for x in under
-    )
+    log_first = _log_hypergeometric("_first")
     terms = bounds.selectExpr(
         "*", f"CASE WHEN _tt > 0 AND _bt > 0 AND _hits > 0 THEN {log_first} END AS _log",
         """aggregate(
