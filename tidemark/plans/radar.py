@@ -68,10 +68,12 @@ def radar_items(
     evidence_ids: int = D.RADAR_EVIDENCE,
 ) -> DataFrame:
     """Radar rows as shown: rounded p and q, first evidence ids, product fields."""
-    rows = parts.levels.drop("meets_threshold", "complete", "polarity")
+    # few rows are left; stored, their true size decides how they meet the evidence
+    levels = parts.levels if evidence is None else cut(parts.levels)
+    rows = levels.drop("meets_threshold", "complete", "polarity")
     if evidence is not None:
         found = compare.first_evidence(
-            parts.levels, evidence.filter(F.col("polarity") == "negative"), evidence_ids
+            levels, evidence.filter(F.col("polarity") == "negative"), evidence_ids
         ).drop("polarity")
         rows = rows.join(found, [*compare.PAIR, *ISSUE], "left")
     if products is not None:
