@@ -8,10 +8,16 @@ very many fingerprints is cut into chunks, and pairs of chunks are walked.
 
 A task returns a spanning forest of its links and not the links, so a dense group costs one
 row a member.
+
+Three differing bits are far fewer than those of texts with, say, four fifths of their shingles in common, so
+``similar_documents`` walks the tries of several independent word fingerprints, which near copies
+hardly change, and accepts a pair by a wide fingerprint of its shingles, which estimates their
+similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components, unite
+from tidemark.llm import words as W
 from tidemark.llm.rows import ROW, cut, numbered, part_count
 
 BITS = 64
@@ -29,6 +36,7 @@ SLICE = 1 << 15  # shingles whose bits are counted at once
 FRONT = 1 << 19  # node pairs that are expanded at once
 PAIRS = 1 << 21  # fingerprint pairs that are compared at once
 LEAF = 16  # node pairs with as many fingerprint pairs or fewer are compared directly
+WIDE = 4 * BITS  # bits that estimate the similarity of shingles
 CHUNK = 8192  # fingerprints of one cell that a task takes from each side
 
 
@@ -84,10 +92,12 @@ def _leaf_links(fp: np.ndarray, a: tuple, b: tuple, same: np.ndarray, budget: in
         lo = hi
 
 
-def walk_tries(fp: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray,
-               budget: int) -> None:
+def walk_tries(fp: np.ndarray, wide: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]],
+               root: np.ndarray, budget: int, limit: int) -> None:
     """Unite all fingerprints within the budget in the node pairs that ``cells`` starts with.
 
+    A pair is accepted if at most ``limit`` bits of the columns of ``wide`` differ.
+
     ``cells`` has the ranges of both sides, in ``fp`` sorted within each range; a pair of equal
     ranges is a self-join. Node pairs go down one bit at a time, at most ``FRONT`` together.
     """
@@ -105,6 +115,9 @@ def walk_tries(fp: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]], root:
         leaf = (pairs <= LEAF) | (depth == BITS)
         if leaf.any():
             for i, j in _leaf_links(fp, (alo[leaf], ahi[leaf]), (blo[leaf], bhi[leaf]), same[leaf], budget):
+                if len(wide):
+                    alike = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= limit
+                    i, j = i[alike], j[alike]
                 unite(root, i, j)
             alo, ahi, blo, bhi, diff = front[:, ~leaf]
             same = same[~leaf]
@@ -128,20 +141,19 @@ def walk_tries(fp: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]], root:
         stack.append((children[:, keep], depth + 1))
 
 
-def _forest(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterator[pa.RecordBatch], budget: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Spanning forest of the links in the cells of one partition."""
-    read = [[np.asarray(b.column(c)) for c in range(5)] for b in batches]
+    read = [[np.asarray(c) for c in b.columns] for b in batches]
     if not read:
         return
-    block, low, high, part, raw = (np.concatenate(c) for c in zip(*read))
+    block, turn, low, high, part, node, raw, *wide = (np.concatenate(c) for c in zip(*read))
     raw = raw.view(np.uint64)
-    width = BITS // (budget + 1)
-    turn = (block * width).astype(np.uint64)
+    width, turn = BITS // (budget + 1), turn.astype(np.uint64)
     fp = np.where(turn > 0, (raw << turn) | (raw >> ((np.uint64(BITS) - turn) % np.uint64(BITS))), raw)
     # a range is a cell and chunk pair, and one side of it
     head = fp >> np.uint64(BITS - width)
     order = np.lexsort((fp, part, high, low, head, block))
-    fp, raw = fp[order], raw[order]
+    fp, node = fp[order], node[order]
     keys = np.stack([x[order].astype(np.int64) for x in (block, head, low, high, part)])
     new = np.ones(len(fp), dtype=bool)
     new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
@@ -156,18 +168,19 @@ def _forest(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
     b = np.concatenate([lo[own], lo[first + 1]]), np.concatenate([hi[own], hi[first + 1]])
     root = np.arange(len(fp))
     several = (a[1] - a[0]) * (b[1] - b[0]) > (a[0] == b[0])
-    walk_tries(fp, [(a[0][several], a[1][several]), (b[0][several], b[1][several])], root, budget)
+    walk_tries(fp, np.array([w.view(np.uint64)[order] for w in wide]),
+               [(a[0][several], a[1][several]), (b[0][several], b[1][several])], root, budget, limit)
     member = np.flatnonzero(root != np.arange(len(fp)))
-    values = raw.view(np.int64)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(values[root[member]]), pa.array(values[member])], names=["a", "b"])
+        [pa.array(node[root[member]]), pa.array(node[member])], names=["a", "b"])
 
 
-def near_links(classes: DataFrame, budget: int) -> DataFrame:
-    """Links ``a, b`` that connect all fingerprints with at most ``budget`` differing bits.
+def near_links(prints: DataFrame, budget: int, wide: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """Links ``a, b`` that connect all nodes with at most ``budget`` differing bits in some table.
 
-    ``classes`` has distinct ``fingerprint`` values. Each goes once to every block's cell, and to as
-    many chunk pairs as its cell has chunks; no fingerprint or pair within the budget is left out.
+    ``prints`` has ``node``, ``table`` (a small number) and ``fingerprint``; with ``wide`` columns a pair
+    is linked only if at most ``limit`` of their bits differ. Each row goes once to every block's cell, and to
+    as many chunk pairs as its cell has chunks; no pair within the budget is left out.
     """
     blocks = budget + 1
     width = BITS // blocks
@@ -177,21 +190,23 @@ def near_links(classes: DataFrame, budget: int) -> DataFrame:
         return F.call_function("shiftrightunsigned", F.col("fingerprint"), shift).bitwiseAND(
             F.lit((1 << width) - 1))
 
-    dealt = classes.select("fingerprint", F.explode(F.array(*map(F.lit, range(blocks)))).alias("block"))
-    dealt = dealt.select("fingerprint", "block", head(F.col("block")).alias("head"))
+    kept = ["node", "fingerprint", *wide]
+    dealt = prints.select("table", *kept, F.explode(F.array(*map(F.lit, range(blocks)))).alias("block"))
+    dealt = dealt.select((F.col("table") * blocks + F.col("block")).alias("block"), *kept,
+                         (F.col("block") * width).alias("turn"), head(F.col("block")).alias("head"))
     sizes = dealt.groupBy("block", "head").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     sizes = cut(sizes.select("block", "head", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    dealt = dealt.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, ["block", "head"], "left")
+    dealt = dealt.join(sizes, ["block", "head"], "left")
     chunks = F.coalesce("chunks", F.lit(1))
     dealt = dealt.select(
-        "block", "head", "fingerprint", chunks.alias("chunks"),
-        F.pmod(F.xxhash64("fingerprint"), chunks).cast("int").alias("chunk"))
+        "block", "head", "turn", *kept, chunks.alias("chunks"),
+        F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     dealt = dealt.select(
-        "block", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        F.col("chunk").alias("part"), "fingerprint", "head")
-    dealt = dealt.repartition(part_count(classes), "block", "head", "low", "high").drop("head")
-    return dealt.mapInArrow(lambda batches: _forest(batches, budget), "a long, b long")
+        "block", "turn", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
+        F.col("chunk").alias("part"), *kept, "head")
+    dealt = dealt.repartition(part_count(prints), "block", "head", "low", "high").drop("head")
+    return dealt.mapInArrow(lambda batches: _forest(batches, budget, limit), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -206,7 +221,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = fingerprints(docs, doc_id, text, shingle)
     classes = cut(rows.groupBy("fingerprint").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    roots = connected_components(near_links(classes.select("fingerprint"), budget))
+    prints = classes.select(F.col("fingerprint").alias("node"), F.lit(0).alias("table"), "fingerprint")
+    roots = connected_components(near_links(prints, budget))
     linked = cut(roots.withColumnRenamed("node", "fingerprint").join(classes, "fingerprint"))
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = cut(linked.select("fingerprint", "root").join(names, "root").select("fingerprint", "component_id"))
@@ -216,14 +232,86 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", "fingerprint", "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-             shingle: int = 5, budget: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose key names their component, all columns kept.
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of some hashes as a signed long."""
+    counts = np.zeros(BITS, np.int64)
+    for lo in range(0, len(hashes), SLICE):
+        part = hashes[lo: lo + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+# fixed values: one number for each independent hash
+_WORD_SALTS = tuple(np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64) for k in range(16))
+_WIDE_SALTS = tuple(np.uint64(0xC2B2AE3D27D4EB4F * (k + 1) % 2**64) for k in range(WIDE // BITS))
+_WIDE_NAMES = tuple(f"wide{k}" for k in range(WIDE // BITS))
+
+
+def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int) -> Iterator[pa.RecordBatch]:
+    """Row number, key, word fingerprints and wide fingerprint of each row."""
+    names = [ROW, "doc_id", "prints", *_WIDE_NAMES]
+    for batch in batches:
+        data, offsets = W.text_bytes(batch.column(2))
+        for lo, hi in W.row_groups(offsets):
+            found = W.words_of(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
+            prints, wide = [], []
+            for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
+                words = found.hash[a:b]
+                shingles = W.shingle_hashes(words, min(shingle, b - a)) if b > a else words
+                prints.append([_majority(W.mix(words ^ salt)) for salt in _WORD_SALTS[:tables]])
+                wide.append([_majority(W.mix(shingles ^ salt)) for salt in _WIDE_SALTS])
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(prints, pa.list_(pa.int64())),
+                 *[pa.array([w[k] for w in wide], pa.int64()) for k in range(len(_WIDE_NAMES))]], names=names)
+
+
+def similar_bits(similarity: float) -> int:
+    """Most differing wide bits of a pair that is taken to have this share of shingles in common.
+
+    A Jaccard similarity s of sets of like size is a cosine of 2s / (1 + s); its angle over pi is the
+    expected share of differing bits. The bound is one standard deviation above.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
+                      similarity: float = 0.8, tables: int = 3, budget: int = 3) -> DataFrame:
+    """``_row, doc_id, component, is_first`` for every row of ``docs``.
 
-    One row of each group stays. Keys are taken as unique; rows that share a key stay or go
-    together, and rows with a null key go unless their whole group has none.
+    Rows link if one of ``tables`` fingerprints of their words differs in at most ``budget`` bits and the wide
+    fingerprint of their shingles estimates a similarity of ``similarity`` or more; equal
+    fingerprints always link. ``component`` is a number that linked rows share, ``is_first`` marks
+    its row with the smallest key (then row number; null keys last). Null, blank and wordless texts
+    are equal to each other; repeated rows are copies; an empty table gives no rows; other columns are not read.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    source = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(doc_id).alias("doc_id"),
+                         F.col(text).alias("text"))
+    rows = cut(source.mapInArrow(
+        lambda it: _prints(it, shingle, tables),
+        ", ".join([f"{ROW} bigint, doc_id {kind}, prints array<bigint>", *(f"{w} bigint" for w in _WIDE_NAMES)])))
+    same = ["prints", *_WIDE_NAMES]
+    classes = cut(rows.groupBy(*same).agg(
+        F.min(ROW).alias("node"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least")))
+    prints = classes.select("node", *_WIDE_NAMES, F.posexplode("prints").alias("table", "fingerprint"))
+    roots = connected_components(near_links(prints, budget, _WIDE_NAMES, similar_bits(similarity)))
+    named = cut(classes.join(roots, "node", "left").select(
+        *same, "least", F.coalesce("root", "node").alias("component")))
+    firsts = named.groupBy("component").agg(F.min(F.col("least")).alias("first"))
+    firsts = cut(firsts.select("component", F.col(f"first.{ROW}").alias("first_row")))
+    of_class = cut(named.join(firsts, "component").select(*same, "component", "first_row"))
+    return rows.join(of_class, same).select(
+        ROW, "doc_id", "component", (F.col(ROW) == F.col("first_row")).alias("is_first"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of similar documents, all columns kept.
+
+    Keys are taken as unique; rows that share a kept key stay together.
     """
-    found = near_duplicates(docs, doc_id, text, shingle, budget)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+    kept = similar_documents(docs, doc_id, text, **options).where("is_first").select(
         F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
