@@ -37,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece numbers of every document."""
-    done = pieces.encode(docs, pieces.read_model(spark, PIECE_MODEL), threads=2)
+    done = pieces.encode(docs, pieces.read_model(spark, PIECE_MODEL))
     return done.select("doc_id", "lang", "source", "ids", "parity")
 
 

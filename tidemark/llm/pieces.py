@@ -28,9 +28,10 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_toke
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-HELD = 1 << 18  # distinct chunks whose pieces a worker keeps, in each of two generations
+HELD = 1 << 16  # distinct chunks whose pieces a task keeps, in each of two generations
+BLOCK = 1 << 13  # chunks in one batch of the library
 SHORT = 256  # longer chunks are not kept
-SLICE = 1 << 21  # characters of texts that are split at once
+SLICE = 1 << 20  # characters of texts that are split at once
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -205,7 +206,9 @@ class Encoder:
         known = self.young
         for c in distinct - known.keys() & self.old.keys():
             known[c] = self.old[c]
-        known.update(self._encode(list(distinct - known.keys())))
+        new = list(distinct - known.keys())
+        for k in range(0, len(new), BLOCK):
+            known.update(self._encode(new[k: k + BLOCK]))
         ids = [np.frombuffer(b"".join([known[c] for c in chunks]), np.int32) for chunks in split]
         parity = [self.odd.isdisjoint(chunks) for chunks in split] if self.odd else [True] * len(split)
         if len(known) > HELD:
@@ -214,6 +217,10 @@ class Encoder:
             self.odd &= self.old.keys()
         return ids, parity
 
+    def forget(self) -> None:
+        """Drop kept chunks, so that a worker that goes on to other tasks holds the model alone."""
+        self.young, self.old, self.odd = {}, {}, set()
+
 
 def _without_normaliser(data: bytes) -> bytes:
     """The model file with a normaliser that changes nothing."""
@@ -259,33 +266,6 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
             values, at, size = [], k + 1, 0
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", threads: int = 1) -> DataFrame:
-    """``docs`` with ``ids`` (piece numbers), ``parity`` and ``threads`` for the batches of one task.
-
-    ``parity`` tells whether the rebuilt model gave the original library's pieces; where it did
-    not, ``ids`` are the original's. Null and empty texts have no pieces and are at parity. All columns
-    and rows are kept. ``threads`` should not exceed ``spark.task.cpus``.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, threads)
-        for batch in batches:
-            for begin, texts in _runs(batch.column(at)):
-                ids, parity = encoder.encode(texts)
-                part = batch.slice(begin, len(texts))
-                sizes = np.array([len(i) for i in ids])
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, lists, pa.array(parity)], names=[*batch.schema.names, out, "parity"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{out}` array<int>, parity boolean")
-
-
 class Decoder:
     """Bytes of every piece, side by side."""
 
@@ -318,6 +298,42 @@ def _decoder(data: bytes) -> Decoder:
     return Decoder(data)
 
 
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids", threads: int = 2,
+           restored: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (piece numbers) and ``parity``; batches are encoded by ``threads`` threads.
+
+    ``parity`` tells whether the rebuilt model gave the original library's pieces; where it did
+    not, ``ids`` are the original's. With ``restored``, that column tells whether decoding the pieces gives
+    the text again. Null and empty texts have no pieces, are at parity and restored. All columns
+    and rows are kept; an empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value, threads)
+        decoder = _decoder(shared.value) if restored else None
+        for batch in batches:
+            for begin, texts in _runs(batch.column(at)):
+                ids, parity = encoder.encode(texts)
+                part = batch.slice(begin, len(texts))
+                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())), pa.array(parity)]
+                if restored:
+                    more.append(pa.array([decoder.decode(i) == (t or "") for i, t in zip(ids, texts)]))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *more], names=[*batch.schema.names, out, "parity", "restored"][: len(part.columns) + len(more)])
+        encoder.forget()
+
+    return docs.mapInArrow(run, _schema(docs, f"`{out}` array<int>", "parity boolean",
+                                        *(["restored boolean"] if restored else [])))
+
+
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of its piece numbers. Null lists give the empty text; broken byte runs a replacement sign."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -335,8 +351,7 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{out}` string")
+    return docs.mapInArrow(run, _schema(docs, f"`{out}` string"))
 
 
 def digest_of(ids: Column) -> Column:
