@@ -197,5 +197,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **
     A null key is a key like any other; rows that share a key go if one of them is contaminated.
     """
     report, _ = contamination(docs, benchmark, doc_id, **options)
-    bad = report.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    # stored, so that the planner knows how few they are and leaves the texts where they lie
+    bad = cut(report.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")

@@ -101,7 +101,7 @@ def hashed(gram: np.ndarray) -> np.ndarray:
 def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     column = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
-    for lo, hi in row_groups(offsets, 1 << 21):
+    for lo, hi in row_groups(offsets, 1 << 20):
         yield lo, column.slice(lo, hi - lo).to_pylist()
 
 
@@ -320,5 +320,6 @@ def keep_known(docs: DataFrame, doc_id: str = "doc_id", **columns: str) -> DataF
     """
     training = ~in_fold(F.col(doc_id)) & F.col(doc_id).isNotNull()
     found = identify(docs, training, doc_id, **columns)
-    bad = found.where("rejected").select(F.col("doc_id").alias("_bad")).distinct()
+    # stored, so that the planner knows how few they are and leaves the texts where they lie
+    bad = cut(found.where("rejected").select(F.col("doc_id").alias("_bad")).distinct())
     return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
