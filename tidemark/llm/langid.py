@@ -214,7 +214,7 @@ def _kneser_ney(langs: list[str], tables: dict[int, pa.Table], discounts: dict)
         kinds = np.bincount(cell, minlength=len(langs) * len(contexts))
         d = np.array([discounts.get((x, order), 0.5) for x in langs])
         weight = np.where(total > 0, np.repeat(d, len(contexts)) * kinds / np.maximum(total, 1), 1.0)
-        weight = np.minimum(weight, 1.0).reshape(len(langs), -1).T
+        weight = np.minimum(weight, 1.0).reshape(len(langs), len(contexts)).T
         below = np.full((len(keys), len(langs)), 2.0**-16) if lower is None else \
             lower[np.searchsorted(model.keys[order - 1], suffix[first])]
         p = weight[of_context[first]] * below
