@@ -19,7 +19,9 @@ def test_names_agree():
 
 
 def test_flagship_runs(spark):
-    assert {"level", "p_value", "q_value"} <= set(entry.entry(spark).columns)
+    rows = entry.entry(spark).collect()
+    assert {r["level"] for r in rows} == {"anomaly", "watch"}
+    assert sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1))
 
 
 @pytest.mark.parametrize("name", ["monthly_stats", "coverage_by_month", "comparison_signal", "import_waterfall", "cosine_topk"])

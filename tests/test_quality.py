@@ -195,6 +195,11 @@ def test_quotable_percents(spark, succeeded, values):
         "s bigint, p double, n double, t array<struct<mention_count: bigint, negative_count: bigint, positive_count: bigint>>")
     got = rows.select(answers.quotable_percents(F.col("s"), F.col("p"), F.col("n"), F.col("t"))).first()[0]
     assert got == values
+    more = rows.select(answers.quotable_percents(
+        F.col("s"), F.col("p"), F.col("n"), F.col("t"), F.expr("array(0.125D, null, 0.3D)"),
+        F.expr("array(named_struct('baseline_rate', 0.1D, 'target_rate', 0.4333D, 'change_pp', 33.33D),"
+               " named_struct('baseline_rate', cast(null as double), 'target_rate', 0.5D, 'change_pp', 1D))"))).first()[0]
+    assert more == (values + [12.5, 30.0, 10.0, 43.3, 33.3] if values else [])
 
 
 @pytest.mark.parametrize("stored, now, stale", [
@@ -234,12 +239,12 @@ def test_digest_sources_number_each_review_once(spark):
         [(1, 1, "negative", 1, "r1", "bad"), (1, 1, "negative", 2, "r9", "worse"), (1, 1, "positive", 1, "r2", "good"),
          (1, 2, "negative", 1, "r1", "bad again"), (1, 2, "positive", 1, "r3", "x" * 300)],
         "query_id int, topic_rank int, polarity string, example_rank int, review_id string, text string")
-    related = spark.createDataFrame([(1, 1, "r2", "a"), (1, 2, "r4", "b \n c"), (1, 3, "r5", "c")],
-                                    "query_id int, rank int, review_id string, text string")
+    related = spark.createDataFrame([(1, 1, "r2", "t", "a"), (1, 2, "r4", "t", "b \n c"), (1, 3, "r5", None, "c")],
+                                    "query_id int, rank int, review_id string, title string, text string")
     got = answers.digest_sources(examples, related).orderBy("number").collect()
     assert [(r["number"], r["review_id"], r["label"]) for r in got] == [
         (1, "r1", "negative"), (2, "r2", "positive"), (3, "r3", "positive"), (4, "r4", "related")]
-    assert got[0]["text"] == "bad" and len(got[2]["text"]) == 100 and got[3]["text"] == "b c"
+    assert got[0]["text"] == "bad" and len(got[2]["text"]) == 100 and got[3]["text"] == "t b c"
 
 
 # --- evaluation

@@ -54,10 +54,9 @@ def brute_sample(rows, size, salt="processing-order"):
     return picked, [i for _, _, i in order]
 
 
-@pytest.mark.parametrize("slice_rows", [20, 10**6])
-def test_month_sample_and_processing_order(spark, reviews, slice_rows):
+def test_month_sample_and_processing_order(spark, reviews):
     sizes = spark.createDataFrame([("p1", 70), ("p2", 500)], "product_id string, sample_size int")
-    sample = sampling.month_sample(reviews, sizes, slice_rows=slice_rows)
+    sample = sampling.month_sample(reviews, sizes)
     data = [r for r in reviews.collect() if r["eligible"]]
     staged = sampling.staged_sample(sample.drop("sample_size"), sizes).collect()
     for product, size in (("p1", 70), ("p2", 500)):

@@ -70,7 +70,7 @@ def test_topics_and_faq(spark):
     got = search.nearest_topics(queries, search.topic_vectors(topics)).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["detail"]) for r in got] == [(1, 1, "x"), (1, 2, "z"), (2, 1, "w")]
     assert got[0]["similarity"] == round(cos([1.0, 0.1], [1.0, 0.0]), 3)
-    faq = spark.createDataFrame([("k1", [1.0, 0.0]), ("k2", [1.0, 1.0])], "faq_key string, vector array<float>")
+    faq = spark.createDataFrame([("k1", [1.0, 0.0], 0), ("k2", [1.0, 1.0], 1)], "faq_key string, vector array<float>, position int")
     best = {r["query_id"]: r["faq_key"] for r in search.best_faq(queries, faq).collect()}
     assert best == {1: "k1"}
 

@@ -41,7 +41,6 @@ WINDOW_MIN_TOTAL = 150
 WINDOW_MAX_TOTAL = 600
 WINDOW_CENTER = 375
 PRODUCTS_PER_CATEGORY = 8
-PROFILE_METADATA_CANDIDATES = 500
 PROFILE_TOP = 100
 
 # Staged processing of a sample: prefix sizes before "everything".
@@ -96,3 +95,4 @@ FAQ_QUESTIONS = (
     ("recent_change", "최근에 품질이 달라졌나요?"),
     ("fit_for", "어떤 사람에게 잘 맞나요?"),
 )
+CHANGES_IN_DIGEST = 2

@@ -166,13 +166,22 @@ def audit_cited_reviews(answers: DataFrame) -> DataFrame:
 
 def quotable_percents(
     succeeded: Column, positive_share: Column, negative_share: Column, topics: Column,
+    complaints: Column | None = None, changes: Column | None = None,
     minimum: int = D.MIN_ANALYZED_FOR_RATES,
 ) -> Column:
     """Percentages an answer may quote; none below the minimum sample.
 
     ``topics`` is an array of structs with ``mention_count, negative_count,
-    positive_count``. The overall shares come first.
+    positive_count``, ``complaints`` one of the top complaints' negative rates and
+    ``changes`` one of structs with ``baseline_rate, target_rate, change_pp``. The overall
+    shares come first, then topics, complaints and, per change, before, after and
+    the size of the change.
     """
+    complaints = F.array().cast("array<double>") if complaints is None else complaints
+    changes = F.from_json(
+        F.lit("[]"), "array<struct<baseline_rate: double, target_rate: double, change_pp: double>>"
+    ) if changes is None else changes
+
     def share(value: Column) -> Column:
         return F.bround(value * 100, 1)
 
@@ -181,7 +190,13 @@ def quotable_percents(
     by_topic = F.flatten(F.transform(mentioned, lambda t: F.array(
         percent(t["negative_count"], succeeded), percent(t["positive_count"], succeeded)
     )))
-    return F.when(succeeded >= minimum, F.concat(overall, by_topic)).otherwise(
+    by_complaint = F.transform(F.filter(complaints, lambda r: r.isNotNull()), share)
+    rated = F.filter(changes, lambda c: c["baseline_rate"].isNotNull() & c["target_rate"].isNotNull())
+    by_change = F.flatten(F.transform(rated, lambda c: F.array_compact(F.array(
+        share(c["baseline_rate"]), share(c["target_rate"]), F.bround(F.abs(c["change_pp"]), 1)
+    ))))
+    everything = F.concat(overall, by_topic, by_complaint, by_change)
+    return F.when(succeeded >= minimum, everything).otherwise(
         F.array().cast("array<double>")
     )
 
@@ -191,7 +206,8 @@ def digest_sources(examples: DataFrame, related: DataFrame) -> DataFrame:
 
     ``examples``: ``query_id, topic_rank, polarity, example_rank, review_id, text``;
     the first negative, then the first positive quote of each topic. ``related``:
-    ``query_id, rank, review_id, text``; the first two related reviews follow. A
+    ``query_id, rank, review_id, title, text``; the first two related reviews follow, title
+    and text together. A
     review already listed is not repeated.
     """
     first = examples.filter(
@@ -204,7 +220,8 @@ def digest_sources(examples: DataFrame, related: DataFrame) -> DataFrame:
     )
     extra = related.filter(F.col("rank") <= D.RELATED_IN_DIGEST).select(
         "query_id", "review_id", F.lit(D.RELATED_LABEL).alias("label"),
-        F.substring(collapse(F.col("text")), 1, D.DIGEST_EXCERPT_CHARS).alias("text"),
+        F.substring(
+            collapse(F.concat_ws(" ", "title", "text")), 1, D.DIGEST_EXCERPT_CHARS).alias("text"),
         F.struct(F.lit(1).alias("part"), F.col("rank").cast("int").alias("a"),
                  F.lit(0).alias("b")).alias("place"),
     )

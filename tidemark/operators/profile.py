@@ -126,14 +126,14 @@ def window_order() -> list[F.Column]:
 def ranked_candidates(
     windows: DataFrame,
     metadata: DataFrame,
-    looked_up: int = D.PROFILE_METADATA_CANDIDATES,
     top: int = D.PROFILE_TOP,
+    looked_up: int | None = None,
 ) -> DataFrame:
     """The first candidates that have metadata, in rank order.
 
-    Metadata is looked up for the first ``looked_up`` windows only; those without
-    any are left out before the final ``top``.
+    Windows without metadata are left out before the final ``top``. ``looked_up``
+    limits the windows that are considered, best first; by default all are.
     """
-    first = windows.orderBy(*window_order()).limit(looked_up)
+    first = windows if looked_up is None else windows.orderBy(*window_order()).limit(looked_up)
     described = first.join(metadata.select("parent_asin", *compact_metadata()), "parent_asin")
     return described.orderBy(*window_order()).limit(top)

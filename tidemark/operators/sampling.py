@@ -33,7 +33,7 @@ def month_quotas(counts: DataFrame, size: str = "sample_size") -> DataFrame:
 
 
 def month_sample(
-    reviews: DataFrame, sizes: DataFrame, salt: str = PROCESSING_SALT, slice_rows: int = 1_000_000
+    reviews: DataFrame, sizes: DataFrame, salt: str = PROCESSING_SALT
 ) -> DataFrame:
     """The sample of each product: the first ``quota`` reviews by hash in each month.
 
@@ -52,7 +52,7 @@ def month_sample(
         "order_hash", order_hash(salt, F.col("review_id"))
     )
     return hash_rank(
-        hashed, ["product_id", "month_idx"], "order_hash", "review_id", "n", "quota", slice_rows
+        hashed, ["product_id", "month_idx"], "order_hash", "review_id", "quota"
     ).withColumn("position", (F.col("rank") - 0.5) / F.col("quota"))
 
 
@@ -83,7 +83,7 @@ def product_month_order(
     hashed = chosen.join(sizes, ["product_id", "month_idx"]).withColumn(
         "order_hash", order_hash(salt, F.col("review_id"))
     )
-    return hash_rank(hashed, ["product_id", "month_idx"], "order_hash", "review_id", "n")
+    return hash_rank(hashed, ["product_id", "month_idx"], "order_hash", "review_id")
 
 
 def with_stage(ordered: DataFrame, rank: str, size: str, stages: Sequence[int] = STAGES) -> DataFrame:

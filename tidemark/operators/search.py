@@ -58,23 +58,22 @@ def search_coverage(
 ) -> DataFrame:
     """Embedded and total reviews in each query's product and months.
 
-    Counted per product and month first, then looked up by the queries.
+    Reviews are cut to the asked products and months, counted, and looked up by the
+    queries.
     """
-    embedded = embeddings.select("review_id", "model").withColumn("_e", F.lit(1))
-    models = embedded.groupBy("review_id").agg(F.collect_set("model").alias("models"))
+    wanted = queries.select(
+        "query_id", "product_id", "model",
+        F.explode(F.array_distinct(F.transform("months", index_of_key))).alias("_month"),
+    )
     counted = (
         reviews.filter("eligible")
         .select("product_id", "review_id", month_index(F.col("reviewed_at")).alias("_month"))
-        .join(models, "review_id", "left")
+        .join(wanted.select("product_id", "_month").distinct(), ["product_id", "_month"], "left_semi")
     )
     totals = counted.groupBy("product_id", "_month").agg(F.count(F.lit(1)).alias("total"))
-    per_model = counted.select(
-        "product_id", "_month", F.explode("models").alias("model")
-    ).groupBy("product_id", "_month", "model").agg(F.count(F.lit(1)).alias("embedded"))
-    wanted = queries.select(
-        "query_id", "product_id", "model",
-        F.explode(F.array_distinct(F.transform("months", index_of_key))).alias("_month"),
-    )
+    per_model = counted.join(embeddings.select("review_id", "model"), "review_id").distinct().groupBy(
+        "product_id", "_month", "model"
+    ).agg(F.count(F.lit(1)).alias("embedded"))
     found = wanted.join(totals, ["product_id", "_month"], "left").join(
         per_model, ["product_id", "_month", "model"], "left"
     )
@@ -111,9 +110,14 @@ def nearest_topics(
     """The ``k`` topics closest to each query: rank, aspect, detail, similarity.
 
     ``queries`` has ``query_id, category, vector``; ``topics`` comes from
-    :func:`topic_vectors`. Equal similarities keep code order.
+    :func:`topic_vectors`. Equal similarities keep code order. The fixed topic lists ride
+    along as one map, so queries stay where they are; a category without topics gives
+    no rows.
     """
-    asked = queries.withColumn("_norm", norm(F.col("vector"))).join(topics, "category")
+    lists = topics.agg(F.map_from_entries(F.collect_list(F.struct("category", "_topics")))).scalar()
+    asked = queries.filter(F.col("category").isNotNull()).withColumns({
+        "_norm": norm(F.col("vector")), "_topics": F.try_element_at(lists, F.col("category")),
+    }).filter(F.col("_topics").isNotNull())
     scored = F.transform("_topics", lambda t: F.struct(
         (-cosine(dot(t["vector"], F.col("vector")), t["norm"], F.col("_norm"))).alias("away"),
         t["aspect"].alias("aspect"), t["detail"].alias("detail"),
@@ -130,14 +134,14 @@ def best_faq(
 ) -> DataFrame:
     """The closest FAQ of each query, kept only when it is close enough.
 
-    ``faq_vectors`` (``faq_key, vector``) is the fixed question list; it rides along
-    each query as one array.
+    ``faq_vectors`` (``faq_key, vector, position``) is the fixed question list; it rides
+    along each query as one array. Among equals the first of the list is taken.
     """
-    entry = F.struct("faq_key", "vector", norm(F.col("vector")).alias("norm"))
+    entry = F.struct("position", "faq_key", "vector", norm(F.col("vector")).alias("norm"))
     listed = faq_vectors.agg(F.sort_array(F.collect_list(entry))).scalar()
     scored = F.transform("_faq", lambda t: F.struct(
         cosine(dot(t["vector"], F.col("vector")), t["norm"], F.col("_norm")).alias("similarity"),
-        t["faq_key"].alias("faq_key"),
+        (-t["position"]).alias("place"), t["faq_key"].alias("faq_key"),
     ))
     return (
         queries.withColumns({"_norm": norm(F.col("vector")), "_faq": listed})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark import defaults as D
+from tidemark.operators.lineage import cut
 from tidemark.operators.topk import cumulative_counts
 
 
@@ -76,7 +77,9 @@ def with_fisher_p(tests: DataFrame, p: str = "p_value") -> DataFrame:
     The one-sided Fisher exact test: the upper hypergeometric tail. Terms follow
     from each other by a ratio, so the first is evaluated with logarithms and the
     others by multiplication. Terms more than ten deviations (and forty steps) from
-    both the mode and the observed count are below double precision and are not
+    both the mode and the observed count sum to less than 2^-53 of the result (a
+    hypergeometric tail of ten deviations is below e^-50, and past the observed count
+    terms fall at least that fast), so they cannot change a double and are not
     visited, which keeps the work near the square root of the counts. The
     intermediate columns are projected in stages so that none is evaluated twice.
     """
@@ -134,9 +137,15 @@ def bh_q_by_p(p_counts: DataFrame, p: str = "p_value", count: str = "n") -> Data
 
 
 def with_bh_q(tests: DataFrame, p: str = "p_value") -> DataFrame:
-    """Add ``q_value`` to every test; all rows form one family."""
-    p_counts = tests.groupBy(p).agg(F.count(F.lit(1)).alias("n"))
-    return tests.join(bh_q_by_p(p_counts, p, "n"), p)
+    """Add ``q_value`` to every test; all rows form one family.
+
+    The counts per distinct p are stored, since ranks and minima read them several
+    times. Tests with p = 1, often a large share, have q = 1 and take no part in a join.
+    """
+    p_counts = cut(tests.groupBy(p).agg(F.count(F.lit(1)).alias("n")))
+    below = tests.where(F.col(p) < 1).join(bh_q_by_p(p_counts, p, "n"), p)
+    ones = tests.where(F.col(p) >= 1).withColumn("q_value", F.lit(1.0))
+    return below.unionByName(ones)
 
 
 def anomaly_level(

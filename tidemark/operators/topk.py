@@ -38,34 +38,26 @@ def hash_rank(
     keys: Sequence[str],
     hash_col: str,
     id_col: str,
-    group_size: str,
     limit: str | None = None,
-    slice_rows: int = 1_000_000,
     rank: str = "rank",
 ) -> DataFrame:
-    """Exact 1-based rank by (hash, id) inside each group, hot groups split.
+    """Exact 1-based rank by (hash, id) inside each group, groups split.
 
-    A group larger than ``slice_rows`` is cut into 4,096 slices by the first three
-    hash digits, which follow the sort order; a slice's first rank is the number of
-    rows in the slices before it. Smaller groups stay one slice. With ``limit`` (a
-    column) only ranks up to it are kept and slices past it are dropped unsorted.
+    A group is cut into at most 4,096 slices by the first three hash digits, which
+    follow the sort order; a slice's first rank is the number of rows in the slices
+    before it. With ``limit`` (a column) only ranks up to it are kept and slices past
+    it are dropped unsorted, before the ranking shuffle.
     """
     keys = list(keys)
     prefix = F.substring(hash_col, 1, 3)
-    hot = F.col(group_size) > slice_rows
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # counts hot groups only; without any, the filter empties this side of the join
     offsets = (
-        df.filter(hot)
-        .groupBy(*keys, prefix.alias("_slice"))
+        df.groupBy(*keys, prefix.alias("_slice"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    sliced = df.withColumn("_slice", F.when(hot, prefix).otherwise(F.lit("")))
-    placed = sliced.join(offsets, [*keys, "_slice"], "left").withColumn(
-        "_before", F.coalesce("_before", F.lit(0))
-    )
+    placed = df.withColumn("_slice", prefix).join(offsets, [*keys, "_slice"])
     if limit is not None:
         placed = placed.filter(F.col("_before") < F.col(limit))
     inner = Window.partitionBy(*keys, "_slice").orderBy(hash_col, id_col)
@@ -80,7 +72,7 @@ def cumulative_counts(
     keys: Sequence[str],
     value: str,
     count: str,
-    pieces: int = 64,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Running count over the values of each group, without one task per group.
 
@@ -88,8 +80,10 @@ def cumulative_counts(
     range), ``at_most`` (rows with a value up to this one) and ``total``. Ranges are
     cut at approximate quantiles, so rows spread evenly even when all share one key;
     only the per-range sums, at most ``pieces + 1`` per key, are summed in one place.
+    By default there are as many ranges as the session has shuffle partitions.
     """
     keys = list(keys)
+    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts_at = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     cuts = df.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, cuts_at, F.lit(10_000))).alias("_cuts")

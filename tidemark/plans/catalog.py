@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.defaults import OFFICIAL_CATEGORIES
 from tidemark.functions.months import in_month, key_of_index
 from tidemark.functions.rates import rate
+from tidemark.operators.lineage import cut
 from tidemark.operators.topk import page
 from tidemark.plans.insights import overview
 
@@ -154,10 +155,12 @@ def with_review_details(
 ) -> DataFrame:
     """Analysis status, sorted labels and sample membership of listed reviews.
 
-    ``results`` and ``labels`` belong to one run. Attach this to a page of reviews;
-    the label array holds one review's labels.
+    ``results`` and ``labels`` belong to one run. Attach this to a page of reviews,
+    which is computed once; only its labels are grouped. The label array holds one
+    review's labels.
     """
-    labelled = labels.groupBy("review_id").agg(
+    rows = cut(rows)
+    labelled = labels.join(rows.select("review_id").distinct(), "review_id", "left_semi").groupBy("review_id").agg(
         F.array_sort(
             F.collect_list(F.struct("aspect", "detail", "polarity", "label_id", "evidence"))
         ).alias("labels")

@@ -35,13 +35,12 @@ def profile_category(shards: DataFrame, metadata: DataFrame, top: int = D.PROFIL
     """Find products with three dense consecutive months.
 
     The shards are scanned once into counts per product and month; everything else
-    reads those. Metadata is looked up for the leading windows only.
+    reads those. Metadata is read for the products that have a window.
     """
     volumes = cut(profile.shard_volumes(shards))
     months = profile.candidate_months(volumes)
-    windows = profile.best_windows(months, volumes.agg(F.max("month_idx")))
-    leading = windows.orderBy(*profile.window_order()).limit(D.PROFILE_METADATA_CANDIDATES)
-    described = latest_metadata(metadata, leading)
+    windows = cut(profile.best_windows(months, volumes.agg(F.max("month_idx"))))
+    described = latest_metadata(metadata, windows.select("parent_asin"))
     return Profile(
         audit=profile.audit(volumes),
         possible_products=months.select("parent_asin").distinct(),

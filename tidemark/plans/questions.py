@@ -33,11 +33,14 @@ def question_facts(
     label_rows: DataFrame,
     reviews: DataFrame,
     embeddings: DataFrame,
+    complaints: DataFrame,
+    changes: DataFrame,
 ) -> QuestionFacts:
     """Nearest topics with their statistics and quotes, related reviews, digest.
 
     ``queries`` has ``query_id, product_id, category, months, vector, model``;
-    ``reviews`` carries ``text`` for related excerpts. Topics come first, so quotes
+    ``reviews`` carries ``title`` and ``text`` for related excerpts; ``complaints`` and
+    ``changes`` are those of the product report. Topics come first, so quotes
     are looked up only for the few issues the questions are about.
     """
     asked = queries.select("query_id", "product_id", "category", "vector")
@@ -59,17 +62,34 @@ def question_facts(
 
     found = search.nearest_reviews(queries, reviews, embeddings, D.RELATED_REVIEWS)
     related = found.join(
-        reviews.select("review_id", "rating", "reviewed_at", "text"), "review_id"
+        reviews.select("review_id", "rating", F.to_date("reviewed_at").alias("date"), "title", "text"),
+        "review_id",
     ).withColumns({
+        "title": F.coalesce("title", F.lit("")),
         "text": F.substring("text", 1, D.QUICK_EXCERPT_CHARS),
         "similarity": F.bround(1 - F.col("distance"), 3),
     })
 
+    shown = label_rows.join(related.select("review_id").distinct(), "review_id", "left_semi")
+    names = shown.groupBy("review_id").agg(F.array_sort(F.collect_set(
+        F.concat_ws(":", "detail", "polarity"))).alias("labels"))
+    related = related.join(names, "review_id", "left").withColumn(
+        "labels", F.coalesce("labels", F.array().cast("array<string>")))
+
     listed = topics.groupBy("query_id", "product_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "mention_count", "negative_count", "positive_count"
     ))).alias("topics"))
-    percents = listed.join(overview, "product_id").select("query_id", quotable_percents(
-        F.col("succeeded"), F.col("positive_share"), F.col("negative_share"), F.col("topics")
+    worst = complaints.groupBy("product_id").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("rank", "negative_rate"))), lambda c: c["negative_rate"]).alias("complaints"))
+    rose = changes.filter(F.col("rank") <= D.CHANGES_IN_DIGEST).groupBy("product_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "baseline_rate", "target_rate", "change_pp"))
+                     ).alias("changes"))
+    facts = listed.join(overview, "product_id").join(worst, "product_id", "left").join(
+        rose, "product_id", "left")
+    percents = facts.select("query_id", quotable_percents(
+        F.col("succeeded"), F.col("positive_share"), F.col("negative_share"), F.col("topics"),
+        F.coalesce("complaints", F.array().cast("array<double>")),
+        F.coalesce("changes", F.from_json(F.lit("[]"), facts.schema["changes"].dataType)),
     ).alias("percents"))
     return QuestionFacts(
         topics=topics,

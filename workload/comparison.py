@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.months import in_months
 from tidemark.operators import compare, facts, statistics
 from tidemark.plans import insights
-from tidemark.plans.radar import radar, radar_items, radar_summary
+from tidemark.plans.radar import radar, radar_items, radar_order, radar_summary
 from workload.aggregates import COVERAGE_SQL
-from workload.binding import Facts, sql_rate, sql_status, sql_views, table
+from workload.binding import RUN, Facts, sql_rate, sql_status, sql_views, table, timestamp
 from workload.registry import query
 
 
@@ -255,7 +256,8 @@ LEVEL_SQL = """CASE WHEN q < 0.10 AND change_pp >= 10 AND target_count >= 3 THEN
   WHEN p < 0.05 AND change_pp > 0 THEN 'watch' END"""
 
 
-@query(f"""WITH {sql_views()}, {COVERAGE_SQL}, {pairs_sql(CONSECUTIVE_SQL)}, {TESTS_SQL},
+def radar_sql(views: str, more: str = "") -> str:
+    return f"""WITH {views}, {COVERAGE_SQL}, {pairs_sql(CONSECUTIVE_SQL)}, {TESTS_SQL},
 lv AS (SELECT *, {LEVEL_SQL} AS level FROM qs),
 ev AS (SELECT v.product_id, v.baseline_month, v.target_month, v.aspect, v.detail, lr.review_id,
          row_number() OVER (PARTITION BY v.product_id, v.baseline_month, v.target_month, v.aspect,
@@ -271,9 +273,12 @@ ea AS (SELECT product_id, baseline_month, target_month, aspect, detail,
 SELECT level, product_id, baseline_month, target_month, aspect, detail, baseline_count,
        baseline_total, target_count, target_total, baseline_rate, target_rate, change_pp,
        round(p, 5) AS p_value, round(q, 5) AS q_value, NOT complete AS is_provisional,
-       evidence_review_ids
+       evidence_review_ids{more}
 FROM lv LEFT JOIN ea USING (product_id, baseline_month, target_month, aspect, detail)
-WHERE level IS NOT NULL""")
+WHERE level IS NOT NULL"""
+
+
+@query(radar_sql(sql_views()))
 def anomaly_radar(spark: SparkSession, sf: str) -> DataFrame:
     f = Facts(spark, sf)
     parts = radar(f.month_table, f.issue_table)
@@ -282,6 +287,55 @@ def anomaly_radar(spark: SparkSession, sf: str) -> DataFrame:
     return compare.with_month_keys(rows).withColumn("evidence_review_ids", ids)
 
 
+# one product, quarters for months, groups of brands for issues: dense enough for every data size
+DENSE_SQL = (
+    sql_views()
+    .replace("c_mktsegment AS product_id", "'all' AS product_id")
+    .replace("o_orderdate AS reviewed_at", "date_trunc('quarter', o_orderdate) AS reviewed_at")
+    .replace("strftime(o_orderdate, '%Y-%m')", "strftime(date_trunc('quarter', o_orderdate), '%Y-%m')")
+    .replace("p_type AS aspect, p_brand AS detail", "'brand' AS aspect, substr(p_brand, 1, 7) AS detail")
+    .replace("CASE l_returnflag WHEN 'R' THEN 'negative' WHEN 'A' THEN 'positive' ELSE 'neutral' END",
+             "CASE WHEN l_returnflag = 'R' OR o_orderdate >= TIMESTAMP '1998-01-01' THEN 'negative' ELSE 'positive' END")
+    .replace("JOIN part ON l_partkey = p_partkey)", "JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey)")
+)
+
+
+def dense_facts(spark: SparkSession, sf: str) -> Facts:
+    """Returned line items, and all from 1998 on, count as negative, so that their start stands out."""
+    f = Facts(spark, sf)
+    f.reviews = f.reviews.withColumns({
+        "product_id": F.lit("all"), "reviewed_at": F.date_trunc("quarter", "reviewed_at")})
+    c = F.col
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand", c("p_name").alias("evidence"))
+    dates = table(spark, sf, "orders").select("o_orderkey", timestamp("o_orderdate").alias("at"))
+    lines = table(spark, sf, "lineitem").join(parts, c("l_partkey") == c("p_partkey")).join(
+        dates, c("o_orderkey") == c("l_orderkey"))
+    f.labels = lines.select(
+        F.lit(RUN).alias("run_id"), c("l_orderkey").alias("review_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("label_id"),
+        F.when((c("l_returnflag") == "R") | (c("at") >= F.lit("1998-01-01").cast("timestamp")), "negative")
+        .otherwise("positive").alias("polarity"),
+        F.lit("brand").alias("aspect"), F.substring("p_brand", 1, 7).alias("detail"), "evidence")
+    f.scoped = facts.run_reviews(f.reviews, RUN)
+    return f
+
+
+@query(radar_sql(DENSE_SQL, """, CAST(row_number() OVER (PARTITION BY product_id ORDER BY level,
+       round(q, 5), round(change_pp, 9) DESC, baseline_month, target_month, aspect, detail) AS INTEGER) AS rank"""))
+def anomaly_radar_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: ranked radar rows of the dense binding, anomalies first."""
+    f = dense_facts(spark, sf)
+    parts = radar(f.month_table, f.issue_table)
+    rows = radar_items(parts, evidence=facts.issue_evidence(f.issue_facts))
+    place = Window.partitionBy("product_id").orderBy(
+        *radar_order(), "baseline_idx", "target_idx", *facts.ISSUE)
+    ids = F.array_join(F.col("evidence_review_ids").cast("array<string>"), ",")
+    rounded = rows.withColumn("_change", F.col("change_pp")).withColumn("change_pp", F.round("change_pp", 9))
+    ranked = rounded.withColumn("rank", F.row_number().over(place)).withColumn(
+        "change_pp", F.col("_change")).drop("_change")
+    return compare.with_month_keys(ranked).withColumn("evidence_review_ids", ids)
+
+
 @query(f"""WITH {sql_views("nation")}, {COVERAGE_SQL}, {pairs_sql(CONSECUTIVE_SQL)},
 sx AS (SELECT *, least(baseline_succeeded, target_succeeded) >= 10 AS sufficient FROM cp)
 SELECT (SELECT count(*) FROM nation) AS products_total,

@@ -15,6 +15,7 @@ from tidemark.functions import hashing
 from tidemark.functions.months import key_of_index
 from tidemark.functions.products import description_text, first_image
 from tidemark.operators import ingest, merge, profile
+from tidemark.operators.lineage import cut
 from tidemark.sources.shards import latest_metadata, missing_keys
 from workload.binding import table
 from workload.registry import query
@@ -103,7 +104,7 @@ bw AS (SELECT *, row_number() OVER (PARTITION BY parent_asin
 
 
 def _windows(spark: SparkSession, sf: str) -> DataFrame:
-    volumes = profile.shard_volumes(shards(spark, sf))
+    volumes = cut(profile.shard_volumes(shards(spark, sf)))
     months = profile.candidate_months(volumes)
     last = volumes.agg(F.max("month_idx"))
     return profile.best_windows(months, last)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import facts, sampling, search
+from tidemark.operators import compare, facts, sampling, search
 from tidemark.operators.topk import page, total
 from tidemark.plans import catalog, insights, questions
 from workload.aggregates import COVERAGE_SQL
@@ -254,12 +254,12 @@ WITH fq AS (SELECT 'faq' || label AS faq_key, arg_min(embedding, vec_id)::DOUBLE
 s AS (SELECT vec_id, faq_key, list_cosine_similarity(embedding::DOUBLE[], v) AS s
       FROM embeddings CROSS JOIN fq)
 SELECT vec_id AS query_id, faq_key, round(s, 6) AS similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, faq_key DESC) AS k
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, faq_key) AS k
   FROM s) WHERE k = 1 AND s >= 0.3""")
 def faq_match(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     faq = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(
-        F.concat(F.lit("faq"), "label").alias("faq_key"), "vector"
+        F.concat(F.lit("faq"), "label").alias("faq_key"), "vector", F.col("label").alias("position")
     )
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return search.best_faq(queries, faq, 0.3).select(
@@ -267,17 +267,50 @@ def faq_match(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""
+WITH fq AS (SELECT label AS f, 'faq' || label AS faq_key, arg_min(embedding, vec_id)::DOUBLE[] AS v
+            FROM embeddings GROUP BY label),
+s AS (SELECT vec_id, label, f, faq_key, list_cosine_similarity(embedding::DOUBLE[], v) AS s
+      FROM embeddings CROSS JOIN fq),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, f) AS k FROM s)
+SELECT vec_id AS query_id, faq_key, round(s, 6) AS similarity, 'answer ' || label || '/' || f AS answer
+FROM b WHERE k = 1 AND s >= 0.3 AND (label + f) % 4 <> 0 AND (label * f) % 3 <> 0""")
+def fresh_faq_match(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored answer of the nearest question, where there is one and it is fresh."""
+    vectors = table(spark, sf, "embeddings")
+    faq = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(
+        F.concat(F.lit("faq"), "label").alias("faq_key"), "vector", F.col("label").alias("position")
+    )
+    queries = vectors.select(
+        F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("product_id"),
+        F.col("embedding").alias("vector"))
+    # each product (label) has stored some of the questions, and some of the answers are stale
+    stored = vectors.select("label").distinct().select("label", F.explode(F.sequence(
+        F.lit(0), F.lit(99))).alias("f"))
+    rows = stored.select(
+        F.col("label").cast("string").alias("product_id"), F.concat(F.lit("faq"), "f").alias("faq_key"),
+        F.when((F.col("label") + F.col("f")) % 4 != 0, F.concat(
+            F.lit("answer "), "label", F.lit("/"), "f")).alias("answer"),
+        ((F.col("label") * F.col("f")) % 3 == 0).alias("is_stale"))
+    found = questions.fresh_faq_match(search.best_faq(queries, faq, 0.3), queries, rows)
+    return found.select("query_id", "faq_key", F.round("similarity", 6).alias("similarity"), "answer")
+
+
 def _question_facts(spark: SparkSession, sf: str) -> questions.QuestionFacts:
-    reviews = embedded_reviews(spark, sf)
+    texts = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("review_id"), F.col("source").alias("title"), "text")
+    reviews = embedded_reviews(spark, sf).drop("text").join(texts, "review_id", "left")
     f = Facts(spark, sf)
     f.products = reviews.select("product_id").distinct().withColumn("run_id", F.lit(RUN))
     f.reviews = reviews
     f.scoped = facts.run_reviews(reviews, RUN)
     over = insights.overview(f.products, f.month_table)
     aspects = insights.aspects(over, f.issue_table)
+    covered = compare.coverage(compare.latest_pair(f.month_table), f.month_table)
     return questions.question_facts(
         product_queries(spark, sf), topics(spark, sf), over, aspects, f.label_rows, reviews,
-        embeddings(spark, sf),
+        embeddings(spark, sf), insights.top_complaints(aspects),
+        compare.top_increases(compare.issues(covered, f.issue_table)),
     )
 
 
@@ -319,8 +352,10 @@ ex AS (SELECT query_id, nt.rank AS a, CASE polarity WHEN 'negative' THEN 0 ELSE
          0 AS part, review_id, polarity AS label, evidence AS text
        FROM nt JOIN k USING (product_id, aspect, detail) WHERE example_rank = 1),
 rel AS (SELECT query_id, rank AS a, 0 AS b, 1 AS part, review_id, 'related' AS label,
-          'review' AS text FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-            ORDER BY round(distance, 12), review_id) AS rank FROM sc) WHERE rank <= 2),
+          substr(trim(regexp_replace(coalesce(source, '') || ' ' || coalesce(text, ''), '\\s+', ' ', 'g')), 1, 100) AS text
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+            ORDER BY round(distance, 12), review_id) AS rank FROM sc) LEFT JOIN documents ON doc_id = review_id
+        WHERE rank <= 2),
 al AS (SELECT *, row_number() OVER (PARTITION BY query_id, review_id ORDER BY part, a, b) AS dup
        FROM (SELECT * FROM ex UNION ALL SELECT * FROM rel))
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, a, b) AS INTEGER)
@@ -329,3 +364,19 @@ def question_digest_sources(spark: SparkSession, sf: str) -> DataFrame:
     return _question_facts(spark, sf).sources
 
 
+@query(f"""WITH {QUESTIONS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), review_id) AS rank FROM sc)
+SELECT query_id, r.review_id, CAST(rank AS INTEGER) AS rank, round_even(1 - distance, 3) AS similarity,
+  CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rating, CAST(o_orderdate AS DATE) AS date,
+  coalesce(source, '') AS title, substr(text, 1, 300) AS text,
+  coalesce((SELECT string_agg(DISTINCT detail || ':' || polarity, ',' ORDER BY detail || ':' || polarity)
+            FROM el WHERE el.review_id = r.review_id), '') AS labels
+FROM r JOIN orders ON o_orderkey = r.review_id LEFT JOIN documents ON doc_id = r.review_id WHERE rank <= 4""")
+def question_related(spark: SparkSession, sf: str) -> DataFrame:
+    """Related reviews of each question as shown: title, excerpt, rating, date, labels."""
+    rows = _question_facts(spark, sf).related
+    return rows.select(
+        "query_id", "review_id", "rank", "similarity", "rating", "date", "title", "text",
+        F.array_join("labels", ",").alias("labels"))
+
+

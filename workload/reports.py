@@ -195,12 +195,36 @@ s AS (SELECT product_id, count(*) AS s,
         count(*) FILTER (WHERE review_id IN (SELECT review_id FROM el WHERE polarity = 'positive')) AS ps,
         count(*) FILTER (WHERE review_id IN (SELECT review_id FROM el WHERE polarity = 'negative')) AS ns
       FROM ok GROUP BY ALL),
+co AS (SELECT product_id, n, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, aspect, detail) AS r
+  FROM (SELECT product_id, aspect, detail, count(DISTINCT review_id) AS n FROM el WHERE polarity = 'negative' GROUP BY ALL)),
+lm AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY month DESC) AS k
+       FROM (SELECT DISTINCT product_id, month FROM er)),
+ms AS (SELECT er.product_id, er.month, k, count(ok.review_id) AS s FROM er JOIN lm USING (product_id, month)
+       LEFT JOIN ok ON ok.review_id = er.review_id WHERE k <= 2 GROUP BY ALL),
+nc AS (SELECT el.product_id, er.month, aspect, detail, count(DISTINCT el.review_id) AS n
+       FROM el JOIN er ON er.review_id = el.review_id WHERE polarity = 'negative' GROUP BY ALL),
+ch AS (SELECT t.product_id, i.aspect, i.detail,
+         coalesce(a.n, 0) / nullif(b.s, 0)::DOUBLE AS br, coalesce(c.n, 0) / nullif(t.s, 0)::DOUBLE AS tr
+       FROM ms t JOIN ms b ON b.product_id = t.product_id AND t.k = 1 AND b.k = 2
+       JOIN (SELECT DISTINCT product_id, aspect, detail FROM nc) i ON i.product_id = t.product_id
+       LEFT JOIN nc a ON a.product_id = i.product_id AND a.month = b.month AND a.aspect = i.aspect AND a.detail = i.detail
+       LEFT JOIN nc c ON c.product_id = i.product_id AND c.month = t.month AND c.aspect = i.aspect AND c.detail = i.detail),
+up AS (SELECT product_id, br, tr, (tr - br) * 100 AS pp, row_number() OVER (PARTITION BY product_id
+         ORDER BY (tr - br) * 100 DESC, aspect, detail) AS r FROM ch WHERE (tr - br) * 100 > 0),
 v AS (SELECT query_id, 0 AS k, round_even(ps / s::DOUBLE * 100, 1) AS x FROM qs JOIN s USING (product_id) WHERE s >= 30
   UNION ALL SELECT query_id, 1, round_even(ns / s::DOUBLE * 100, 1) FROM qs JOIN s USING (product_id) WHERE s >= 30
   UNION ALL SELECT query_id, rank * 2, round_even(n / s::DOUBLE * 100, 1) FROM tc JOIN s USING (product_id)
     WHERE s >= 30 AND m > 0
   UNION ALL SELECT query_id, rank * 2 + 1, round_even(p / s::DOUBLE * 100, 1) FROM tc JOIN s USING (product_id)
-    WHERE s >= 30 AND m > 0)
+    WHERE s >= 30 AND m > 0
+  UNION ALL SELECT query_id, 100 + r, round_even(n / s::DOUBLE * 100, 1) FROM co JOIN qs USING (product_id)
+    JOIN s USING (product_id) WHERE s >= 30 AND r <= 3
+  UNION ALL SELECT query_id, 200 + 10 * r, round_even(br * 100, 1) FROM up JOIN qs USING (product_id)
+    JOIN s USING (product_id) WHERE s >= 30 AND r <= 2
+  UNION ALL SELECT query_id, 201 + 10 * r, round_even(tr * 100, 1) FROM up JOIN qs USING (product_id)
+    JOIN s USING (product_id) WHERE s >= 30 AND r <= 2
+  UNION ALL SELECT query_id, 202 + 10 * r, round_even(abs(pp), 1) FROM up JOIN qs USING (product_id)
+    JOIN s USING (product_id) WHERE s >= 30 AND r <= 2)
 SELECT query_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY k) AS percents FROM v GROUP BY ALL""")
 def question_percents(spark: SparkSession, sf: str) -> DataFrame:
     rows = _question_facts(spark, sf).percents
