@@ -69,8 +69,8 @@ def merge_answers(stored: DataFrame, saved: DataFrame) -> DataFrame:
 def seed_evaluations(stored: DataFrame, listed: DataFrame, dataset_id: str) -> DataFrame:
     """Put listed reviews into an evaluation set without touching human input.
 
-    ``listed`` has ``position, review_id``. New reviews start pending; known ones
-    only get their position and split again.
+    ``listed`` has ``position, review_id``. New reviews start pending with an empty
+    list of gold labels; known ones only get their position and split again.
     """
     ours = stored.filter(F.col("dataset_id") == dataset_id)
     others = stored.filter(F.col("dataset_id") != dataset_id)
@@ -89,6 +89,9 @@ def seed_evaluations(stored: DataFrame, listed: DataFrame, dataset_id: str) -> D
         "status": F.coalesce("status", F.lit("pending")),
         "is_normal_empty": F.when(is_new, F.lit(False)).otherwise(F.col("is_normal_empty")),
     }
+    if "gold_labels" in stored.columns:
+        empty = F.array().cast(stored.schema["gold_labels"].dataType)
+        values["gold_labels"] = F.when(is_new, empty).otherwise(F.col("gold_labels"))
     merged = joined.select(*[values.get(c, F.col(c)).alias(c) for c in stored.columns])
     return others.unionByName(merged)
 

@@ -589,21 +589,24 @@ listed AS (SELECT doc_id AS review_id, CAST(n_chars AS INTEGER) AS position FROM
            WHERE lang = 'en' AND source <> 'src0')
 SELECT coalesce(l.review_id, e.review_id) AS review_id,
   coalesce(l.position, e.position) AS position, coalesce(e.status, 'pending') AS status,
-  coalesce(e.is_normal_empty, FALSE) AS is_normal_empty
+  coalesce(e.is_normal_empty, FALSE) AS is_normal_empty, 'independent_evaluation' AS split,
+  FALSE AS prompt_tuning_used,
+  CASE WHEN e.review_id IS NULL OR e.source = 'src4' THEN '' ELSE e.source END AS gold_labels
 FROM (SELECT * FROM ev WHERE dataset_id = 'en') e FULL OUTER JOIN listed l
   ON e.review_id = l.review_id""")
 def evaluation_seed(spark: SparkSession, sf: str) -> DataFrame:
     """Seeding the English set from a list: new rows start pending, old ones move."""
     stored = evaluations(spark, sf).select(
         "dataset_id", "position", "review_id", "split", "prompt_tuning_used", "status",
-        "is_normal_empty",
+        "is_normal_empty", "gold_labels",
     )
     listed = table(spark, sf, "documents").filter(
         (F.col("lang") == "en") & (F.col("source") != "src0")
     ).select(F.col("doc_id").alias("review_id"), F.col("n_chars").cast("int").alias("position"))
     merged = merge.seed_evaluations(stored, listed, "en")
     return merged.filter(F.col("dataset_id") == "en").select(
-        "review_id", "position", "status", "is_normal_empty"
+        "review_id", "position", "status", "is_normal_empty", "split", "prompt_tuning_used",
+        F.array_join("gold_labels", ",").alias("gold_labels"),
     )
 
 
