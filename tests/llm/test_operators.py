@@ -122,6 +122,39 @@ def test_similar_documents(spark, docs, empty):
     assert kept.columns == docs.columns and kept.where("text is null or trim(text) = ''").count() <= 1
 
 
+@pytest.mark.parametrize("chunk_bytes", [simhash.CHUNK_BYTES, 40_000])
+def test_similar_documents_against_all_pairs(spark, monkeypatch, chunk_bytes):
+    """Groups around the bound, whole and cut into chunks, and boilerplate that hides other words."""
+    monkeypatch.setattr(simhash, "CHUNK_BYTES", chunk_bytes)
+    own = random.Random(11)
+    texts = ["same line again and again\n" * 400 + " ".join(f"t{k}x{j}" for j in range(60)) for k in range(4)]
+    for _ in range(12):
+        base = [own.choice(VOCABULARY) + own.choice("abcdef") for _ in range(300)]
+        for changes in (0, 0, 1, 2, 4, 6, 7, 8, 9, 10, 12, 16, 30):
+            words = list(base)
+            for at in own.sample(range(300), changes):
+                words[at] = f"new{own.randrange(10**6)}"
+            texts.append(" ".join(words))
+    found = simhash.similar_documents(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = {k: {k} for k in range(len(texts))}
+    close = 0
+    for i in group:
+        for j in range(i):
+            similarity = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            close += 0.7 < similarity < 0.9
+            if similarity >= 0.8 and group[i] is not group[j]:
+                group[i] |= group[j]
+                for k in group[i]:
+                    group[k] = group[i]
+    component = {r.doc_id: r.component for r in found}
+    assert close > 100 and len(found) == len(texts)
+    for i in group:
+        assert {j for j in group if component[i] == component[j]} == group[i]
+    assert {r.doc_id for r in found if r.is_first} == {min(g) for g in group.values()}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = components.connected_components(edges).collect()

@@ -11,14 +11,15 @@ row a member.
 
 Three differing bits are far fewer than those of texts with, say, four fifths of their shingles in common, so
 ``similar_documents`` walks the tries of several independent word fingerprints, which near copies
-hardly change, and accepts a pair by a wide fingerprint of its shingles, which estimates their
-similarity.
+hardly change. A wide fingerprint of the distinct shingles drops pairs that are clearly too far apart; what
+hangs together after that is a candidate group, in which the same tries are walked again and each
+pair is verified by its shingle sets.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ PAIRS = 1 << 21  # fingerprint pairs that are compared at once
 LEAF = 16  # node pairs with as many fingerprint pairs or fewer are compared directly
 WIDE = 4 * BITS  # bits that estimate the similarity of shingles
 CHUNK = 8192  # fingerprints of one cell that a task takes from each side
+CHUNK_BYTES = 1 << 24  # shingle sets of one candidate group that a task takes from each side, about
+DEVIATIONS = 3  # standard deviations of the wide bits that a similar pair may be off
 
 
 def text_fingerprint(text: str | None, shingle: int) -> int:
@@ -92,11 +95,9 @@ def _leaf_links(fp: np.ndarray, a: tuple, b: tuple, same: np.ndarray, budget: in
         lo = hi
 
 
-def walk_tries(fp: np.ndarray, wide: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]],
-               root: np.ndarray, budget: int, limit: int) -> None:
-    """Unite all fingerprints within the budget in the node pairs that ``cells`` starts with.
-
-    A pair is accepted if at most ``limit`` bits of the columns of ``wide`` differ.
+def walk_tries(fp: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]], budget: int,
+               link: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Call ``link`` with index arrays of all pairs within the budget in the node pairs of ``cells``.
 
     ``cells`` has the ranges of both sides, in ``fp`` sorted within each range; a pair of equal
     ranges is a self-join. Node pairs go down one bit at a time, at most ``FRONT`` together.
@@ -115,10 +116,7 @@ def walk_tries(fp: np.ndarray, wide: np.ndarray, cells: list[tuple[np.ndarray, n
         leaf = (pairs <= LEAF) | (depth == BITS)
         if leaf.any():
             for i, j in _leaf_links(fp, (alo[leaf], ahi[leaf]), (blo[leaf], bhi[leaf]), same[leaf], budget):
-                if len(wide):
-                    alike = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= limit
-                    i, j = i[alike], j[alike]
-                unite(root, i, j)
+                link(i, j)
             alo, ahi, blo, bhi, diff = front[:, ~leaf]
             same = same[~leaf]
         if not len(alo):
@@ -141,6 +139,11 @@ def walk_tries(fp: np.ndarray, wide: np.ndarray, cells: list[tuple[np.ndarray, n
         stack.append((children[:, keep], depth + 1))
 
 
+def _alike(wide: list[np.ndarray], i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+    """Whether at most ``limit`` bits of all columns differ."""
+    return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in wide) <= limit
+
+
 def _forest(batches: Iterator[pa.RecordBatch], budget: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Spanning forest of the links in the cells of one partition."""
     read = [[np.asarray(c) for c in b.columns] for b in batches]
@@ -168,13 +171,32 @@ def _forest(batches: Iterator[pa.RecordBatch], budget: int, limit: int) -> Itera
     b = np.concatenate([lo[own], lo[first + 1]]), np.concatenate([hi[own], hi[first + 1]])
     root = np.arange(len(fp))
     several = (a[1] - a[0]) * (b[1] - b[0]) > (a[0] == b[0])
-    walk_tries(fp, np.array([w.view(np.uint64)[order] for w in wide]),
-               [(a[0][several], a[1][several]), (b[0][several], b[1][several])], root, budget, limit)
+    wide = [w.view(np.uint64)[order] for w in wide]
+
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        near = _alike(wide, i, j, limit) if wide else slice(None)
+        unite(root, i[near], j[near])
+
+    walk_tries(fp, [(a[0][several], a[1][several]), (b[0][several], b[1][several])], budget, link)
     member = np.flatnonzero(root != np.arange(len(fp)))
     yield pa.RecordBatch.from_arrays(
         [pa.array(node[root[member]]), pa.array(node[member])], names=["a", "b"])
 
 
+def _chunk_pairs(rows: DataFrame, keys: list[str], chunks: Column) -> DataFrame:
+    """``rows`` with ``low, high, part``: every chunk of a group meets itself and every other one.
+
+    ``chunks`` is an aggregate over a group. A row of a group with n chunks is there n times.
+    """
+    sizes = cut(rows.groupBy(*keys).agg(chunks.cast("int").alias("chunks")).where("chunks > 1"))
+    count = F.coalesce("chunks", F.lit(1))
+    rows = rows.join(sizes, keys, "left").select(
+        *rows.columns, count.alias("chunks"), F.pmod(F.xxhash64("node"), count).cast("int").alias("part"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    return rows.withColumns({
+        "low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("chunks", "other")
+
+
 def near_links(prints: DataFrame, budget: int, wide: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
     """Links ``a, b`` that connect all nodes with at most ``budget`` differing bits in some table.
 
@@ -194,17 +216,8 @@ def near_links(prints: DataFrame, budget: int, wide: tuple[str, ...] = (), limit
     dealt = prints.select("table", *kept, F.explode(F.array(*map(F.lit, range(blocks)))).alias("block"))
     dealt = dealt.select((F.col("table") * blocks + F.col("block")).alias("block"), *kept,
                          (F.col("block") * width).alias("turn"), head(F.col("block")).alias("head"))
-    sizes = dealt.groupBy("block", "head").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    sizes = cut(sizes.select("block", "head", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    dealt = dealt.join(sizes, ["block", "head"], "left")
-    chunks = F.coalesce("chunks", F.lit(1))
-    dealt = dealt.select(
-        "block", "head", "turn", *kept, chunks.alias("chunks"),
-        F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select(
-        "block", "turn", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        F.col("chunk").alias("part"), *kept, "head")
+    dealt = _chunk_pairs(dealt, ["block", "head"], F.ceil(F.count("*") / CHUNK)).select(
+        "block", "turn", "low", "high", "part", *kept, "head")
     dealt = dealt.repartition(part_count(prints), "block", "head", "low", "high").drop("head")
     return dealt.mapInArrow(lambda batches: _forest(batches, budget, limit), "a long, b long")
 
@@ -244,66 +257,122 @@ def _majority(hashes: np.ndarray) -> int:
 # fixed values: one number for each independent hash
 _WORD_SALTS = tuple(np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64) for k in range(16))
 _WIDE_SALTS = tuple(np.uint64(0xC2B2AE3D27D4EB4F * (k + 1) % 2**64) for k in range(WIDE // BITS))
+_DIGEST_SALT = np.uint64(0xA0761D6478BD642F)
 _WIDE_NAMES = tuple(f"wide{k}" for k in range(WIDE // BITS))
 
 
 def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """Row number, key, word fingerprints and wide fingerprint of each row."""
-    names = [ROW, "doc_id", "prints", *_WIDE_NAMES]
+    """Row number, key, word fingerprints, distinct shingles, their digest and wide fingerprint of each row."""
+    names = [ROW, "doc_id", "prints", "shingles", "digest", *_WIDE_NAMES]
     for batch in batches:
         data, offsets = W.text_bytes(batch.column(2))
         for lo, hi in W.row_groups(offsets):
             found = W.words_of(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
-            prints, wide = [], []
+            prints, sets, digests, wide = [], [], [], []
             for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
                 words = found.hash[a:b]
-                shingles = W.shingle_hashes(words, min(shingle, b - a)) if b > a else words
+                shingles = np.unique(W.shingle_hashes(words, min(shingle, b - a))) if b > a else words
+                high = (shingles >> np.uint64(32)).astype("<u4")
                 prints.append([_majority(W.mix(words ^ salt)) for salt in _WORD_SALTS[:tables]])
+                sets.append(high[np.append(True, high[1:] != high[:-1])[:len(high)]].tobytes())
+                digests.append(np.add.reduce(W.mix(shingles ^ _DIGEST_SALT), dtype=np.uint64))
                 wide.append([_majority(W.mix(shingles ^ salt)) for salt in _WIDE_SALTS])
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(prints, pa.list_(pa.int64())),
+                [part.column(0), part.column(1), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary()),
+                 pa.array(np.array(digests, np.uint64).view(np.int64)),
                  *[pa.array([w[k] for w in wide], pa.int64()) for k in range(len(_WIDE_NAMES))]], names=names)
 
 
 def similar_bits(similarity: float) -> int:
-    """Most differing wide bits of a pair that is taken to have this share of shingles in common.
+    """Most differing wide bits of a pair with this share of shingles in common.
 
-    A Jaccard similarity s of sets of like size is a cosine of 2s / (1 + s); its angle over pi is the
-    expected share of differing bits. The bound is one standard deviation above.
+    A Jaccard similarity s is a cosine of at least 2s / (1 + s); its angle over pi is the expected share
+    of differing bits. The bound is ``DEVIATIONS`` standard deviations above.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+    return round(WIDE * share + DEVIATIONS * math.sqrt(WIDE * share * (1 - share)))
+
+
+def is_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is that or more; two empty sets are equal."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return not len(b)
+    at = np.searchsorted(b, a)
+    common = np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)
+    return common >= similarity * (len(a) + len(b) - common)
+
+
+def _verified(group: pa.Table, budget: int, limit: int, similarity: float) -> pa.Table:
+    """Spanning forest of the similar pairs within one chunk, or between two, of a candidate group."""
+    node, part = (np.asarray(group.column(c)) for c in ("node", "part"))
+    own = group.column("low")[0] == group.column("high")[0]
+    prints = np.array(group.column("prints").to_pylist(), np.int64).view(np.uint64)
+    wide = [np.asarray(group.column(c)).view(np.uint64) for c in _WIDE_NAMES]
+    sets = [np.frombuffer(x, "<u4") for x in group.column("shingles").to_pylist()]
+    root = np.arange(len(node))
+    for fp in prints.T:
+        order = np.lexsort((fp, part))
+        first = len(node) if own else int(np.count_nonzero(part == part.min()))
+        ranges = ((0, first), (0, first)) if own else ((0, first), (first, len(node)))
+
+        def link(i: np.ndarray, j: np.ndarray) -> None:
+            for lo in range(0, len(i), CHUNK):
+                a, b = order[i[lo: lo + CHUNK]], order[j[lo: lo + CHUNK]]
+                open_ = root[a] != root[b]
+                a, b = a[open_], b[open_]
+                near = _alike(wide, a, b, limit)
+                for x, y in zip(a[near].tolist(), b[near].tolist()):
+                    if root[x] != root[y] and is_similar(sets[x], sets[y], similarity):
+                        unite(root, np.array([x]), np.array([y]))
+
+        walk_tries(fp[order], [tuple(np.array([v]) for v in r) for r in ranges], budget, link)
+    member = np.flatnonzero(root != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[root[member]]), "b": pa.array(node[member])})
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
                       similarity: float = 0.8, tables: int = 3, budget: int = 3) -> DataFrame:
     """``_row, doc_id, component, is_first`` for every row of ``docs``.
 
-    Rows link if one of ``tables`` fingerprints of their words differs in at most ``budget`` bits and the wide
-    fingerprint of their shingles estimates a similarity of ``similarity`` or more; equal
-    fingerprints always link. ``component`` is a number that linked rows share, ``is_first`` marks
+    Rows link if one of ``tables`` fingerprints of their words differs in at most ``budget`` bits and their
+    sets of shingles have a Jaccard similarity of ``similarity`` or more; equal sets always link.
+    ``component`` is a number that linked rows share, ``is_first`` marks
     its row with the smallest key (then row number; null keys last). Null, blank and wordless texts
     are equal to each other; repeated rows are copies; an empty table gives no rows; other columns are not read.
+
+    Shingle sets leave the stored rows only for members of candidate groups. A large group is
+    cut into chunks, and a task holds two chunks.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(doc_id).alias("doc_id"),
                          F.col(text).alias("text"))
     rows = cut(source.mapInArrow(
         lambda it: _prints(it, shingle, tables),
-        ", ".join([f"{ROW} bigint, doc_id {kind}, prints array<bigint>", *(f"{w} bigint" for w in _WIDE_NAMES)])))
-    same = ["prints", *_WIDE_NAMES]
-    classes = cut(rows.groupBy(*same).agg(
-        F.min(ROW).alias("node"),
+        ", ".join([f"{ROW} bigint, doc_id {kind}, prints array<bigint>, shingles binary, digest bigint",
+                   *(f"{w} bigint" for w in _WIDE_NAMES)])))
+    classes = cut(rows.groupBy("digest").agg(
+        F.min_by(F.struct("prints", *_WIDE_NAMES), ROW).alias("of"), F.min(ROW).alias("node"),
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least")))
-    prints = classes.select("node", *_WIDE_NAMES, F.posexplode("prints").alias("table", "fingerprint"))
-    roots = connected_components(near_links(prints, budget, _WIDE_NAMES, similar_bits(similarity)))
-    named = cut(classes.join(roots, "node", "left").select(
-        *same, "least", F.coalesce("root", "node").alias("component")))
+    prints = classes.select("node", "of.*")
+    limit = similar_bits(similarity)
+    near = near_links(prints.select("node", *_WIDE_NAMES, F.posexplode("prints").alias("table", "fingerprint")),
+                      budget, _WIDE_NAMES, limit)
+    groups = connected_components(near)
+    members = cut(groups.join(prints, "node").join(
+        rows.select(F.col(ROW).alias("node"), "shingles"), "node"))
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("shingles")) / CHUNK_BYTES))
+    links = _chunk_pairs(members, ["root"], chunks).groupBy("root", "low", "high").applyInArrow(
+        lambda group: _verified(group, budget, limit, similarity), "a long, b long")
+    roots = connected_components(links)
+    named = cut(classes.select("digest", "node", "least").join(roots, "node", "left").select(
+        "digest", "least", F.coalesce("root", "node").alias("component")))
     firsts = named.groupBy("component").agg(F.min(F.col("least")).alias("first"))
     firsts = cut(firsts.select("component", F.col(f"first.{ROW}").alias("first_row")))
-    of_class = cut(named.join(firsts, "component").select(*same, "component", "first_row"))
-    return rows.join(of_class, same).select(
+    of_class = cut(named.join(firsts, "component").select("digest", "component", "first_row"))
+    return rows.select(ROW, "doc_id", "digest").join(of_class, "digest").select(
         ROW, "doc_id", "component", (F.col(ROW) == F.col("first_row")).alias("is_first"))
 
 
