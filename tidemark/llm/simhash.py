@@ -39,7 +39,8 @@ PAIRS = 1 << 21  # fingerprint pairs that are compared at once
 LEAF = 16  # node pairs with as many fingerprint pairs or fewer are compared directly
 WIDE = 4 * BITS  # bits that estimate the similarity of shingles
 CHUNK = 8192  # fingerprints of one cell that a task takes from each side
-CHUNK_BYTES = 1 << 24  # shingle sets of one candidate group that a task takes from each side, about
+GROUP_CHUNK = 1024  # members of one candidate group that a task takes from each side
+CHUNK_BYTES = 1 << 24  # and their shingle sets, about
 DEVIATIONS = 3  # standard deviations of the wide bits that a similar pair may be off
 
 
@@ -363,7 +364,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     groups = connected_components(near)
     members = cut(groups.join(prints, "node").join(
         rows.select(F.col(ROW).alias("node"), "shingles"), "node"))
-    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("shingles")) / CHUNK_BYTES))
+    chunks = F.ceil(F.greatest(F.count("*") / GROUP_CHUNK, F.sum(F.length("shingles")) / CHUNK_BYTES))
     links = _chunk_pairs(members, ["root"], chunks).groupBy("root", "low", "high").applyInArrow(
         lambda group: _verified(group, budget, limit, similarity), "a long, b long")
     roots = connected_components(links)
