@@ -155,6 +155,29 @@ def test_similar_documents_against_all_pairs(spark, monkeypatch, chunk_bytes):
     assert {r.doc_id for r in found if r.is_first} == {min(g) for g in group.values()}
 
 
+def test_stages_judge_rows_by_themselves(spark):
+    """Null and shared keys: only the bad rows go, and one of several equal rows stays."""
+    good = [r[1] for r in language_rows()]
+    passage = " ".join(f"aeiou{k % 7}lmn" for k in range(30))
+    spoilt = [(None, "12 34 !!", "aa", "s", 8), (3, "56 78 !!", "aa", "s", 8)]
+    nulls = [(None, good[k], "aa", "s", 1) for k in (0, 2, 4)]
+    df = spark.createDataFrame([*language_rows()[1:], *nulls, *spoilt], DOC).withColumn("_row", F.lit("x"))
+    kept = langid.keep_known(df)
+    texts = [r.text for r in kept.collect()]
+    assert kept.columns == df.columns and sorted(texts) == sorted([*good[1:], good[0], good[2], good[4]])
+    leak = [(None, passage, "aa", "s", 1), (5, passage, "aa", "s", 1)]
+    df = spark.createDataFrame([*nulls, (5, good[6], "aa", "s", 1), *leak], DOC).withColumn("_row", F.lit("x"))
+    kept = decontaminate.keep_clean(df, spark.createDataFrame([(1, passage)], queries.BENCHMARK))
+    assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == sorted(good[k] for k in (0, 2, 4, 6))
+    rows = [(7, good[0], "aa", "s", 1)] * 3 + [(None, good[1], "bb", "s", 1)] * 2 + [
+        (None, good[2], "aa", "s", 1), (8, good[2], "aa", "s", 1), (9, good[3], "aa", "s", 1)]
+    df = spark.createDataFrame(rows, DOC).withColumn("_row", F.lit("x"))
+    kept = simhash.keep_one(df)
+    want = [(7, good[0]), (None, good[1]), (8, good[2]), (9, good[3])]
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = components.connected_components(edges).collect()

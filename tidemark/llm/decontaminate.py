@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.rows import ROW, cut
+from tidemark.llm.rows import DOC, ROW, cut, whole_rows
 
 FILTER_BITS = 24  # the filter sent to all tasks is 2 MiB, whatever the benchmark's size
 
@@ -191,12 +191,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return report, matches
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+               **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept.
 
-    A null key is a key like any other; rows that share a key go if one of them is contaminated.
+    Each row is judged by itself; keys are not read, so they may be null or repeat.
     """
-    report, _ = contamination(docs, benchmark, doc_id, **options)
+    rows = whole_rows(docs)
+    report, _ = contamination(rows.select(ROW, F.col(DOC)[text].alias("text")), benchmark, ROW, **options)
     # stored, so that the planner knows how few they are and leaves the texts where they lie
-    bad = cut(report.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = cut(report.where("contaminated").select(F.col("doc_id").alias(ROW)))
+    return rows.join(bad, ROW, "left_anti").select(f"{DOC}.*")

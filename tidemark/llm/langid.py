@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import ROW, cut
+from tidemark.llm.rows import DOC, ROW, cut, whole_rows
 from tidemark.llm.words import row_groups
 
 ORDER = 4
@@ -313,13 +313,16 @@ def in_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def keep_known(docs: DataFrame, doc_id: str = "doc_id", **columns: str) -> DataFrame:
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns kept.
 
-    Learned from the rows outside the fold. Rows that share a key (nulls too) go if one is rejected.
+    Learned from the rows outside the fold that have a key. Each row is judged by itself, whatever its key.
     """
-    training = ~in_fold(F.col(doc_id)) & F.col(doc_id).isNotNull()
-    found = identify(docs, training, doc_id, **columns)
+    rows = whole_rows(docs)
+    of = F.col(DOC)
+    known = rows.select(ROW, of[doc_id].alias("doc_id"), of[text].alias("text"), of[lang].alias("lang"))
+    training = ~in_fold(F.col("doc_id")) & F.col("doc_id").isNotNull()
+    found = identify(known, training, ROW)
     # stored, so that the planner knows how few they are and leaves the texts where they lie
-    bad = cut(found.where("rejected").select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = cut(found.where("rejected").select(F.col("doc_id").alias(ROW)))
+    return rows.join(bad, ROW, "left_anti").select(f"{DOC}.*")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import cut
 
-__all__ = ["cut", "numbered", "part_count"]
+__all__ = ["cut", "numbered", "part_count", "whole_rows"]
 
 ROW = "_row"
+DOC = "_doc"
 
 
 def numbered(df: DataFrame, *columns: F.Column | str) -> DataFrame:
@@ -21,6 +22,11 @@ def numbered(df: DataFrame, *columns: F.Column | str) -> DataFrame:
     return cut(df.select(F.monotonically_increasing_id().alias(ROW), *columns))
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """All columns in the struct ``_doc`` with a row number in ``_row``, stored; names cannot clash."""
+    return numbered(df, F.struct("*").alias(DOC))
+
+
 def part_count(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitioning by a key."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components, unite
 from tidemark.llm import words as W
-from tidemark.llm.rows import ROW, cut, numbered, part_count
+from tidemark.llm.rows import DOC, ROW, cut, numbered, part_count, whole_rows
 
 BITS = 64
 SLICE = 1 << 15  # shingles whose bits are counted at once
@@ -335,8 +335,9 @@ def _verified(group: pa.Table, budget: int, limit: int, similarity: float) -> pa
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
-                      similarity: float = 0.8, tables: int = 3, budget: int = 3) -> DataFrame:
-    """``_row, doc_id, component, is_first`` for every row of ``docs``.
+                      similarity: float = 0.8, tables: int = 3, budget: int = 3,
+                      row: Column | None = None) -> DataFrame:
+    """``_row, doc_id, component, is_first`` for every row of ``docs``; ``row`` is a stored row number, if there is one.
 
     Rows link if one of ``tables`` fingerprints of their words differs in at most ``budget`` bits and their
     sets of shingles have a Jaccard similarity of ``similarity`` or more; equal sets always link.
@@ -348,8 +349,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     cut into chunks, and a task holds two chunks.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(doc_id).alias("doc_id"),
-                         F.col(text).alias("text"))
+    number = F.monotonically_increasing_id() if row is None else row
+    source = docs.select(number.alias(ROW), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = cut(source.mapInArrow(
         lambda it: _prints(it, shingle, tables),
         ", ".join([f"{ROW} bigint, doc_id {kind}, prints array<bigint>, shingles binary, digest bigint",
@@ -380,8 +381,11 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of similar documents, all columns kept.
 
-    Keys are taken as unique; rows that share a kept key stay together.
+    Rows are told apart by number, so one of several equal rows stays, and keys may be null or repeat.
     """
-    kept = similar_documents(docs, doc_id, text, **options).where("is_first").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    rows = whole_rows(docs)
+    of = F.col(DOC)
+    found = similar_documents(rows.select(ROW, of[doc_id].alias("doc_id"), of[text].alias("text")),
+                              row=F.col(ROW), **options)
+    gone = cut(found.where("not is_first").select(ROW))
+    return rows.join(gone, ROW, "left_anti").select(f"{DOC}.*")
