@@ -276,6 +276,18 @@ def test_personal_spans(spark, docs, empty):
     assert pii.mask_personal(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("size", [16, 256, 257, 400, 5000])
+def test_secrets_are_taken_whole(spark, size):
+    token = "".join(random.Random(size).choice("0123456789abcdefXYZ_+/-") for _ in range(size))
+    text = f"login with api_key={token} today"
+    assert (19, 4, 19 + size) in {c[:3] for c in pii.candidates(text)}
+    held = token[:8] + "x4111111111111111x" + token[8:]
+    found = pii.candidates(f"login with api_key={held} today")
+    assert {(19, 4, 19 + len(held)), (28, 2, 44)} <= {c[:3] for c in found}
+    got = pii.mask_personal(spark.createDataFrame([(1, text, "en", "s", len(text))], DOC)).first()
+    assert size < 400 or got.text == "login with api_key=[SECRET] today"
+
+
 def test_reliabilities_find_the_bad_labeler():
     """Two labelers tell the truth in nine of ten cases, one is wrong as often as right."""
     r = np.random.default_rng(1)

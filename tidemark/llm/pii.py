@@ -38,7 +38,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]")
-_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|api[_-]?key|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?([0-9a-z_/+-]{16,256})")
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|api[_-]?key|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?([0-9a-z_/+-]{16,}+)")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SPELLED = re.compile(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\s?[\[(]at[\])]\s?[a-z0-9-]{1,63}\s?[\[(]dot[\])]\s?[a-z]{2,12}(?![a-z])")
 
@@ -101,7 +101,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Wider candidates that overlap no base span and no earlier kind."""
+    """Wider candidates that overlap no base span and no earlier kind.
+
+    A secret may hold base spans: it is dropped only if it lies within one, so that none of its parts stays.
+    """
     found = [(m.start(1), 4, m.end(1)) for m in _SECRET.finditer(text)]
     for m in _CARD.finditer(text):
         digits = only_digits(m[0])
@@ -117,7 +120,8 @@ def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
     for span in sorted(found):
         while now and now[2] <= span[0]:
             now = next(taken, None)
-        if span[0] >= end and not (now and now[0] < span[2]):
+        taken_up = now and (now[0] <= span[0] and span[2] <= now[2] if span[1] == 4 else now[0] < span[2])
+        if span[0] >= end and not taken_up:
             kept.append(span)
             end = span[2]
     return kept
