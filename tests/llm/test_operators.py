@@ -155,6 +155,32 @@ def test_similar_documents_against_all_pairs(spark, monkeypatch, chunk_bytes):
     assert {r.doc_id for r in found if r.is_first} == {min(g) for g in group.values()}
 
 
+def test_similar_documents_miss_no_pair(spark):
+    """Texts of 8 to 100 words with appended and replaced runs, against all pairs."""
+    r = random.Random(9)
+    texts = []
+    for size in (8, 12, 20, 35, 50, 70, 100):
+        for _ in range(12):
+            own = [f"v{int(r.paretovariate(0.7)) % 5000}" for _ in range(size)]
+            extra = [f"u{r.randrange(10**6)}" for _ in range(max(1, size // 6))]
+            at = r.randrange(size)
+            texts += [own, own + extra, own[:at] + extra[:max(1, size // 40)] + own[at + 1:]]
+    sets = [{tuple(t[k: k + 5]) for k in range(max(len(t) - 4, 1))} for t in texts]
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    df = spark.createDataFrame([(k, " ".join(t), None, None, None) for k, t in enumerate(texts)], DOC)
+    got = {}
+    for row in simhash.similar_documents(df).collect():
+        got.setdefault(row.component, set()).add(row.doc_id)
+    want = {}
+    for k, g in enumerate(group):
+        want.setdefault(g, set()).add(k)
+    assert len(want) < len(texts) - 60 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_stages_judge_rows_by_themselves(spark):
     """Null and shared keys: only the bad rows go, and one of several equal rows stays."""
     good = [r[1] for r in language_rows()]

@@ -13,7 +13,8 @@ Three differing bits are far fewer than those of texts with, say, four fifths of
 ``similar_documents`` walks the tries of several independent word fingerprints, which near copies
 hardly change. A wide fingerprint of the distinct shingles drops pairs that are clearly too far apart; what
 hangs together after that is a candidate group, in which the same tries are walked again and each
-pair is verified by its shingle sets.
+pair is verified by its shingle sets. The tries find most links cheaply but not all, so an exact search by
+set prefixes follows, which leaves out only pairs that are in one component already.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ WIDE = 4 * BITS  # bits that estimate the similarity of shingles
 CHUNK = 8192  # fingerprints of one cell that a task takes from each side
 GROUP_CHUNK = 1024  # members of one candidate group that a task takes from each side
 CHUNK_BYTES = 1 << 24  # and their shingle sets, about
+CELLS, SLOTS = 1 << 20, 64  # counters of shingles that put rare ones first, and the parts they are added up in
+POSTINGS = 1 << 22  # candidate pairs of a task that are made at once
 DEVIATIONS = 3  # standard deviations of the wide bits that a similar pair may be off
 
 
@@ -334,13 +337,129 @@ def _verified(group: pa.Table, budget: int, limit: int, similarity: float) -> pa
     return pa.table({"a": pa.array(node[root[member]]), "b": pa.array(node[member])})
 
 
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of one partition fall into each cell, a row for each slot."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        np.add.at(counts, np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") % CELLS, 1)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(range(SLOTS), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(SLOTS, -1)], pa.binary())],
+        names=["slot", "counts"])
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slot, x in zip(*(c.to_pylist() for c in batch.columns)):
+            total[slot] = total.get(slot, 0) + np.frombuffer(x, np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())],
+        names=["slot", "counts"])
+
+
+def shingle_weights(rows: DataFrame) -> np.ndarray:
+    """Occurrences of all shingles by cell. They only set an order, so shared cells cost time and no pair."""
+    kind = "slot int, counts binary"
+    parts = rows.select("shingles").mapInArrow(_cell_counts, kind).repartition(SLOTS, "slot").mapInArrow(
+        _added_up, kind).collect()
+    out = np.zeros((SLOTS, CELLS // SLOTS), np.int64)
+    for r in parts:
+        out[r.slot] = np.frombuffer(r.counts, np.int64)
+    return out.reshape(-1)
+
+
+def prefix_of(shingles: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets of that similarity share one of them."""
+    n = len(shingles)
+    size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    return shingles[np.lexsort((shingles, weights[shingles % CELLS]))[:size]]
+
+
+def _postings(batches: Iterator[pa.RecordBatch], weights, similarity: float) -> Iterator[pa.RecordBatch]:
+    """``node, size, shingle`` of the prefixes."""
+    for batch in batches:
+        nodes = np.asarray(batch.column(0))
+        for lo in range(0, len(nodes), 256):
+            sets = [np.frombuffer(x, "<u4") for x in batch.column(1)[lo: lo + 256].to_pylist()]
+            found = [prefix_of(x, weights.value, similarity) for x in sets]
+            n = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(nodes[lo: lo + 256], n)), pa.array(np.repeat([len(x) for x in sets], n).astype(np.int64)),
+                 pa.array(np.concatenate(found).astype(np.int64))], names=["node", "size", "shingle"])
+
+
+def _shared_prefixes(batches: Iterator[pa.RecordBatch], similarity: float, stars: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different roots that share a prefix shingle and whose sizes allow the similarity.
+
+    With ``stars``, a member is only paired with the smallest set of its shingle that its size allows.
+    """
+    read = [[np.asarray(c) for c in b.columns] for b in batches]
+    if not read:
+        return
+    shingle, size, node, root = (np.concatenate(c) for c in zip(*read))
+    order = np.lexsort((node, size, shingle))
+    shingle, size, node, root = (x[order] for x in (shingle, size, node, root))
+    new = np.ones(len(node), bool)
+    new[1:] = shingle[1:] != shingle[:-1]
+    head = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    # first row of the same shingle that is large enough: sizes are ascending within a run
+    step = np.int64(size.max() + 2)
+    least = np.ceil(similarity * size - 1e-9).astype(np.int64)
+    first = np.maximum(np.searchsorted(run * step + size, run * step + least), head[run])
+    at = np.arange(len(node))
+    n = np.minimum(at - first, 1) if stars else at - first
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + POSTINGS, "right")))
+        j = np.repeat(at[lo:hi], n[lo:hi])
+        i = first[j] + np.arange(len(j)) - np.repeat(ends[lo:hi] - n[lo:hi] - (ends[lo - 1] if lo else 0), n[lo:hi])
+        open_ = root[i] != root[j]
+        a, b = np.minimum(node[i], node[j])[open_], np.maximum(node[i], node[j])[open_]
+        pairs = np.unique(np.stack([a, b]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        lo = hi
+
+
+def _similar_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (c.to_pylist() for c in batch.columns[2:])
+        near = [is_similar(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), similarity) for p, q in zip(x, y)]
+        keep = pa.array(near, pa.bool_())
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+
+
+def all_roots(sets: DataFrame, links: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+    """``node, root`` of all nodes that are linked by ``links`` or by a pair of that similarity; no pair is missed.
+
+    ``sets`` has ``node, shingles``. First every set meets one of those that share a prefix shingle, which joins dense
+    groups without all of their pairs; then all pairs that are still in different components are verified.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(weights)
+    posted = cut(sets.mapInArrow(lambda it: _postings(it, shared, similarity), "node long, size long, shingle long"))
+    links = cut(links.select("a", "b"))
+    for stars in (True, False):
+        roots = connected_components(links)
+        placed = posted.join(roots, "node", "left").select(
+            "shingle", "size", "node", F.coalesce("root", "node").alias("root"))
+        pairs = placed.repartition(part_count(sets), "shingle").mapInArrow(
+            lambda it, stars=stars: _shared_prefixes(it, similarity, stars), "a long, b long").distinct()
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        found = cut(cut(pairs).join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
+            lambda it: _similar_pairs(it, similarity), "a long, b long"))
+        links = links.unionByName(found)
+    return connected_components(links)
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
                       similarity: float = 0.8, tables: int = 3, budget: int = 3,
                       row: Column | None = None) -> DataFrame:
     """``_row, doc_id, component, is_first`` for every row of ``docs``; ``row`` is a stored row number, if there is one.
 
-    Rows link if one of ``tables`` fingerprints of their words differs in at most ``budget`` bits and their
-    sets of shingles have a Jaccard similarity of ``similarity`` or more; equal sets always link.
+    Rows link if their sets of shingles have a Jaccard similarity of ``similarity`` or more. Pairs within ``budget``
+    bits in one of ``tables`` word fingerprints are found by tries, all others by the prefixes of their sets.
     ``component`` is a number that linked rows share, ``is_first`` marks
     its row with the smallest key (then row number; null keys last). Null, blank and wordless texts
     are equal to each other; repeated rows are copies; an empty table gives no rows; other columns are not read.
@@ -368,7 +487,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     chunks = F.ceil(F.greatest(F.count("*") / GROUP_CHUNK, F.sum(F.length("shingles")) / CHUNK_BYTES))
     links = _chunk_pairs(members, ["root"], chunks).groupBy("root", "low", "high").applyInArrow(
         lambda group: _verified(group, budget, limit, similarity), "a long, b long")
-    roots = connected_components(links)
+    sets = rows.select(F.col(ROW).alias("node"), "shingles").join(classes.select("node"), "node", "left_semi")
+    roots = all_roots(sets, links, shingle_weights(rows), similarity)
     named = cut(classes.select("digest", "node", "least").join(roots, "node", "left").select(
         "digest", "least", F.coalesce("root", "node").alias("component")))
     firsts = named.groupBy("component").agg(F.min(F.col("least")).alias("first"))
