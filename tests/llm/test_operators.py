@@ -422,6 +422,23 @@ def test_licences(spark, docs, empty):
     assert licences.scan(empty, licences.known_digests(spark)).count() == 0
 
 
+def test_licence_lines_agree_with_sql(spark):
+    """Every known text on one line, and one from a further table without any licence word."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [f"some text\n{' '.join(t.split())}\nmore text" for _, t in licences.KNOWN]
+    df = frame(spark, texts, clash=False)
+    scanned = licences.scan(df, licences.known_digests(spark))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(r.doc_id, r.text) for r in df.collect() if r.doc_id is not None])
+    cur = con.execute(licences.scan_sql())
+    want = {r[0]: r for r in cur.fetchall() if r[0] != 3}
+    got = {r.doc_id: tuple(r) for r in scanned.collect() if r.doc_id not in (None, 3)}
+    assert got == want and all(got[k][3] == name for k, (name, _) in enumerate(licences.KNOWN) if k != 3)
+    further = licences.known_digests(spark, [("own", "Do as you like with this.")])
+    assert licences.scan(frame(spark, ["a\nDo as you like with this\nb"]), further).where("notices = 'own'").count() == 1
+
+
 def test_repeats_against_loops(spark, docs, empty):
     passage = "This passage of quite many words stands in several texts and should stay only once. And so does this second sentence of the passage here."
     texts = [passage, f"Something of its own stands here first. {passage} And an end of its own that is long enough.",

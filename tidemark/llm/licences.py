@@ -87,10 +87,11 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
     """
     rows = numbered(
         docs, F.col(doc_id).alias("doc_id"), F.sha2(canonical(F.col(text)), 256).alias("digest"),
-        F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _line_digest),
-                 lambda d: d.isNotNull()).alias("lines"))
+        F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
+                    lambda line: F.unhex(F.sha2(canonical(line), 256))).alias("lines"))
     whole = known.select("digest", F.col("license_id"))
-    lines = rows.select(ROW, F.explode("lines").alias("digest")).join(known, "digest").groupBy(ROW).agg(
+    of_line = known.select(F.unhex("digest").alias("digest"), "license_id")
+    lines = rows.select(ROW, F.explode("lines").alias("digest")).join(of_line, "digest").groupBy(ROW).agg(
         F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"),
         F.count("*").alias("n"))
     return rows.select(ROW, "doc_id", "digest").join(whole, "digest", "left").join(lines, ROW, "left").select(
@@ -98,11 +99,6 @@ def scan(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str =
         F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n", F.lit(0)).alias("n_notice_lines"))
 
 
-def _line_digest(line: Column) -> Column:
-    """Digest of a line that names a licence; every known notice has one of these words."""
-    return F.when(F.lower(line).rlike("licen[cs]e|released under|cc0"), F.sha2(canonical(line), 256))
-
-
 def canonical_sql(text: str) -> str:
     """The canonical form in SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
