@@ -13,6 +13,7 @@ from tidemark.llm import (
     decontaminate,
     langid,
     licences,
+    periodic,
     pieces,
     pii,
     repeats,
@@ -113,6 +114,35 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _looped(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the contract's damage: the tail of a tenth of the texts repeats some of its words."""
+    code = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    split = docs.select("doc_id", "text", code.alias("h"), F.when(code % 10 == 0, words).alias("w"))
+    split = split.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    split = split.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    left = F.col("n") - F.col("a")
+    split = split.withColumn("p", (F.floor(left / (3 + F.col("g") % 8)) + 1).cast("int"))
+    turns = F.ceil(left / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), turns)), F.lit(1), left)
+    looped = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return split.select("doc_id", F.when(F.col("n") > 0, looped).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of words in every document, a tenth of them given a repeating tail."""
+    found = periodic.periodic_runs(_looped(table(spark, sf, "documents", DOCUMENTS)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r.length.alias("length"), (-r.start).alias("before"), (-r.period).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select("doc_id", "n_words", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.short")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.short")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words")
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus pipeline at the repository's top."""
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -125,7 +155,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pii, op2_pieces, op3_simhash, op4_langid, op5_decontamination, op6_licences, op7_repeats, op8_topk,
-    op9_shards, op10_warc, pipeline)}
+    op9_shards, op10_warc, op13_periodic, pipeline)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
