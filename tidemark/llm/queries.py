@@ -16,6 +16,7 @@ from tidemark.llm import (
     periodic,
     pieces,
     pii,
+    repair,
     repeats,
     sharding,
     simhash,
@@ -29,6 +30,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 BENCHMARK = "item_id bigint, text string"
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
+CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
 PAGES = "page_id bigint, url string, html string"
 
 
@@ -114,6 +116,31 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """The contract's damage: rows lost, emptied, cut off, repeated or given to the user, by a checksum of their key."""
+    of = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    kind = (F.crc32(of) % 20).alias("kind")
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind).where("kind <> 0")
+    rows = rows.select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(
+            F.col("text")).alias("text"), F.when(F.col("kind") == 3, 2).otherwise(1).alias("copies"))
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copy", "copies")
+
+
+def op12_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation damaged and its role order repaired."""
+    turns = table(spark, sf, "conversations", CONVERSATIONS)
+    report = repair.repair_report(_damaged(turns))
+    every = turns.select(F.col("conv_id").alias("_conv")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(report, F.col("_conv").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_conv").alias("conv_id"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def _looped(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with the contract's damage: the tail of a tenth of the texts repeats some of its words."""
     code = F.crc32(F.col("doc_id").cast("string"))
@@ -155,7 +182,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pii, op2_pieces, op3_simhash, op4_langid, op5_decontamination, op6_licences, op7_repeats, op8_topk,
-    op9_shards, op10_warc, op13_periodic, pipeline)}
+    op9_shards, op10_warc, op12_repair, op13_periodic, pipeline)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
