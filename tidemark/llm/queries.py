@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     decontaminate,
+    editprint,
     langid,
     licences,
     periodic,
@@ -116,6 +117,14 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_editprint(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of it spliced with the next."""
+    found = editprint.spliced_prints(table(spark, sf, "documents", DOCUMENTS))
+    return found.select("doc_id", "n_chars", *(
+        F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")),
+        "near_edited", "near_next")
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """The contract's damage: rows lost, emptied, cut off, repeated or given to the user, by a checksum of their key."""
     of = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
@@ -182,7 +191,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pii, op2_pieces, op3_simhash, op4_langid, op5_decontamination, op6_licences, op7_repeats, op8_topk,
-    op9_shards, op10_warc, op12_repair, op13_periodic, pipeline)}
+    op9_shards, op10_warc, op11_editprint, op12_repair, op13_periodic, pipeline)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
