@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.rows import DOC, ROW, cut, whole_rows
+from tidemark.llm.rows import DOC, PLACE, ROW, cut, placed, scratch, without
 
 FILTER_BITS = 24  # the filter sent to all tasks is 2 MiB, whatever the benchmark's size
 
@@ -192,13 +192,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
-               **options) -> DataFrame:
+               stored: bool = False, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept.
 
-    Each row is judged by itself; keys are not read, so they may be null or repeat.
+    Each row is judged by itself; keys are not read, so they may be null or repeat. ``stored``: ``docs``
+    is a table as read from Parquet, which need not be copied.
     """
-    rows = whole_rows(docs)
-    report, _ = contamination(rows.select(ROW, F.col(DOC)[text].alias("text")), benchmark, ROW, **options)
-    # stored, so that the planner knows how few they are and leaves the texts where they lie
-    bad = cut(report.where("contaminated").select(F.col("doc_id").alias(ROW)))
-    return rows.join(bad, ROW, "left_anti").select(f"{DOC}.*")
+    rows = placed(docs, stored)
+    with scratch(docs.sparkSession) as keep:
+        report, _ = contamination(rows.select(PLACE, F.col(DOC)[text].alias("text")), benchmark, PLACE, **options)
+        # stored, so that the planner knows how few they are and leaves the texts where they lie
+        bad = keep(report.where("contaminated").select("doc_id.*"))
+    return without(rows, bad)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import DOC, ROW, cut, whole_rows
+from tidemark.llm.rows import DOC, PLACE, ROW, cut, placed, scratch, without
 from tidemark.llm.words import row_groups
 
 ORDER = 4
@@ -313,16 +313,19 @@ def in_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def keep_known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+               stored: bool = False) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns kept.
 
-    Learned from the rows outside the fold that have a key. Each row is judged by itself, whatever its key.
+    Learned from the rows outside the fold that have a key. Each row is judged by itself, whatever its key. ``stored``: ``docs``
+    is a table as read from Parquet, which need not be copied.
     """
-    rows = whole_rows(docs)
+    rows = placed(docs, stored)
     of = F.col(DOC)
-    known = rows.select(ROW, of[doc_id].alias("doc_id"), of[text].alias("text"), of[lang].alias("lang"))
+    known = rows.select(PLACE, of[doc_id].alias("doc_id"), of[text].alias("text"), of[lang].alias("lang"))
     training = ~in_fold(F.col("doc_id")) & F.col("doc_id").isNotNull()
-    found = identify(known, training, ROW)
-    # stored, so that the planner knows how few they are and leaves the texts where they lie
-    bad = cut(found.where("rejected").select(F.col("doc_id").alias(ROW)))
-    return rows.join(bad, ROW, "left_anti").select(f"{DOC}.*")
+    with scratch(docs.sparkSession) as keep:
+        found = identify(known, training, PLACE)
+        # stored, so that the planner knows how few they are and leaves the texts where they lie
+        bad = keep(found.where("rejected").select("doc_id.*"))
+    return without(rows, bad)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.lineage import cut
+from tidemark.operators.lineage import cut, scratch
 
-__all__ = ["cut", "numbered", "part_count", "whole_rows"]
+__all__ = ["cut", "numbered", "part_count", "placed", "scratch", "without"]
 
 ROW = "_row"
 DOC = "_doc"
+PLACE = "_place"
 
 
 def numbered(df: DataFrame, *columns: F.Column | str) -> DataFrame:
@@ -22,9 +23,22 @@ def numbered(df: DataFrame, *columns: F.Column | str) -> DataFrame:
     return cut(df.select(F.monotonically_increasing_id().alias(ROW), *columns))
 
 
-def whole_rows(df: DataFrame) -> DataFrame:
-    """All columns in the struct ``_doc`` with a row number in ``_row``, stored; names cannot clash."""
-    return numbered(df, F.struct("*").alias(DOC))
+def placed(df: DataFrame, stored: bool) -> DataFrame:
+    """All columns in the struct ``_doc``, and in ``_place`` the file of each row and its number in it.
+
+    A row's place tells it from every other and any later scan finds it again, so nothing is copied if ``df`` is
+    ``stored``: a table as read from Parquet, no row of it repeated by a join or explode. Otherwise it is stored first.
+    """
+    df = df.select(F.struct("*").alias(DOC)) if stored else cut(df.select(F.struct("*").alias(DOC)))
+    of = df.metadataColumn("_metadata")
+    return df.select(DOC, F.struct(of["file_path"].alias("file"), of["row_index"].alias("at")).alias(PLACE))
+
+
+def without(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The documents of ``placed`` rows, but those at the given places (``file, at``)."""
+    gone = places.select(F.col("file").alias("_file"), F.col("at").alias("_at"))
+    at = F.col(PLACE)
+    return rows.join(gone, (at["file"] == F.col("_file")) & (at["at"] == F.col("_at")), "left_anti").select(f"{DOC}.*")
 
 
 def part_count(df: DataFrame) -> int:

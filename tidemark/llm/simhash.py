@@ -14,12 +14,14 @@ Three differing bits are far fewer than those of texts with, say, four fifths of
 hardly change. A wide fingerprint of the distinct shingles drops pairs that are clearly too far apart; what
 hangs together after that is a candidate group, in which the same tries are walked again and each
 pair is verified by its shingle sets. The tries find most links cheaply but not all, so an exact search by
-set prefixes follows, which leaves out only pairs that are in one component already.
+set prefixes follows, which leaves out only pairs that are in one component already. A shingle
+that is known to occur in one row alone can be shared by none and is not posted.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components, unite
 from tidemark.llm import words as W
-from tidemark.llm.rows import DOC, ROW, cut, numbered, part_count, whole_rows
+from tidemark.llm.rows import DOC, PLACE, ROW, cut, numbered, part_count, placed, scratch, without
 
 BITS = 64
 SLICE = 1 << 15  # shingles whose bits are counted at once
@@ -42,7 +44,12 @@ WIDE = 4 * BITS  # bits that estimate the similarity of shingles
 CHUNK = 8192  # fingerprints of one cell that a task takes from each side
 GROUP_CHUNK = 1024  # members of one candidate group that a task takes from each side
 CHUNK_BYTES = 1 << 24  # and their shingle sets, about
-CELLS, SLOTS = 1 << 20, 64  # counters of shingles that put rare ones first, and the parts they are added up in
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 26  # counters of shingles: about one a shingle, at most 32 MB in all
+SLOT = 1 << 16  # counters that are added up together
+# fixed values: least counts of the levels that a counter is rounded to; level 1 is a count of one
+LEVELS = np.array([1, 2, 3, 5, 12, 30, 75, 190, 470, 1200, 3000, 7500, 19000, 50000, 200000])
+SHINGLE_BYTES = 8  # bytes of text for each shingle, about
+SEEN = 1 << 17  # texts that a task remembers to have posted
 POSTINGS = 1 << 22  # candidate pairs of a task that are made at once
 DEVIATIONS = 3  # standard deviations of the wide bits that a similar pair may be off
 
@@ -265,27 +272,55 @@ _DIGEST_SALT = np.uint64(0xA0761D6478BD642F)
 _WIDE_NAMES = tuple(f"wide{k}" for k in range(WIDE // BITS))
 
 
-def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """Row number, key, word fingerprints, distinct shingles, their digest and wide fingerprint of each row."""
-    names = [ROW, "doc_id", "prints", "shingles", "digest", *_WIDE_NAMES]
+def _shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """First row, word hashes and sorted distinct shingles of some rows at a time."""
+    data, offsets = W.text_bytes(column)
+    for lo, hi in W.row_groups(offsets):
+        found = W.words_of(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
+        words = [found.hash[a:b] for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist())]
+        yield lo, words, [np.unique(W.shingle_hashes(w, min(shingle, len(w)))) if len(w) else w for w in words]
+
+
+def _digest(shingles: np.ndarray) -> np.uint64:
+    return np.add.reduce(W.mix(shingles ^ _DIGEST_SALT), dtype=np.uint64)
+
+
+def _cells_of(shingles: np.ndarray, cells: int) -> np.ndarray:
+    return (shingles >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
+def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """Row number, place, key, word fingerprints, digest of the shingles and wide fingerprint of each row.
+
+    Last come counters: in how many rows of the partition a shingle of the cell occurs, packed by slot.
+    """
+    counts = np.zeros(cells, np.uint8)
+    schema = None
     for batch in batches:
-        data, offsets = W.text_bytes(batch.column(2))
-        for lo, hi in W.row_groups(offsets):
-            found = W.words_of(data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
-            prints, sets, digests, wide = [], [], [], []
-            for a, b in zip(found.first[:-1].tolist(), found.first[1:].tolist()):
-                words = found.hash[a:b]
-                shingles = np.unique(W.shingle_hashes(words, min(shingle, b - a))) if b > a else words
-                high = (shingles >> np.uint64(32)).astype("<u4")
-                prints.append([_majority(W.mix(words ^ salt)) for salt in _WORD_SALTS[:tables]])
-                sets.append(high[np.append(True, high[1:] != high[:-1])[:len(high)]].tobytes())
-                digests.append(np.add.reduce(W.mix(shingles ^ _DIGEST_SALT), dtype=np.uint64))
+        for lo, words, sets in _shingle_sets(batch.column(3), shingle):
+            prints, digests, wide = [], [], []
+            for own, shingles in zip(words, sets):
+                prints.append([_majority(W.mix(own ^ salt)) for salt in _WORD_SALTS[:tables]])
+                digests.append(_digest(shingles))
                 wide.append([_majority(W.mix(shingles ^ salt)) for salt in _WIDE_SALTS])
-            part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(prints, pa.list_(pa.int64())), pa.array(sets, pa.binary()),
+            cell, often = np.unique(_cells_of(np.concatenate(sets), cells), return_counts=True)
+            counts[cell] = np.minimum(counts[cell] + often, 255)
+            part = batch.slice(lo, len(sets))
+            out = pa.RecordBatch.from_arrays(
+                [*part.columns[:3], pa.array(prints, pa.list_(pa.int64())),
                  pa.array(np.array(digests, np.uint64).view(np.int64)),
-                 *[pa.array([w[k] for w in wide], pa.int64()) for k in range(len(_WIDE_NAMES))]], names=names)
+                 *[pa.array([w[k] for w in wide], pa.int64()) for k in range(len(_WIDE_NAMES))],
+                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                names=[ROW, PLACE, "doc_id", "prints", "digest", *_WIDE_NAMES, "slot", "counts"])
+            schema = out.schema
+            yield out
+    if schema is not None:
+        slots = counts.reshape(-1, min(SLOT, cells))
+        used = np.flatnonzero(slots.any(axis=1))
+        packed = [zlib.compress(slots[k].tobytes(), 1) for k in used.tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.nulls(len(used), f.type) for f in list(schema)[:-2]], pa.array(used, pa.int32()), pa.array(packed, pa.binary())],
+            schema=schema)
 
 
 def similar_bits(similarity: float) -> int:
@@ -315,7 +350,7 @@ def _verified(group: pa.Table, budget: int, limit: int, similarity: float) -> pa
     own = group.column("low")[0] == group.column("high")[0]
     prints = np.array(group.column("prints").to_pylist(), np.int64).view(np.uint64)
     wide = [np.asarray(group.column(c)).view(np.uint64) for c in _WIDE_NAMES]
-    sets = [np.frombuffer(x, "<u4") for x in group.column("shingles").to_pylist()]
+    sets = [np.frombuffer(x, "<u8") for x in group.column("shingles").to_pylist()]
     root = np.arange(len(node))
     for fp in prints.T:
         order = np.lexsort((fp, part))
@@ -337,126 +372,182 @@ def _verified(group: pa.Table, budget: int, limit: int, similarity: float) -> pa
     return pa.table({"a": pa.array(node[root[member]]), "b": pa.array(node[member])})
 
 
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often the shingles of one partition fall into each cell, a row for each slot."""
-    counts = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        np.add.at(counts, np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4") % CELLS, 1)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(SLOTS), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(SLOTS, -1)], pa.binary())],
-        names=["slot", "counts"])
-
-
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The level of each counter of a slot, two to a byte."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for slot, x in zip(*(c.to_pylist() for c in batch.columns)):
-            total[slot] = total.get(slot, 0) + np.frombuffer(x, np.int64)
+            total[slot] = total.get(slot, 0) + np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64)
+    levels = [np.searchsorted(LEVELS, c, "right").astype(np.uint8) for c in total.values()]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())],
-        names=["slot", "counts"])
-
+        [pa.array(list(total), pa.int32()), pa.array([(x[::2] | x[1::2] << 4).tobytes() for x in levels], pa.binary())],
+        names=["slot", "levels"])
 
-def shingle_weights(rows: DataFrame) -> np.ndarray:
-    """Occurrences of all shingles by cell. They only set an order, so shared cells cost time and no pair."""
-    kind = "slot int, counts binary"
-    parts = rows.select("shingles").mapInArrow(_cell_counts, kind).repartition(SLOTS, "slot").mapInArrow(
-        _added_up, kind).collect()
-    out = np.zeros((SLOTS, CELLS // SLOTS), np.int64)
-    for r in parts:
-        out[r.slot] = np.frombuffer(r.counts, np.int64)
-    return out.reshape(-1)
-
-
-def prefix_of(shingles: np.ndarray, weights: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest shingles of a set, so many that two sets of that similarity share one of them."""
-    n = len(shingles)
-    size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-    return shingles[np.lexsort((shingles, weights[shingles % CELLS]))[:size]]
 
+def shingle_levels(counters: DataFrame, cells: int) -> np.ndarray:
+    """Levels of all counters, two to a byte, from ``slot, counts``; at most ``MOST_CELLS / 2`` bytes.
 
-def _postings(batches: Iterator[pa.RecordBatch], weights, similarity: float) -> Iterator[pa.RecordBatch]:
-    """``node, size, shingle`` of the prefixes."""
-    for batch in batches:
-        nodes = np.asarray(batch.column(0))
-        for lo in range(0, len(nodes), 256):
-            sets = [np.frombuffer(x, "<u4") for x in batch.column(1)[lo: lo + 256].to_pylist()]
-            found = [prefix_of(x, weights.value, similarity) for x in sets]
-            n = [len(x) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(nodes[lo: lo + 256], n)), pa.array(np.repeat([len(x) for x in sets], n).astype(np.int64)),
-                 pa.array(np.concatenate(found).astype(np.int64))], names=["node", "size", "shingle"])
+    They set an order, rare shingles first, and level 1 proves that a shingle occurs in one row alone; shingles that
+    share a counter cost time and no pair.
+    """
+    size = min(SLOT, cells) // 2
+    out = np.zeros(cells // 2, np.uint8)
+    for r in counters.repartition(part_count(counters), "slot").mapInArrow(
+            _added_up, "slot int, levels binary").toLocalIterator():
+        out[r.slot * size: (r.slot + 1) * size] = np.frombuffer(r.levels, np.uint8)
+    return out
 
 
-def _shared_prefixes(batches: Iterator[pa.RecordBatch], similarity: float, stars: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different roots that share a prefix shingle and whose sizes allow the similarity.
+def prefix_of(shingles: np.ndarray, levels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and shingles of a set's prefix that other sets may have.
 
-    With ``stars``, a member is only paired with the smallest set of its shingle that its size allows.
+    The prefix are the rarest shingles, so many that two sets of that similarity share one of them.
     """
+    n = len(shingles)
+    cell = _cells_of(shingles, 2 * len(levels))
+    level = levels[cell >> 1] >> (4 * (cell & 1)).astype(np.uint8) & 15
+    common = level > 1
+    alone = n - int(np.count_nonzero(common))
+    size = n - math.ceil(similarity * n - 1e-9) + 1 - alone
+    if size <= 0 or not n:
+        return np.zeros(0, np.int64), shingles[:0]
+    rest = shingles[common]
+    found = rest[np.lexsort((rest, level[common]))[:size]]
+    return alone + np.arange(len(found)), found
+
+
+def _postings(batches: Iterator[pa.RecordBatch], shingle: int, levels, similarity: float) -> Iterator[pa.RecordBatch]:
+    """``node, size, place, shingle`` of the prefixes; a text that the task has seen just before is not posted again."""
+    seen: set[int] = set()
+    for batch in batches:
+        for _, _, sets in _shingle_sets(batch.column(0), shingle):
+            node, size, place, posted = [], [], [], []
+            for shingles in sets:
+                digest = int(_digest(shingles).view(np.int64))
+                if digest in seen:
+                    continue
+                if len(seen) == SEEN:
+                    seen.clear()
+                seen.add(digest)
+                at, found = prefix_of(shingles, levels.value, similarity)
+                if len(found):
+                    node.append(np.full(len(found), digest))
+                    size.append(np.full(len(found), len(shingles)))
+                    place.append(at)
+                    posted.append(found)
+            if node:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(node)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)),
+                     pa.array(np.concatenate(posted).view(np.int64))], names=["node", "size", "place", "shingle"])
+
+
+_PAIR = ["a", "size_a", "place_a", "b", "size_b", "place_b"]
+
+
+def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of different roots that share a prefix shingle and whose sizes allow the similarity, in the chunk pairs of a partition."""
     read = [[np.asarray(c) for c in b.columns] for b in batches]
     if not read:
         return
-    shingle, size, node, root = (np.concatenate(c) for c in zip(*read))
-    order = np.lexsort((node, size, shingle))
-    shingle, size, node, root = (x[order] for x in (shingle, size, node, root))
-    new = np.ones(len(node), bool)
-    new[1:] = shingle[1:] != shingle[:-1]
-    head = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    # first row of the same shingle that is large enough: sizes are ascending within a run
-    step = np.int64(size.max() + 2)
-    least = np.ceil(similarity * size - 1e-9).astype(np.int64)
-    first = np.maximum(np.searchsorted(run * step + size, run * step + least), head[run])
-    at = np.arange(len(node))
-    n = np.minimum(at - first, 1) if stars else at - first
-    ends = np.cumsum(n)
+    rows = [np.concatenate(c) for c in zip(*read)]
+    order = np.lexsort(tuple(rows[::-1]))
+    shingle, low, high, root, node, size, place, part = (x[order] for x in rows)
+    cell = np.ones(len(node), bool)
+    cell[1:] = (shingle[1:] != shingle[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    new = cell.copy()
+    new[1:] |= root[1:] != root[:-1]
+
+    def ends(begins: np.ndarray) -> np.ndarray:
+        """The end of the stretch each row lies in."""
+        at = np.append(np.flatnonzero(begins), len(begins))
+        return at[np.cumsum(begins)]
+
+    # the partners of a row are those behind its root's stretch, to the end of its cell
+    first, end = ends(new), ends(cell)
+    n = end - first
+    total = np.cumsum(n)
     lo = 0
     while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + POSTINGS, "right")))
-        j = np.repeat(at[lo:hi], n[lo:hi])
-        i = first[j] + np.arange(len(j)) - np.repeat(ends[lo:hi] - n[lo:hi] - (ends[lo - 1] if lo else 0), n[lo:hi])
-        open_ = root[i] != root[j]
-        a, b = np.minimum(node[i], node[j])[open_], np.maximum(node[i], node[j])[open_]
-        pairs = np.unique(np.stack([a, b]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + POSTINGS, "right")))
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        j = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi])
+        # two rows of one part meet in that part's own cell
+        keep = (low[i] == high[i]) | (part[i] != part[j])
+        keep &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        i, j = i[keep], j[keep]
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for k in (i, j) for x in (node[k], size[k], place[k])], names=_PAIR)
         lo = hi
 
 
 def _similar_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = (c.to_pylist() for c in batch.columns[2:])
-        near = [is_similar(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), similarity) for p, q in zip(x, y)]
+        near = [is_similar(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), similarity) for p, q in zip(x, y)]
         keep = pa.array(near, pa.bool_())
         yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def all_roots(sets: DataFrame, links: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, _, sets in _shingle_sets(batch.column(1), shingle):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, len(sets)), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
+                names=["node", "shingles"])
+
+
+def possible_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of those pairs whose prefixes leave room for the similarity, from a row for each shared shingle.
+
+    Sets share no more than the shingles met, and the fewer of those that follow the last one met in either.
+    """
+    met = pairs.groupBy("a", "b").agg(
+        F.count("*").alias("met"), F.first("size_a").alias("m"), F.first("size_b").alias("n"),
+        F.max("place_a").alias("i"), F.max("place_b").alias("j"))
+    most = F.col("met") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
+    return met.where(most * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-9).select("a", "b")
+
+
+def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """``node, root`` of all nodes that are linked by ``links`` or by a pair of that similarity; no pair is missed.
 
-    ``sets`` has ``node, shingles``. First every set meets one of those that share a prefix shingle, which joins dense
-    groups without all of their pairs; then all pairs that are still in different components are verified.
+    ``sets`` has ``node, shingles`` of all nodes in ``links`` and ``posted``, which has the prefix shingles that several nodes
+    have. First every node meets the least one of each of its shingles, which joins dense groups
+    without all of their pairs; then all pairs that are still in different components are verified. A shingle of very many
+    nodes is cut into chunks.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(weights)
-    posted = cut(sets.mapInArrow(lambda it: _postings(it, shared, similarity), "node long, size long, shingle long"))
-    links = cut(links.select("a", "b"))
-    for stars in (True, False):
-        roots = connected_components(links)
-        placed = posted.join(roots, "node", "left").select(
-            "shingle", "size", "node", F.coalesce("root", "node").alias("root"))
-        pairs = placed.repartition(part_count(sets), "shingle").mapInArrow(
-            lambda it, stars=stars: _shared_prefixes(it, similarity, stars), "a long, b long").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        found = cut(cut(pairs).join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
-            lambda it: _similar_pairs(it, similarity), "a long, b long"))
-        links = links.unionByName(found)
+        return cut(cut(possible_pairs(pairs, similarity)).join(left, "a").join(right, "b").select(
+            "a", "b", "x", "y").mapInArrow(lambda it: _similar_pairs(it, similarity), "a long, b long"))
+
+    def rooted(roots: DataFrame) -> DataFrame:
+        return posted.join(roots, "node", "left").select(*posted.columns, F.coalesce("root", "node").alias("root"))
+
+    links = cut(links.select("a", "b"))
+    own = rooted(connected_components(links))
+    stars = own.groupBy("shingle").agg(F.min(F.struct("node", "size", "place", "root")).alias("star"))
+    pairs = own.join(stars, "shingle").where("root <> star.root").select(
+        F.col("star.node").alias("a"), F.col("star.size").alias("size_a"), F.col("star.place").alias("place_a"),
+        F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    links = links.unionByName(verified(pairs))
+    own = cut(rooted(connected_components(links)))
+    open_ = own.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    own = own.join(open_.select("shingle"), "shingle")
+    cells = _chunk_pairs(own, ["shingle"], F.ceil(F.count("*") / CHUNK)).select(
+        "shingle", "low", "high", "root", "node", "size", "place", "part")
+    across = cells.repartition(part_count(sets), "shingle", "low", "high").mapInArrow(
+        lambda it: _across(it, similarity), ", ".join(f"{c} long" for c in _PAIR))
+    links = links.unionByName(verified(across))
     return connected_components(links)
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
-                      similarity: float = 0.8, tables: int = 3, budget: int = 3,
-                      row: Column | None = None) -> DataFrame:
-    """``_row, doc_id, component, is_first`` for every row of ``docs``; ``row`` is a stored row number, if there is one.
+                      similarity: float = 0.8, tables: int = 3, budget: int = 3) -> DataFrame:
+    """``_row, doc_id, component, is_first`` for every row of ``docs``.
 
     Rows link if their sets of shingles have a Jaccard similarity of ``similarity`` or more. Pairs within ``budget``
     bits in one of ``tables`` word fingerprints are found by tries, all others by the prefixes of their sets.
@@ -464,48 +555,71 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     its row with the smallest key (then row number; null keys last). Null, blank and wordless texts
     are equal to each other; repeated rows are copies; an empty table gives no rows; other columns are not read.
 
-    Shingle sets leave the stored rows only for members of candidate groups. A large group is
-    cut into chunks, and a task holds two chunks.
+    Texts are scanned for their fingerprints, then for their prefixes; shingle sets are made only for members of candidate
+    groups and for texts that share a prefix shingle. A large group is cut into chunks, and a task holds two chunks.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    number = F.monotonically_increasing_id() if row is None else row
-    source = docs.select(number.alias(ROW), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = cut(source.mapInArrow(
-        lambda it: _prints(it, shingle, tables),
-        ", ".join([f"{ROW} bigint, doc_id {kind}, prints array<bigint>, shingles binary, digest bigint",
-                   *(f"{w} bigint" for w in _WIDE_NAMES)])))
-    classes = cut(rows.groupBy("digest").agg(
-        F.min_by(F.struct("prints", *_WIDE_NAMES), ROW).alias("of"), F.min(ROW).alias("node"),
+    return _similar(placed(docs.select(doc_id, text), False), doc_id, text, shingle, similarity, tables, budget).drop(PLACE)
+
+
+def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similarity: float = 0.8, tables: int = 3,
+             budget: int = 3) -> DataFrame:
+    """``similar_documents`` of placed rows, with their places."""
+    of = F.col(DOC)
+    kind = docs.schema[DOC].dataType[doc_id].dataType.simpleString()
+    place = docs.schema[PLACE].dataType.simpleString()
+    letters = docs.agg(F.sum(F.octet_length(of[text]))).first()[0] or 0
+    cells = min(max(1 << int(letters // SHINGLE_BYTES).bit_length(), LEAST_CELLS), MOST_CELLS)
+    source = docs.select(F.monotonically_increasing_id().alias(ROW), PLACE, of[doc_id].alias("doc_id"), of[text].alias("text"))
+    told = cut(source.mapInArrow(
+        lambda it: _prints(it, shingle, tables, cells),
+        ", ".join([f"{ROW} bigint, {PLACE} {place}, doc_id {kind}, prints array<bigint>, digest bigint",
+                   *(f"{w} bigint" for w in _WIDE_NAMES), "slot int, counts binary"])))
+    rows = told.where("slot is null")
+    levels = docs.sparkSession.sparkContext.broadcast(
+        shingle_levels(told.where("slot is not null").select("slot", "counts"), cells))
+    # equal sets are one node, named by their digest
+    classes = cut(rows.groupBy(F.col("digest").alias("node")).agg(
+        F.min_by(F.struct("prints", PLACE, *_WIDE_NAMES), ROW).alias("of"),
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least")))
-    prints = classes.select("node", "of.*")
+    prints = classes.select("node", "of.prints", *(f"of.{w}" for w in _WIDE_NAMES))
     limit = similar_bits(similarity)
     near = near_links(prints.select("node", *_WIDE_NAMES, F.posexplode("prints").alias("table", "fingerprint")),
                       budget, _WIDE_NAMES, limit)
     groups = connected_components(near)
-    members = cut(groups.join(prints, "node").join(
-        rows.select(F.col(ROW).alias("node"), "shingles"), "node"))
+
+    posted = cut(docs.select(of[text].alias("text")).mapInArrow(
+        lambda it: _postings(it, shingle, levels, similarity), "node long, size long, place long, shingle long"))
+    shared = posted.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    posted = cut(posted.join(cut(shared.select("shingle")), "shingle").dropDuplicates(["shingle", "node"]))
+
+    wanted = groups.select("node").unionByName(posted.select("node")).distinct()
+    wanted = cut(wanted.join(classes.select("node", f"of.{PLACE}.*"), "node"))
+    at = F.col(PLACE)
+    sets = cut(docs.join(wanted, (at["file"] == F.col("file")) & (at["at"] == F.col("at"))).select(
+        "node", of[text].alias("text")).mapInArrow(lambda it: _sets(it, shingle), "node long, shingles binary"))
+
+    members = groups.join(prints, "node").join(sets, "node")
     chunks = F.ceil(F.greatest(F.count("*") / GROUP_CHUNK, F.sum(F.length("shingles")) / CHUNK_BYTES))
     links = _chunk_pairs(members, ["root"], chunks).groupBy("root", "low", "high").applyInArrow(
         lambda group: _verified(group, budget, limit, similarity), "a long, b long")
-    sets = rows.select(F.col(ROW).alias("node"), "shingles").join(classes.select("node"), "node", "left_semi")
-    roots = all_roots(sets, links, shingle_weights(rows), similarity)
-    named = cut(classes.select("digest", "node", "least").join(roots, "node", "left").select(
-        "digest", "least", F.coalesce("root", "node").alias("component")))
+    roots = all_roots(sets, posted, links, similarity)
+    named = cut(classes.select("node", "least").join(roots, "node", "left").select(
+        "node", "least", F.coalesce("root", "node").alias("component")))
     firsts = named.groupBy("component").agg(F.min(F.col("least")).alias("first"))
     firsts = cut(firsts.select("component", F.col(f"first.{ROW}").alias("first_row")))
-    of_class = cut(named.join(firsts, "component").select("digest", "component", "first_row"))
-    return rows.select(ROW, "doc_id", "digest").join(of_class, "digest").select(
-        ROW, "doc_id", "component", (F.col(ROW) == F.col("first_row")).alias("is_first"))
+    of_class = cut(named.join(firsts, "component").select(F.col("node").alias("digest"), "component", "first_row"))
+    return rows.select(ROW, PLACE, "doc_id", "digest").join(of_class, "digest").select(
+        ROW, PLACE, "doc_id", "component", (F.col(ROW) == F.col("first_row")).alias("is_first"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stored: bool = False, **options) -> DataFrame:
     """One row of each group of similar documents, all columns kept.
 
-    Rows are told apart by number, so one of several equal rows stays, and keys may be null or repeat.
+    Rows are told apart by their place, so one of several equal rows stays, and keys may be null or repeat. ``stored``: ``docs``
+    is a table as read from Parquet, which need not be copied.
     """
-    rows = whole_rows(docs)
-    of = F.col(DOC)
-    found = similar_documents(rows.select(ROW, of[doc_id].alias("doc_id"), of[text].alias("text")),
-                              row=F.col(ROW), **options)
-    gone = cut(found.where("not is_first").select(ROW))
-    return rows.join(gone, ROW, "left_anti").select(f"{DOC}.*")
+    rows = placed(docs, stored)
+    with scratch(docs.sparkSession) as keep:
+        found = _similar(rows, doc_id, text, **options)
+        gone = keep(found.where("not is_first").select(f"{PLACE}.*"))
+    return without(rows, gone)
