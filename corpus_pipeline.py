@@ -2,32 +2,31 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the
 folder in spark.checkpoint.dir and read again for the next one. All but the last return the columns of documents.
+Documents are read where they lie: the stages that filter know a row by its file and number, and copy no text.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, langid, pieces, pii, simhash
 from tidemark.llm.queries import BENCHMARK, DOCUMENTS, PIECE_MODEL, table
-from tidemark.operators.lineage import shared_folder
+from tidemark.operators.lineage import scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the rejected ones go."""
-    return langid.keep_known(docs)
+    return langid.keep_known(docs, stored=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, stored=True)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark", BENCHMARK))
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark", BENCHMARK), stored=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage stored goes when its output is written, the outputs when the last one is."""
     docs = table(spark, sf_dir, "documents", DOCUMENTS)
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        done = stage(spark, docs, sf_dir)
-        done.write.parquet(f"{folder}/{k}")
-        docs = spark.read.schema(done.schema).parquet(f"{folder}/{k}")
+    with scratch(spark) as keep_last:
+        for k, (_, stage) in enumerate(STAGES, 1):
+            with scratch(spark) as keep:
+                done = stage(spark, docs, sf_dir)
+                docs = keep_last(done) if k == len(STAGES) else keep(done)
     return docs
