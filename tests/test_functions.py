@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +142,19 @@ def test_identity_keeps_nulls_apart(spark):
     assert key.startswith("amazon-reviews-2023:")
 
 
+def test_identity_is_the_hash_of_compact_json(spark):
+    texts = ["plain", "".join(map(chr, range(0x20))), "\x7f\x85\u2028\u2029\ufeff\uffff", 'quote " slash / \\',
+             "\\\x0b \\\\\x1f \\u000B \\\\u001F", "é 한국어 😀", "", None]
+    names = ("asin", "parent_asin", "rating", "text", "timestamp", "title", "user_id")
+    rows = [(a, "p", float(1 + k % 5), b, 1_700_000_000_000 + k, b, a)
+            for k, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    df = spark.createDataFrame(rows, "asin string, parent_asin string, rating double, text string, timestamp bigint, "
+                                     "title string, user_id string")
+    for r in df.withColumn("identity", hashing.record_identity()).collect():
+        document = json.dumps({n: r[n] for n in names}, ensure_ascii=False, separators=(",", ":"))
+        assert r.identity == hashlib.sha256(document.encode()).hexdigest()
+
+
 def test_content_hash_ignores_outer_space_and_input_hash_does_not(spark):
     none, body = F.lit(None).cast("string"), F.lit("x ")
     row = one(spark, hashing.content_hash(none, body) == hashing.content_hash(none, F.lit("x")),

@@ -19,10 +19,22 @@ IDENTITY_COLUMNS = (
 )
 
 
+# Control characters whose code Spark's JSON writes with capitals.
+_CAPITAL_CODES = tuple(f"{c:04X}" for c in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)))
+
+
 def record_identity() -> Column:
-    """SHA-256 over every identifying column, nulls kept apart from blanks."""
+    """SHA-256 of the identifying columns as compact JSON, by name, nulls kept apart from blanks.
+
+    Strings are escaped as in plain JSON: short forms or four small hexadecimal digits below U+0020, nothing above.
+    """
     document = F.to_json(F.struct(*IDENTITY_COLUMNS), {"ignoreNullFields": "false"})
-    return F.sha2(document, 256)
+    small = document
+    for code in _CAPITAL_CODES:
+        # an escape follows an even number of backslashes
+        small = F.regexp_replace(small, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    capitals = F.concat_ws("", "asin", "parent_asin", "text", "title", "user_id").rlike("[\x0b\x0e\x0f\x1a-\x1f]")
+    return F.sha2(F.when(capitals, small).otherwise(document), 256)
 
 
 def product_id(parent_asin: Column) -> Column:

@@ -31,6 +31,12 @@ def classified_rows(shards: DataFrame, selection: DataFrame) -> DataFrame:
     }).drop("_months")
 
 
+def only_candidate_texts(classified: DataFrame) -> DataFrame:
+    """Classified rows to store: the wide columns of rows that are not imported are left empty."""
+    kept = F.col("disposition") == "candidate"
+    return classified.withColumns({c: F.when(kept, F.col(c)) for c in ("title", "text", "asin", "user_id")})
+
+
 def unique_candidates(classified: DataFrame) -> DataFrame:
     """One row per record key; copies are equal in every identifying column.
 

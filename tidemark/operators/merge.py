@@ -1,8 +1,9 @@
 """Keyed, idempotent merges.
 
 The functions on frames describe the merged table. The functions on paths apply a
-merge to a partitioned Parquet table: only partitions that receive updates are
-read and replaced.
+merge to a stored table: ``append_once`` to a keyed table in versions (see
+``tidemark.operators.keyed``), ``upsert_partitions`` to a partitioned Parquet table, of
+which only partitions that receive updates are read and replaced.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tidemark.operators.keyed import KeyedTable, is_keyed
+
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: F.Column) -> DataFrame:
     """The last row of each key by ``order``; reduces in the map tasks first."""
@@ -109,7 +112,9 @@ def seed_counts(stored: DataFrame, listed: DataFrame, dataset_id: str) -> DataFr
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, empty when nothing was written yet."""
+    """A stored table, keyed or plain, empty when nothing was written yet."""
+    if is_keyed(spark, path):
+        return KeyedTable(spark, path, schema, ()).read()
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
@@ -119,9 +124,8 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def append_once(incoming: DataFrame, path: str, schema: str, key: str) -> None:
-    """Append the rows that are not stored; running it again adds nothing."""
-    existing = read_table(incoming.sparkSession, path, schema)
-    new_rows(existing, incoming, key).write.mode("append").parquet(path)
+    """Add the rows that are not stored to a keyed table; running it again adds nothing."""
+    KeyedTable(incoming.sparkSession, path, schema, [key]).insert_once(incoming)
 
 
 def upsert_partitions(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark import defaults as D
 from tidemark.functions.text import is_hard_case
-from tidemark.operators import ingest, merge, profile, sampling
+from tidemark.operators import ingest, profile, sampling
+from tidemark.operators.keyed import KeyedTable
 from tidemark.operators.lineage import cut
 from tidemark.sources.documents import selection_problems
 from tidemark.sources.shards import latest_metadata, missing_keys, require_empty
@@ -19,6 +20,7 @@ PRODUCT_TABLE_SCHEMA = (
     "product_id string, source_mode string, parent_asin string, title string, category string, "
     "image_url string, metadata_json string"
 )
+PRODUCT_BUCKETS = 8
 
 
 @dataclass(frozen=True)
@@ -65,13 +67,14 @@ def import_category(
     """Import a checked selection and return the import report (one row).
 
     Stops before writing when the selection, its metadata or its volumes break a
-    rule. Products are upserted, reviews are added once; a second run adds none.
+    rule. Products are upserted, reviews are added once; a second run adds none. Both tables are keyed
+    tables in versions: a crash leaves each at a whole version, and a rerun ends where one run would have.
     """
     spark = shards.sparkSession
     require_empty(selection_problems(selection, per_category), "selection")
     described = latest_metadata(metadata, selection)
     require_empty(missing_keys(selection, described, "parent_asin"), "no metadata")
-    classified = cut(ingest.classified_rows(shards, selection))
+    classified = cut(ingest.only_candidate_texts(ingest.classified_rows(shards, selection)))
     unique = cut(ingest.unique_candidates(classified))
     require_empty(
         ingest.volume_problems(
@@ -82,24 +85,14 @@ def import_category(
     products = ingest.product_rows(
         selection, described, review_revision=review_revision, metadata_revision=metadata_revision
     )
-    ours = products.select("product_id")
-
-    def present() -> int:
-        stored = merge.read_table(spark, review_table, REVIEW_TABLE_SCHEMA)
-        return stored.join(ours, "product_id", "left_semi").count()
-
-    before = present()
-    merge.upsert_partitions(
-        products, product_table, PRODUCT_TABLE_SCHEMA, ["category", "product_id"], ["category"]
-    )
-    merge.append_once(
-        ingest.review_rows(unique), review_table, REVIEW_TABLE_SCHEMA, "source_record_key"
-    )
-    after = present()
+    upserted = KeyedTable(spark, product_table, PRODUCT_TABLE_SCHEMA, ["product_id"], PRODUCT_BUCKETS).upsert(products)
+    reviews = KeyedTable(spark, review_table, REVIEW_TABLE_SCHEMA, ["source_record_key"])
+    inserted = reviews.insert_once(ingest.review_rows(unique))
+    ours = upserted.rows.select("product_id").join(products.select("product_id"), "product_id", "left_semi")
     return ingest.import_audit(classified).withColumns({
-        "products_upserted": F.lit(products.count()),
-        "reviews_inserted": F.lit(after - before),
-        "reviews_present": F.lit(after),
+        "products_upserted": F.lit(ours.count()),
+        "reviews_inserted": F.lit(inserted.rows.count()),
+        "reviews_present": F.lit(reviews.read().join(ours, "product_id", "left_semi").count()),
     })
 
 

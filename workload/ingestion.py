@@ -15,7 +15,8 @@ from tidemark.functions import hashing
 from tidemark.functions.months import key_of_index
 from tidemark.functions.products import description_text, first_image
 from tidemark.operators import ingest, merge, profile
-from tidemark.operators.lineage import cut
+from tidemark.operators.keyed import KeyedTable
+from tidemark.operators.lineage import cut, new_path
 from tidemark.sources.shards import latest_metadata, missing_keys
 from workload.binding import table
 from workload.registry import query
@@ -211,12 +212,15 @@ def import_waterfall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {SHARDS_SQL}, {IMPORT_SQL}
-SELECT 'amazon-' || parent_asin AS product_id, asin, title, trim(text) AS text,
-  CAST(rating AS INTEGER) AS rating, make_timestamp(timestamp * 1000) AS reviewed_at FROM uniq""")
+SELECT 'amazon-' || substr(identity, 1, 40) AS review_id, 'amazon-' || parent_asin AS product_id,
+  'amazon-reviews-2023:' || identity AS source_record_key, asin, title, trim(text) AS text,
+  CAST(rating AS INTEGER) AS rating, make_timestamp(timestamp * 1000) AS reviewed_at
+FROM (SELECT *, sha256(CAST(json_object('asin', asin, 'parent_asin', parent_asin, 'rating', rating, 'text', text,
+        'timestamp', timestamp, 'title', title, 'user_id', user_id) AS VARCHAR)) AS identity FROM uniq)""")
 def import_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = ingest.review_rows(ingest.unique_candidates(_classified(spark, sf)))
     return rows.select(
-        "product_id", "asin", "title", "text", "rating",
+        "review_id", "product_id", "source_record_key", "asin", "title", "text", "rating",
         F.col("reviewed_at").cast("timestamp_ntz").alias("reviewed_at"),
     )
 
@@ -270,7 +274,23 @@ def insert_once_delta(spark: SparkSession, sf: str) -> DataFrame:
     return merge.new_rows(stored, incoming, "o_orderkey")
 
 
-@query("""
+ORDER_ROWS = "o_orderkey bigint, o_custkey bigint"
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN
+  (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def keyed_insert_once(spark: SparkSession, sf: str) -> DataFrame:
+    """What the second of two batches adds to a keyed table: all orders, after those with a returned line."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    returned = table(spark, sf, "lineitem").filter(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").alias("o_orderkey")
+    )
+    stored = KeyedTable(spark, new_path(spark), ORDER_ROWS, ["o_orderkey"], buckets=16)
+    stored.insert_once(orders.join(returned.distinct(), "o_orderkey"))
+    return stored.insert_once(orders).rows
+
+
+UPSERT_SQL = """
 WITH last AS (SELECT user_id, event_type, arg_max(value, event_id) AS value,
                      max(event_id) AS event_id FROM events WHERE event_type <> 'view' GROUP BY ALL),
 first AS (SELECT user_id, event_type, arg_min(value, event_id) AS value, min(event_id) AS event_id
@@ -278,18 +298,36 @@ first AS (SELECT user_id, event_type, arg_min(value, event_id) AS value, min(eve
 SELECT coalesce(l.user_id, f.user_id) AS user_id, coalesce(l.event_type, f.event_type) AS event_type,
        CASE WHEN l.user_id IS NOT NULL THEN l.value ELSE f.value END AS value,
        coalesce(l.event_id, f.event_id) AS event_id
-FROM first f FULL OUTER JOIN last l ON f.user_id = l.user_id AND f.event_type = l.event_type""")
+FROM first f FULL OUTER JOIN last l ON f.user_id = l.user_id AND f.event_type = l.event_type"""
+
+
+@query(UPSERT_SQL)
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     """First events per key as the stored table, last events as the updates."""
+    return merge.upsert(*_event_rows(spark, sf), EVENT_KEYS)
+
+
+EVENT_KEYS = ["user_id", "event_type"]
+
+
+def _event_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Stored rows and updates."""
     events = table(spark, sf, "events").select("user_id", "event_type", "value", "event_id")
-    keys = ["user_id", "event_type"]
-    stored = merge.latest_per_key(
-        events.filter(F.col("event_type") != "signup"), keys, -F.col("event_id")
-    )
-    updates = merge.latest_per_key(
-        events.filter(F.col("event_type") != "view"), keys, F.col("event_id")
-    )
-    return merge.upsert(stored, updates, keys)
+    stored = events.filter(F.col("event_type") != "signup")
+    updates = events.filter(F.col("event_type") != "view")
+    return (merge.latest_per_key(stored, EVENT_KEYS, -F.col("event_id")),
+            merge.latest_per_key(updates, EVENT_KEYS, F.col("event_id")))
+
+
+@query(UPSERT_SQL)
+def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through a keyed table: the stored rows are one version, the updates the next."""
+    first, updates = _event_rows(spark, sf)
+    stored = KeyedTable(
+        spark, new_path(spark), "user_id bigint, event_type string, value double, event_id bigint", EVENT_KEYS, buckets=16)
+    stored.insert_once(first)
+    stored.upsert(updates)
+    return stored.read()
 
 
 @query("""SELECT doc_id, 'amazon-' || substr(sha256(text), 1, 40) AS review_id,

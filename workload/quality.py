@@ -18,6 +18,8 @@ from tidemark.functions.text import (
     words,
 )
 from tidemark.operators import answers, evaluation, merge, quality, runs, search, statistics
+from tidemark.operators.keyed import KeyedTable
+from tidemark.operators.lineage import new_path
 from workload.binding import table
 from workload.registry import query
 
@@ -335,7 +337,7 @@ def faq_worklist(spark: SparkSession, sf: str) -> DataFrame:
     return answers.faq_work(listed).select("product_id", "faq_key")
 
 
-@query(f"""WITH {ANSWERS_SQL},
+ANSWER_STORE_SQL = f"""WITH {ANSWERS_SQL},
 keyed AS (SELECT *, row_number() OVER (PARTITION BY product_id, question_key, prompt_version
             ORDER BY created_at, answer) AS f, row_number() OVER (PARTITION BY product_id,
             question_key, prompt_version ORDER BY created_at DESC, answer DESC) AS l FROM ans),
@@ -348,9 +350,16 @@ SELECT coalesce(u.product_id, s.product_id) AS product_id,
   coalesce(u.prompt_version, s.prompt_version) AS prompt_version,
   coalesce(u.answer, s.answer) AS answer, coalesce(s.kind, 'cache') AS kind, s.faq_key
 FROM s FULL OUTER JOIN u ON s.product_id = u.product_id AND s.question_key = u.question_key
-  AND s.prompt_version = u.prompt_version""")
+  AND s.prompt_version = u.prompt_version"""
+
+
+@query(ANSWER_STORE_SQL)
 def merge_answer_store(spark: SparkSession, sf: str) -> DataFrame:
     """Cache saves over a store whose ``view`` answers are FAQ answers."""
+    return merge.merge_answers(*_store_and_saves(spark, sf))
+
+
+def _store_and_saves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = stored_answers(spark, sf)
     keys = list(merge.ANSWER_KEY)
     when = F.struct("created_at", "answer")
@@ -364,7 +373,18 @@ def merge_answer_store(spark: SparkSession, sf: str) -> DataFrame:
         *keys, "answer", F.lit("cache").alias("kind"), F.lit(None).cast("string").alias("faq_key"),
         F.when(F.col("analyzed_count") >= 10, "answered").otherwise("invalid").alias("status"),
     )
-    return merge.merge_answers(stored, saved)
+    return stored, saved
+
+
+@query(ANSWER_STORE_SQL)
+def keyed_answer_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through a keyed table whose files with a saved answer are rewritten."""
+    first, saved = _store_and_saves(spark, sf)
+    stored = KeyedTable(
+        spark, new_path(spark), "product_id bigint, question_key string, prompt_version string, answer string, kind string, faq_key string", merge.ANSWER_KEY, buckets=16)
+    stored.insert_once(first)
+    stored.upsert(saved, merge.merge_answers)
+    return stored.read()
 
 
 # --- runs ------------------------------------------------------------------------
