@@ -44,13 +44,15 @@ WIDE = 4 * BITS  # bits that estimate the similarity of shingles
 CHUNK = 8192  # fingerprints of one cell that a task takes from each side
 GROUP_CHUNK = 1024  # members of one candidate group that a task takes from each side
 CHUNK_BYTES = 1 << 24  # and their shingle sets, about
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 26  # counters of shingles: about one a shingle, at most 32 MB in all
-SLOT = 1 << 16  # counters that are added up together
-# fixed values: least counts of the levels that a counter is rounded to; level 1 is a count of one
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27  # bits that tell shingles of several rows: about one a shingle, at most 16 MB
+SLOT = 1 << 19  # bits that are put together at once
+MOST_COUNTS = 1 << 21  # counters that put rare shingles first
+COUNT_SLOT = 1 << 14
+# fixed values: least counts of the levels that a counter is rounded to
 LEVELS = np.array([1, 2, 3, 5, 12, 30, 75, 190, 470, 1200, 3000, 7500, 19000, 50000, 200000])
 SHINGLE_BYTES = 8  # bytes of text for each shingle, about
 SEEN = 1 << 17  # texts that a task remembers to have posted
-POSTINGS = 1 << 22  # candidate pairs of a task that are made at once
+POSTINGS = 1 << 19  # candidate pairs of a task that are made at once
 DEVIATIONS = 3  # standard deviations of the wide bits that a similar pair may be off
 
 
@@ -289,12 +291,22 @@ def _cells_of(shingles: np.ndarray, cells: int) -> np.ndarray:
     return (shingles >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
+def _has(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _add(bits: np.ndarray, cell: np.ndarray) -> None:
+    np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+
+
 def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int, cells: int) -> Iterator[pa.RecordBatch]:
     """Row number, place, key, word fingerprints, digest of the shingles and wide fingerprint of each row.
 
-    Last come counters: in how many rows of the partition a shingle of the cell occurs, packed by slot.
+    Last come, packed by slot, the cells whose shingles occur in one row of the partition and in more, and, with
+    negative slots, counts of the rows they occur in.
     """
-    counts = np.zeros(cells, np.uint8)
+    once, more = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
+    counts = np.zeros(min(cells, MOST_COUNTS), np.uint32)
     schema = None
     for batch in batches:
         for lo, words, sets in _shingle_sets(batch.column(3), shingle):
@@ -303,8 +315,12 @@ def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int, cells:
                 prints.append([_majority(W.mix(own ^ salt)) for salt in _WORD_SALTS[:tables]])
                 digests.append(_digest(shingles))
                 wide.append([_majority(W.mix(shingles ^ salt)) for salt in _WIDE_SALTS])
-            cell, often = np.unique(_cells_of(np.concatenate(sets), cells), return_counts=True)
-            counts[cell] = np.minimum(counts[cell] + often, 255)
+            found = np.concatenate(sets)
+            cell, often = np.unique(_cells_of(found, cells), return_counts=True)
+            again = (often > 1) | _has(once, cell)
+            _add(once, cell)
+            _add(more, cell[again])
+            np.add.at(counts, _cells_of(found, len(counts)), 1)
             part = batch.slice(lo, len(sets))
             out = pa.RecordBatch.from_arrays(
                 [*part.columns[:3], pa.array(prints, pa.list_(pa.int64())),
@@ -315,9 +331,13 @@ def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int, cells:
             schema = out.schema
             yield out
     if schema is not None:
-        slots = counts.reshape(-1, min(SLOT, cells))
-        used = np.flatnonzero(slots.any(axis=1))
-        packed = [zlib.compress(slots[k].tobytes(), 1) for k in used.tolist()]
+        size = min(SLOT, cells) // 8
+        used = np.flatnonzero(once.reshape(-1, size).any(axis=1)).tolist()
+        packed = [zlib.compress(once[k * size: (k + 1) * size].tobytes() + more[k * size: (k + 1) * size].tobytes(), 1) for k in used]
+        many = min(COUNT_SLOT, len(counts))
+        for k in range(len(counts) // many):
+            used.append(-1 - k)
+            packed.append(zlib.compress(counts[k * many: (k + 1) * many].tobytes(), 1))
         yield pa.RecordBatch.from_arrays(
             [*[pa.nulls(len(used), f.type) for f in list(schema)[:-2]], pa.array(used, pa.int32()), pa.array(packed, pa.binary())],
             schema=schema)
@@ -373,50 +393,57 @@ def _verified(group: pa.Table, budget: int, limit: int, similarity: float) -> pa
 
 
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The level of each counter of a slot, two to a byte."""
-    total: dict[int, np.ndarray] = {}
+    """For each slot the cells of several rows, or the levels of its counters."""
+    once: dict[int, np.ndarray] = {}
+    more: dict[int, np.ndarray] = {}
+    counts: dict[int, np.ndarray] = {}
     for batch in batches:
-        for slot, x in zip(*(c.to_pylist() for c in batch.columns)):
-            total[slot] = total.get(slot, 0) + np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64)
-    levels = [np.searchsorted(LEVELS, c, "right").astype(np.uint8) for c in total.values()]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int32()), pa.array([(x[::2] | x[1::2] << 4).tobytes() for x in levels], pa.binary())],
-        names=["slot", "levels"])
-
-
-def shingle_levels(counters: DataFrame, cells: int) -> np.ndarray:
-    """Levels of all counters, two to a byte, from ``slot, counts``; at most ``MOST_CELLS / 2`` bytes.
-
-    They set an order, rare shingles first, and level 1 proves that a shingle occurs in one row alone; shingles that
-    share a counter cost time and no pair.
+        for slot, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = zlib.decompress(packed)
+            if slot < 0:
+                counts[slot] = counts.get(slot, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+                continue
+            own = np.frombuffer(raw, np.uint8).reshape(2, -1)
+            seen = once.get(slot, np.zeros_like(own[0]))
+            more[slot] = more.get(slot, np.zeros_like(own[1])) | own[1] | (seen & own[0])
+            once[slot] = seen | own[0]
+    out = [(k, x.tobytes()) for k, x in more.items()]
+    out += [(k, np.searchsorted(LEVELS, c, "right").astype(np.uint8).tobytes()) for k, c in counts.items()]
+    for k, x in out:
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["slot", "told"])
+
+
+def shingle_counts(packed: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the cells whose shingles occur in several rows, and levels that order shingles by frequency.
+
+    At most ``MOST_CELLS`` bits and ``MOST_COUNTS`` bytes. A shingle whose bit is 0 occurs in one row alone; shingles that
+    share a bit or a counter cost time and no pair.
     """
-    size = min(SLOT, cells) // 2
-    out = np.zeros(cells // 2, np.uint8)
-    for r in counters.repartition(part_count(counters), "slot").mapInArrow(
-            _added_up, "slot int, levels binary").toLocalIterator():
-        out[r.slot * size: (r.slot + 1) * size] = np.frombuffer(r.levels, np.uint8)
-    return out
+    more, levels = np.zeros(cells // 8, np.uint8), np.zeros(min(cells, MOST_COUNTS), np.uint8)
+    for r in packed.repartition(part_count(packed), "slot").mapInArrow(_added_up, "slot int, told binary").toLocalIterator():
+        into, k = (more, r.slot) if r.slot >= 0 else (levels, -1 - r.slot)
+        into[k * len(r.told): (k + 1) * len(r.told)] = np.frombuffer(r.told, np.uint8)
+    return more, levels
 
 
-def prefix_of(shingles: np.ndarray, levels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def prefix_of(shingles: np.ndarray, counts: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Places and shingles of a set's prefix that other sets may have.
 
     The prefix are the rarest shingles, so many that two sets of that similarity share one of them.
     """
+    more, levels = counts
     n = len(shingles)
-    cell = _cells_of(shingles, 2 * len(levels))
-    level = levels[cell >> 1] >> (4 * (cell & 1)).astype(np.uint8) & 15
-    common = level > 1
+    common = _has(more, _cells_of(shingles, 8 * len(more)))
     alone = n - int(np.count_nonzero(common))
     size = n - math.ceil(similarity * n - 1e-9) + 1 - alone
     if size <= 0 or not n:
         return np.zeros(0, np.int64), shingles[:0]
     rest = shingles[common]
-    found = rest[np.lexsort((rest, level[common]))[:size]]
+    found = rest[np.lexsort((rest, levels[_cells_of(rest, len(levels))]))[:size]]
     return alone + np.arange(len(found)), found
 
 
-def _postings(batches: Iterator[pa.RecordBatch], shingle: int, levels, similarity: float) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], shingle: int, counts, similarity: float) -> Iterator[pa.RecordBatch]:
     """``node, size, place, shingle`` of the prefixes; a text that the task has seen just before is not posted again."""
     seen: set[int] = set()
     for batch in batches:
@@ -429,7 +456,7 @@ def _postings(batches: Iterator[pa.RecordBatch], shingle: int, levels, similarit
                 if len(seen) == SEEN:
                     seen.clear()
                 seen.add(digest)
-                at, found = prefix_of(shingles, levels.value, similarity)
+                at, found = prefix_of(shingles, counts.value, similarity)
                 if len(found):
                     node.append(np.full(len(found), digest))
                     size.append(np.full(len(found), len(shingles)))
@@ -483,10 +510,12 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 
 def _similar_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (c.to_pylist() for c in batch.columns[2:])
-        near = [is_similar(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), similarity) for p, q in zip(x, y)]
-        keep = pa.array(near, pa.bool_())
-        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            x, y = (c.to_pylist() for c in part.columns[2:])
+            near = [is_similar(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), similarity) for p, q in zip(x, y)]
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in part.columns[:2]], names=["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -575,8 +604,8 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similari
         ", ".join([f"{ROW} bigint, {PLACE} {place}, doc_id {kind}, prints array<bigint>, digest bigint",
                    *(f"{w} bigint" for w in _WIDE_NAMES), "slot int, counts binary"])))
     rows = told.where("slot is null")
-    levels = docs.sparkSession.sparkContext.broadcast(
-        shingle_levels(told.where("slot is not null").select("slot", "counts"), cells))
+    counts = docs.sparkSession.sparkContext.broadcast(
+        shingle_counts(told.where("slot is not null").select("slot", "counts"), cells))
     # equal sets are one node, named by their digest
     classes = cut(rows.groupBy(F.col("digest").alias("node")).agg(
         F.min_by(F.struct("prints", PLACE, *_WIDE_NAMES), ROW).alias("of"),
@@ -588,7 +617,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similari
     groups = connected_components(near)
 
     posted = cut(docs.select(of[text].alias("text")).mapInArrow(
-        lambda it: _postings(it, shingle, levels, similarity), "node long, size long, place long, shingle long"))
+        lambda it: _postings(it, shingle, counts, similarity), "node long, size long, place long, shingle long"))
     shared = posted.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     posted = cut(posted.join(cut(shared.select("shingle")), "shingle").dropDuplicates(["shingle", "node"]))
 
