@@ -4,8 +4,10 @@ A quote may differ from the source in letter case, white-space runs and the shap
 of quotes and dashes; it must start and end at word boundaries. The character map
 is one-to-one, so a position in the mapped text is a position in the original.
 
-Searching long texts is the cost here, so each step is bound to a name once (an
-array lambda serves as the binding) instead of being repeated in every branch.
+Searching long texts is the cost here. A text is folded once, to small letters and single
+blanks, and all its quotes are looked for in that copy as plain substrings. Where one is found,
+the pattern that knows word boundaries starts from there; folding only shortens, so no match lies before. Each step is
+bound to a name once (an array lambda serves as the binding) instead of being repeated in every branch.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ PLAIN_PUNCTUATION = {"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-",
 
 _WORD = r"[\p{L}\p{N}_]"
 
+# Letters that equal others but for case without having the same small letter, or whose small form
+# depends on its neighbours or is longer: µ, dotted and dotless i, long s, the second shapes of Greek and Cyrillic letters.
+_UNEVEN_CASE = "[\u00b5\u0130\u0131\u017f\u0345\u03a3\u03c2\u03d0\u03d1\u03d5\u03d6\u03f0\u03f1\u03f5\u1c80-\u1c88\u1e9b\u1fbe]"
+
 
 def plain_punctuation(value: Column) -> Column:
     """Typographic marks as ASCII. One literal replacement per mark scans bytes and
@@ -65,25 +71,46 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def search_parts(tokens: Column, plain_title: Column, plain_text: Column) -> Column:
-    """``struct<tokens, pattern, in_title, in_text>``: first match in each part.
+def folded(plain: Column) -> Column:
+    """The copy of a text that quotes are looked for in; null if its letters do not fold one by one."""
+    small = F.regexp_replace(F.lower(plain), f"[{WHITESPACE}]+", " ")
+    return F.when(~plain.rlike(_UNEVEN_CASE), small)
+
+
+def search_parts(
+    tokens: Column, plain_title: Column, plain_text: Column, folded_title: Column, folded_text: Column
+) -> Column:
+    """``struct<tokens, pattern, in_title, title_from, in_text, text_from>``: first match in each part.
 
-    The parts must be mapped already; an empty match means none.
+    The parts must be mapped already; an empty match means none. ``_from`` is the character the
+    pattern was tried from.
     """
-    def look(pattern: Column) -> Column:
+    def first_try(phrase: Column, copy: Column) -> Column:
+        """The character before the phrase's first place in the copy; 0 if there is none, 1 if that is not known."""
+        place = F.instr(copy, phrase)
+        return F.when(copy.isNull() | phrase.rlike(_UNEVEN_CASE), 1).when(place > 1, place - 1).otherwise(place)
+
+    def look(pattern: Column, title_from: Column, text_from: Column) -> Column:
+        def match(plain: Column, begin: Column) -> Column:
+            rest = F.when(begin > 1, F.substr(plain, begin)).otherwise(plain)
+            return F.when(begin > 0, F.call_function("regexp_extract", rest, pattern, F.lit(0))).otherwise("")
+
         return F.struct(
             tokens.alias("tokens"), pattern.alias("pattern"),
-            F.call_function("regexp_extract", plain_title, pattern, F.lit(0)).alias("in_title"),
-            F.call_function("regexp_extract", plain_text, pattern, F.lit(0)).alias("in_text"),
+            match(plain_title, title_from).alias("in_title"), title_from.alias("title_from"),
+            match(plain_text, text_from).alias("in_text"), text_from.alias("text_from"),
         )
 
-    return bind(evidence_pattern(tokens), look)
+    begin = bind(F.lower(F.array_join(tokens, " ")), lambda phrase: F.struct(
+        first_try(phrase, folded_title).alias("title"), first_try(phrase, folded_text).alias("text")))
+    return bind(begin, lambda at: bind(
+        evidence_pattern(tokens), lambda pattern: look(pattern, at["title"], at["text"])))
 
 
-def _original(part: Column, plain_part: Column, pattern: Column, match: Column) -> Column:
+def _original(part: Column, plain_part: Column, pattern: Column, match: Column, begin: Column) -> Column:
     """The matched stretch of the original part, its own letters and spacing kept."""
-    before = F.get(F.split(plain_part, pattern, 2), F.lit(0))
-    return F.substring(part, F.char_length(before) + 1, F.char_length(match))
+    before = F.get(F.split(F.substr(plain_part, begin), pattern, 2), F.lit(0))
+    return F.substr(part, begin + F.char_length(before), F.char_length(match))
 
 
 def judge_match(
@@ -109,8 +136,8 @@ def judge_match(
     empty = F.size(found["tokens"]) == 0
     span = (
         F.when(empty, none)
-        .when(title_ok, _original(title, plain_title, found["pattern"], found["in_title"]))
-        .when(text_ok, _original(text, plain_text, found["pattern"], found["in_text"]))
+        .when(title_ok, _original(title, plain_title, found["pattern"], found["in_title"], found["title_from"]))
+        .when(text_ok, _original(text, plain_text, found["pattern"], found["in_text"], found["text_from"]))
     )
     problem = (
         F.when(empty, "empty_evidence")
@@ -136,7 +163,8 @@ def find_evidence(
     )
 
     def search(p: Column) -> Column:
-        found = search_parts(p["tokens"], p["title"], p["text"])
+        copies = F.struct(folded(p["title"]).alias("title"), folded(p["text"]).alias("text"))
+        found = bind(copies, lambda c: search_parts(p["tokens"], p["title"], p["text"], c["title"], c["text"]))
         return bind(found, lambda m: judge_match(
             m, title, text, p["title"], p["text"], is_short_part(title), is_short_part(text),
             min_words,

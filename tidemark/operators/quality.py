@@ -10,6 +10,7 @@ from tidemark import defaults as D
 from tidemark.functions.evidence import (
     bind,
     evidence_tokens,
+    folded,
     is_short_part,
     judge_match,
     plain_punctuation,
@@ -88,7 +89,8 @@ def validate_label_documents(
 
         def located(problem: Column) -> Column:
             return F.when(problem.isNull(), bind(
-                search_parts(label["tokens"], F.col("_plain_title"), F.col("_plain_text")),
+                search_parts(label["tokens"], F.col("_plain_title"), F.col("_plain_text"),
+                             F.col("_folded_title"), F.col("_folded_text")),
                 lambda found: judge_match(
                     found, F.col("_title"), F.col("text"), F.col("_plain_title"),
                     F.col("_plain_text"), F.col("_short_title"), F.col("_short_text"), min_words,
@@ -116,7 +118,10 @@ def validate_label_documents(
             "_codes": F.coalesce("_codes", empty),
             "_short_title": is_short_part(title), "_short_text": is_short_part(F.col("text")),
         })
-        .withColumn("_labels", F.transform("_raw", unpack))
+        .withColumns({
+            "_folded_title": folded(F.col("_plain_title")), "_folded_text": folded(F.col("_plain_text")),
+            "_labels": F.transform("_raw", unpack),
+        })
         .withColumn("_judged", F.transform("_labels", judge))
     )
     problems = F.filter("_judged", lambda j: j["problem"].isNotNull())

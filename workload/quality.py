@@ -80,6 +80,14 @@ q AS (SELECT doc_id, lang, source, text, regexp_replace(lower(CASE WHEN lang = '
 """
 
 
+# Where a quote lies in its document, with the document's own letters and spacing.
+SPANS_SQL = """
+p AS (SELECT doc_id, lang, source, quote, nullif(regexp_extract(text, '(?i)(^|[^\\p{L}\\p{N}_])('
+        || array_to_string([regexp_escape(x) for x in string_split(quote, '  ')], '\\s+')
+        || ')($|[^\\p{L}\\p{N}_])', 2), '') AS span FROM q)
+"""
+
+
 def _quotes(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
     half = F.substr(text, F.floor(F.char_length(text) / 2).cast("int") + 1)
@@ -91,10 +99,7 @@ def _quotes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {QUOTES_SQL},
-p AS (SELECT doc_id, quote, nullif(regexp_extract(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])('
-        || array_to_string([regexp_escape(x) for x in string_split(quote, '  ')], '\\s+')
-        || ')($|[^\\p{{L}}\\p{{N}}_])', 2), '') AS span FROM q)
+@query(f"""WITH {QUOTES_SQL}, {SPANS_SQL}
 SELECT doc_id, quote, span, CASE WHEN quote = '' THEN 'empty_evidence'
   WHEN span IS NULL THEN 'evidence_not_in_source' END AS problem FROM p""")
 def evidence_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,17 +168,17 @@ def _codes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.taxonomy_codes(seen)
 
 
-@query(f"""WITH {QUOTES_SQL}
+@query(f"""WITH {QUOTES_SQL}, {SPANS_SQL}
 SELECT doc_id, CASE WHEN source = 'src3' THEN 'response_format_error'
   WHEN lang = 'de' OR source = 'src7' THEN 'taxonomy_validation_error'
-  WHEN lang = 'es' OR quote = '' THEN 'evidence_validation_error' END AS problem,
-  CASE WHEN source IN ('src3', 'src7') OR lang IN ('de', 'es') OR quote = '' THEN 0 ELSE 1 END
-    AS n_labels FROM q""")
+  WHEN span IS NULL THEN 'evidence_validation_error' END AS problem,
+  CASE WHEN source NOT IN ('src3', 'src7') AND lang <> 'de' AND span IS NOT NULL
+    THEN source || '|' || lang || '|negative|' || span END AS labels FROM p""")
 def label_document_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Every accepted label with its code, polarity and the source's own wording."""
     judged = quality.validate_label_documents(_label_documents(spark, sf), _codes(spark, sf))
-    return judged.select(
-        "doc_id", "problem", F.coalesce(F.size("labels"), F.lit(0)).alias("n_labels")
-    )
+    told = F.transform("labels", lambda x: F.concat_ws("|", x.aspect, x.detail, x.polarity, x.evidence))
+    return judged.select("doc_id", "problem", F.array_join(told, ";").alias("labels"))
 
 
 TRANSLATION_SQL = """
