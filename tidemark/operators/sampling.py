@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.defaults import STAGES
+from tidemark.functions.evidence import bind
 from tidemark.functions.hashing import PROCESSING_SALT, order_hash
 from tidemark.functions.months import key_of_index, month_index
 from tidemark.operators.lineage import cut
@@ -123,29 +123,39 @@ def official_order(reviews: DataFrame, products: DataFrame) -> DataFrame:
 RATINGS = (1, 2, 3, 4, 5)
 
 
-def _greedy_picks(per_product: int):
-    def pick(cells: pd.DataFrame) -> pd.DataFrame:
-        product = cells["product_id"].iloc[0]
-        by_turn = {turn: part for turn, part in cells.groupby("turn")}
-        used_months: dict[int, int] = {}
-        taken: set = set()
-        rows = []
-        for turn in range(per_product):
-            free = by_turn[turn]
-            free = free[~free["review_id"].isin(taken)]
-            wanted = free[free["rating"] == RATINGS[turn % len(RATINGS)]]
-            pool = wanted if len(wanted) else free
-            if not len(pool):
-                raise ValueError(f"{product}: fewer than {per_product} reviews to choose from")
-            load = pool["month_idx"].map(lambda m: used_months.get(m, 0))
-            best = pool.assign(load=load).sort_values(["load", "turn_hash", "review_id"]).iloc[0]
-            taken.add(best["review_id"])
-            month = int(best["month_idx"])
-            used_months[month] = used_months.get(month, 0) + 1
-            rows.append((product, best["review_id"], int(best["rating"]), month, turn))
-        return pd.DataFrame(rows, columns=["product_id", "review_id", "rating", "month_idx", "turn"])
-
-    return pick
+def _greedy_picks(candidates: Column, per_product: int, product: Column, picks_type: str) -> Column:
+    """``array<struct<turn, review_id, rating, month_idx>>``: one pick a turn, from the turn's candidates.
+
+    ``candidates`` is an array of ``turn, turn_hash, review_id, rating, month_idx``. The picks made so far are the state.
+    """
+    def best_of(turn: Column, picks: Column) -> Column:
+        def is_free(c: Column) -> Column:
+            return (c["turn"] == turn) & ~F.exists(picks, lambda p: p["review_id"] == c["review_id"])
+
+        def load(c: Column) -> Column:
+            return F.size(F.filter(picks, lambda p: p["month_idx"] == c["month_idx"]))
+
+        # another rating only if none of the wanted one is left; the least of the rest wins
+        ranked = F.transform(F.filter(candidates, is_free), lambda c: F.struct(
+            (c["rating"] != F.pmod(turn, F.lit(len(RATINGS))) + RATINGS[0]).alias("other"), load(c).alias("load"),
+            c["turn_hash"].alias("turn_hash"), c["review_id"].alias("review_id"),
+            c["rating"].alias("rating"), c["month_idx"].alias("month_idx"),
+        ))
+        return F.array_min(ranked)
+
+    def add(picks: Column, turn: Column) -> Column:
+        def put(best: Column) -> Column:
+            short = F.raise_error(F.concat(
+                product.cast("string"), F.lit(f": fewer than {per_product} reviews to choose from")))
+            pick = F.struct(
+                turn.alias("turn"), best["review_id"].alias("review_id"), best["rating"].alias("rating"),
+                best["month_idx"].alias("month_idx"),
+            )
+            return F.when(best.isNull(), short.cast(picks_type)).otherwise(F.concat(picks, F.array(pick)))
+
+        return bind(best_of(turn, picks), put)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(per_product - 1)), F.array().cast(picks_type), add)
 
 
 def stratified_sample(
@@ -162,10 +172,11 @@ def stratified_sample(
 
     Turn ``i`` wants rating ``1 + i mod 5``, or any rating when none is left, from
     the least used month, first by a hash of (seed, product, turn, review). Each
-    turn depends on the earlier ones, so the turns run per product in Python, but
+    turn depends on the earlier ones, so the turns of a product are folded over in one row, but
     only over the reviews that can win: before turn ``i`` at most ``i`` reviews are
     gone, hence the winner is among the first ``i + 1`` by hash of its rating and
-    month. That cut is exact and happens in Spark, before any product is gathered.
+    month. That cut is exact and is made before a product's candidates are gathered: no
+    more than its ratings and months times half the turns squared.
     """
     pool = reviews.filter("eligible").select(
         "product_id", "review_id", "rating", month_index(F.col("reviewed_at")).alias("month_idx")
@@ -186,11 +197,12 @@ def stratified_sample(
         per_product,
     ).filter(F.col("rank") <= F.col("turn") + 1)
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema.fields}
-    schema = (
-        f"product_id {kinds['product_id']}, review_id {kinds['review_id']}, "
-        "rating int, month_idx int, turn int"
-    )
-    return cells.groupBy("product_id").applyInPandas(_greedy_picks(per_product), schema)
+    picks_type = f"array<struct<turn: int, review_id: {kinds['review_id']}, rating: int, month_idx: int>>"
+    offers = cells.groupBy("product_id").agg(F.collect_list(F.struct(
+        "turn", "turn_hash", "review_id", F.col("rating").cast("int").alias("rating"), "month_idx")).alias("offers"))
+    picks = _greedy_picks(F.col("offers"), per_product, F.col("product_id"), picks_type)
+    return offers.select("product_id", F.inline(picks)).select(
+        "product_id", "review_id", "rating", "month_idx", "turn")
 
 
 def sample_summary(sample: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.functions.months import key_of_index
 from tidemark.functions.rates import period_status
 from tidemark.functions.text import is_hard_case
 from tidemark.operators import sampling
+from tidemark.plans import jobs
 from workload.aggregates import COVERAGE_SQL
 from workload.binding import Facts, sql_status, sql_views, table
 from workload.registry import query
@@ -119,15 +122,45 @@ def sampled_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# The sample depends on the picks before it, which SQL cannot express in one pass;
-# the tests compare it with a plain loop over all reviews.
-@query()
+def greedy_sql(name: str, pool: str, seed: str, size: int, exclude: str = "") -> str:
+    """Picks ``name`` (product_id, review_id, rating, month, turn) of a pool, a turn depending on those before it."""
+    rest = f"WHERE review_id NOT IN (SELECT review_id FROM {exclude})" if exclude else ""
+    return f"""
+{name}_offer AS (
+  SELECT p.*, t.turn, sha256('{seed}:' || product_id || ':' || t.turn || '|' || review_id) AS h
+  FROM (SELECT product_id, review_id, rating, month FROM {pool} {rest}) p, range(0, {size}) AS t(turn)),
+{name}_turn(product_id, turn, ids, months, best) AS (
+  SELECT DISTINCT product_id, CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]),
+    CAST(NULL AS STRUCT(other BOOLEAN, load BIGINT, h VARCHAR, review_id BIGINT, rating INTEGER, month VARCHAR))
+  FROM {name}_offer
+  UNION ALL
+  SELECT product_id, turn, list_append(ids, best.review_id), list_append(months, best.month), best FROM (
+    SELECT o.product_id, o.turn, any_value(p.ids) AS ids, any_value(p.months) AS months, min(CAST(struct_pack(
+        other := o.rating <> 1 + o.turn % 5, load := len(list_filter(p.months, lambda m: m = o.month)), h := o.h,
+        review_id := o.review_id, rating := o.rating, month := o.month)
+      AS STRUCT(other BOOLEAN, load BIGINT, h VARCHAR, review_id BIGINT, rating INTEGER, month VARCHAR))) AS best
+    FROM {name}_turn p JOIN {name}_offer o ON o.product_id = p.product_id AND o.turn = p.turn + 1
+    WHERE NOT list_contains(p.ids, o.review_id) GROUP BY ALL)),
+{name} AS (SELECT product_id, best.review_id AS review_id, best.rating AS rating, best.month AS month,
+             CAST(turn AS INTEGER) AS turn FROM {name}_turn WHERE turn >= 0)"""
+
+
+@query(f"""WITH RECURSIVE {sql_views()}, {greedy_sql("picks", "reviews", SEED, 5)} SELECT * FROM picks""")
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     picks = sampling.stratified_sample(Facts(spark, sf).reviews, 5, SEED)
     return picks.withColumn("month", key_of_index(F.col("month_idx"))).drop("month_idx")
 
 
-@query()
+SUMMARY_SQL = """SELECT 'total' AS dimension, 'all' AS value, count(*) AS n FROM s
+UNION ALL SELECT 'category', category, count(*) FROM s GROUP BY ALL
+UNION ALL SELECT 'product_id', product_id, count(*) FROM s GROUP BY ALL
+UNION ALL SELECT 'rating', CAST(rating AS VARCHAR), count(*) FROM s GROUP BY ALL
+UNION ALL SELECT 'month', month, count(*) FROM s GROUP BY ALL"""
+
+
+@query(f"""WITH RECURSIVE {sql_views()}, {greedy_sql("one", "reviews", SEED, 5)},
+{greedy_sql("two", "reviews", "second-sample-v1", 10, "one")},
+s AS (SELECT 'all' AS category, * FROM two) {SUMMARY_SQL}""")
 def stratified_sample_independent(spark: SparkSession, sf: str) -> DataFrame:
     """A second sample that shares no review with the first, with its summary."""
     reviews = Facts(spark, sf).reviews
@@ -140,6 +173,43 @@ def stratified_sample_independent(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.sample_summary(named)
 
 
+# Documents as reviews: the language is the product, the quality of the text's length the rating; every tenth
+# text is preceded by words that are easy to misread.
+DOCUMENT_REVIEWS_SQL = """
+dr AS (SELECT lang AS product_id, doc_id AS review_id, CAST(1 + n_chars % 5 AS INTEGER) AS rating,
+         strftime(DATE '2024-01-01' + CAST(doc_id % 170 AS INTEGER), '%Y-%m') AS month,
+         CASE WHEN doc_id % 10 = 0 THEN 'It never worked: ' WHEN doc_id % 10 = 1 THEN 'Fine, notable. ' ELSE '' END
+           || source AS title FROM documents)
+"""
+
+
+def _document_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    last = F.pmod("doc_id", F.lit(10))
+    before = F.when(last == 0, "It never worked: ").when(last == 1, "Fine, notable. ").otherwise("")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(170)).cast("int"))
+    return table(spark, sf, "documents").select(
+        F.col("lang").alias("product_id"), F.col("doc_id").alias("review_id"),
+        (1 + F.pmod("n_chars", F.lit(5))).cast("int").alias("rating"), day.cast("timestamp").alias("reviewed_at"),
+        F.lit(True).alias("eligible"), F.lit(None).cast("string").alias("title"),
+        F.concat(before, "source").alias("text"))
+
+
+@query(f"""WITH RECURSIVE {DOCUMENT_REVIEWS_SQL}, {greedy_sql("trial", "dr", "trial-v1", 5)},
+{greedy_sql("evaluation", "dr", "evaluation-v1", 10, "trial")},
+used AS (SELECT review_id FROM trial UNION ALL SELECT review_id FROM evaluation),
+{greedy_sql("third", "dr", "hard-cases-v1", 5, "used")}
+SELECT 'trial' AS sample, product_id, review_id, turn FROM trial
+UNION ALL SELECT 'evaluation', product_id, review_id, turn FROM evaluation
+UNION ALL SELECT 'hard_cases', t.product_id, review_id, turn FROM third t JOIN dr USING (review_id)
+WHERE dr.title LIKE 'It never worked%'""")
+def evaluation_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The development and evaluation samples and the hard cases of a third draw, all disjoint."""
+    drawn = jobs.evaluation_samples(_document_reviews(spark, sf))
+    return reduce(DataFrame.unionByName, [
+        rows.select(F.lit(name).alias("sample"), "product_id", "review_id", "turn")
+        for name, rows in (("trial", drawn.trial), ("evaluation", drawn.evaluation), ("hard_cases", drawn.hard_cases))])
+
+
 @query(f"""WITH {sql_views("nation")}, {sample_sql(NATION_SIZE)},
 s AS (SELECT r_name AS category, product_id, rating, month FROM sm
       JOIN nation ON CAST(n_nationkey AS VARCHAR) = product_id
