@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,14 @@ def test_cosine(spark):
     row = one(spark, vectors.cosine_similarity(vec(1, 0), vec(1, 1)),
               vectors.cosine_similarity(vec(0, 0), vec(1, 1)))
     assert row[0] == pytest.approx(2 ** -0.5) and row[1] == 0.0
+
+
+def test_rounding_is_by_the_binary_value(spark):
+    rng = random.Random(7)
+    values = [k / 1000 * 5 for k in range(-300, 1500)] + [k + 0.05 * j for k in range(60) for j in range(20)]
+    values += [rng.uniform(-100, 100) for _ in range(2000)] + [0.0, 1e-300, 1e15, -1e300, 2.0**52, 0.25, 0.35, 2.675, 1.005]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3, 5):
+        for row in df.select("v", rates.rounded(F.col("v"), digits).alias("r")).collect():
+            assert row.r == round(row.v, digits), (row.v, digits)
+    assert df.limit(1).select(rates.rounded(F.lit(None).cast("double"), 1)).first()[0] is None

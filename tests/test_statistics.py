@@ -155,3 +155,24 @@ def test_radar_tests_every_negative_issue(catalog):
     assert [r["q_value"] for r in tests.values()] == pytest.approx(want)
     items = radar_items(parts, evidence=issue_evidence(catalog.issue_facts))
     assert items.count() == 0
+
+
+@pytest.mark.parametrize("error", [statistics.RANK_ERROR, 1e-9])
+def test_nearest_rank_of_many_values(spark, monkeypatch, error):
+    """Values beyond the sketch's size; brackets too narrow to hold the ranks are made up for."""
+    monkeypatch.setattr(statistics, "SKETCH", 64)
+    monkeypatch.setattr(statistics, "RANK_ERROR", error if error < 1e-3 else 0.05)
+    rng = random.Random(6)
+    data = {"wide": [rng.gauss(0, 1e6) for _ in range(5000)], "ties": [float(rng.randint(1, 3)) for _ in range(4000)],
+            "one": [7.5] * 300, "few": [1.0, 2.0], "none": []}
+    rows = [(k, v) for k, vs in data.items() for v in [*vs, None]]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in statistics.nearest_rank_percentiles(
+        df, ["k"], "v", {"p0": 0.0, "p25": 0.25, "p95": 0.95, "p100": 1.0}, [F.count("*").alias("rows")]).collect()}
+    assert got["none"]["rows"] == 1 and got["none"]["median"] is None
+    for k, vs in data.items():
+        assert got[k]["rows"] == len(vs) + 1
+        if vs:
+            assert [got[k][c] for c in ("p0", "p25", "p95", "p100")] == [
+                brute_percentile(vs, f) for f in (0.0, 0.25, 0.95, 1.0)], k
+            assert got[k]["median"] == (sorted(vs)[(len(vs) - 1) // 2] + sorted(vs)[len(vs) // 2]) / 2

@@ -17,9 +17,36 @@ def change_pp(target_rate: Column, baseline_rate: Column) -> Column:
     return (target_rate - baseline_rate) * 100
 
 
+# Splits a double into two halves whose products are exact.
+_SPLIT = 2.0**27 + 1
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """A double to so many decimals, by its exact binary value, ties to even.
+
+    The product with the power of ten is taken with its error, so 0.35, which is a little less
+    than its decimal form, becomes 0.3 and not 0.4.
+    """
+    scale = 10.0**digits
+    high = scale * _SPLIT - (scale * _SPLIT - scale)
+    low = scale - high
+    x = value.cast("double")
+    product = x * scale
+    x_high = x * _SPLIT - (x * _SPLIT - x)
+    x_low = x - x_high
+    error = ((x_high * high - product) + x_high * low + x_low * high) + x_low * low
+    floor = F.floor(product).cast("double")
+    part = product - floor
+    odd = floor % 2 != 0
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    near = (floor + F.when(up, 1.0).otherwise(0.0)) / scale
+    # from 2^52 on a double has no decimals, and beyond the long range no floor
+    return F.when(F.abs(product) < 2.0**52, near).otherwise(x)
+
+
 def percent(count: Column, total: Column) -> Column:
-    """Percentage with one decimal, ties to even."""
-    return F.bround(rate(count, total) * 100, 1)
+    """Percentage with one decimal, by the exact binary value, ties to even."""
+    return rounded(rate(count, total) * 100, 1)
 
 
 def unprocessed(total: Column, succeeded: Column, failed: Column, in_progress: Column) -> Column:

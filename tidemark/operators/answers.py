@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark import defaults as D
-from tidemark.functions.rates import percent
+from tidemark.functions.rates import percent, rounded
 from tidemark.functions.text import citation_markers, collapse, percent_mentions, question_key
 
 
@@ -183,7 +183,7 @@ def quotable_percents(
     ) if changes is None else changes
 
     def share(value: Column) -> Column:
-        return F.bround(value * 100, 1)
+        return rounded(value * 100, 1)
 
     overall = F.array_compact(F.array(share(positive_share), share(negative_share)))
     mentioned = F.filter(topics, lambda t: t["mention_count"] > 0)
@@ -193,7 +193,7 @@ def quotable_percents(
     by_complaint = F.transform(F.filter(complaints, lambda r: r.isNotNull()), share)
     rated = F.filter(changes, lambda c: c["baseline_rate"].isNotNull() & c["target_rate"].isNotNull())
     by_change = F.flatten(F.transform(rated, lambda c: F.array_compact(F.array(
-        share(c["baseline_rate"]), share(c["target_rate"]), F.bround(F.abs(c["change_pp"]), 1)
+        share(c["baseline_rate"]), share(c["target_rate"]), rounded(F.abs(c["change_pp"]), 1)
     ))))
     everything = F.concat(overall, by_topic, by_complaint, by_change)
     return F.when(succeeded >= minimum, everything).otherwise(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.rates import rounded
 from tidemark.operators.statistics import nearest_rank_percentiles
 
 
@@ -29,30 +30,28 @@ def run_report(results: DataFrame, total_reviews: int | F.Column) -> DataFrame:
     """
     total = F.lit(total_reviews) if isinstance(total_reviews, int) else total_reviews
     done = (F.col("status") == "succeeded") & F.col("duration_ms").isNotNull()
-    basic = results.groupBy("run_id").agg(
+    taken = results.select(
+        "run_id", "duration_ms", "input_chars", F.when(done, F.col("duration_ms")).alias("_done_ms"))
+    joined = nearest_rank_percentiles(taken, ["run_id"], "_done_ms", {"p25": 0.25, "p95": 0.95}, [
         F.count(F.lit(1)).alias("result_records"),
-        F.avg(F.when(done, F.col("duration_ms"))).alias("_mean"),
+        F.avg("_done_ms").alias("mean"),
         F.min("duration_ms").alias("duration_min"),
         F.max("duration_ms").alias("duration_max"),
-        F.bround(F.avg("input_chars"), 1).alias("input_chars_mean"),
+        rounded(F.avg("input_chars"), 1).alias("input_chars_mean"),
         F.min("input_chars").alias("input_chars_min"),
         F.max("input_chars").alias("input_chars_max"),
-    )
-    ranks = nearest_rank_percentiles(
-        results.filter(done), ["run_id"], "duration_ms", {"p25": 0.25, "p95": 0.95}
-    )
-    joined = basic.join(ranks, "run_id", "left")
+    ])
 
     def hours(value: F.Column) -> F.Column:
-        return F.bround(value * total / 3_600_000, 2)
+        return rounded(value * total / 3_600_000, 2)
 
     return joined.select(
-        "run_id", "result_records", F.bround("_mean", 1).alias("duration_mean"),
-        F.bround("median", 1).alias("duration_median"), "duration_min", "duration_max",
+        "run_id", "result_records", rounded(F.col("mean"), 1).alias("duration_mean"),
+        rounded(F.col("median"), 1).alias("duration_median"), "duration_min", "duration_max",
         F.col("p25").cast("double").alias("duration_p25"),
         F.col("p95").cast("double").alias("duration_p95"),
         "input_chars_mean", "input_chars_min", "input_chars_max",
-        hours(F.col("_mean")).alias("estimate_hours_mean"),
+        hours(F.col("mean")).alias("estimate_hours_mean"),
         hours(F.col("p25")).alias("estimate_hours_p25"),
         hours(F.col("p95")).alias("estimate_hours_p95"),
     )
@@ -141,7 +140,7 @@ def comparison_summary(rows: DataFrame) -> DataFrame:
     base, new = F.col("baseline_status"), F.col("improved_status")
 
     def mean(test: F.Column, value: str) -> F.Column:
-        return F.bround(F.avg(F.when(test, F.col(value))), 1)
+        return rounded(F.avg(F.when(test, F.col(value))), 1)
 
     return rows.agg(
         F.count(F.lit(1)).alias("sample_size"),

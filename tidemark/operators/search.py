@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import defaults as D
 from tidemark.functions.months import index_of_key, month_index
+from tidemark.functions.rates import rounded
 from tidemark.functions.vectors import cosine, dot, norm
 from tidemark.operators.topk import top_per_group
 
@@ -50,7 +51,7 @@ def nearest_reviews(
         .select("query_id", "product_id", "review_id", "distance")
     )
     best = top_per_group(scored, ["query_id"], [F.col("distance"), F.col("review_id")], limit)
-    return best.withColumn("similarity", F.bround(1 - F.col("distance"), 4))
+    return best.withColumn("similarity", rounded(1 - F.col("distance"), 4))
 
 
 def search_coverage(
@@ -125,7 +126,7 @@ def nearest_topics(
     best = F.slice(F.array_sort(scored), 1, k)
     return asked.select("query_id", F.posexplode(best).alias("pos", "t")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), "t.aspect", "t.detail",
-        F.bround(-F.col("t.away"), 3).alias("similarity"),
+        rounded(-F.col("t.away"), 3).alias("similarity"),
     )
 
 

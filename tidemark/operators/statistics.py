@@ -166,27 +166,84 @@ def anomaly_level(
     ).when((p_value < watch_p) & (change > 0), "watch")
 
 
+SKETCH = 4096  # items of a quantile sketch; with it a rank is off by a thousandth part
+RANK_ERROR = 0.002  # half the width of a bracket, about twice that
+
+
 def nearest_rank_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float],
+    aggregates: Sequence[Column] = (),
 ) -> DataFrame:
-    """Percentiles by nearest rank: the element at ``round_half_even((n - 1) * f)``.
+    """Percentiles by nearest rank: the element at ``round_half_even((n - 1) * f)``, nulls left out.
+
+    Also gives ``median``: the mean of the two middle elements. ``aggregates`` are further aggregates of all
+    rows by key; with them a key without a value has its row, otherwise it has none.
 
-    Also gives ``median``: the mean of the two middle elements. Values are counted
-    first, so ranks are found among distinct values.
+    Two scans. The first makes a quantile sketch of each key, whose items bracket each wanted
+    rank; the second counts what lies between the brackets, and value by value what lies inside, so only
+    a few thousandths of the values are ever sorted. Whether each rank fell into its bracket is known from the
+    counts; a key where one did not, which is rare, is counted value by value in a third.
     """
-    keys = list(keys)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    ranked = cumulative_counts(counted, keys, value, "_n")
-    last = F.col("total") - 1
-
-    def at(position: Column) -> Column:
-        inside = (position < F.col("at_most")) & (position >= F.col("at_most") - F.col("_n"))
-        return F.max(F.when(inside, F.col(value)))
-
-    picks = [
-        at(F.bround(last * F.lit(f)).cast("bigint")).alias(name) for name, f in fractions.items()
-    ]
-    middle = (at(F.floor(last / 2)) + at(F.floor(F.col("total") / 2))) / 2
-    return ranked.groupBy(*keys).agg(*picks, middle.alias("median"))
+    keys, v = list(keys), F.col(value)
+    whole = df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+    kind, sql_type = ("bigint", "bigint") if whole else ("double", "double")
+    ranks = {name: f for name, f in fractions.items()}
+
+    number = v.cast(sql_type)
+    sketched = cut(df.groupBy(*keys).agg(
+        F.count(v).alias("_total"),
+        F.call_function(f"kll_sketch_agg_{kind}", number, F.lit(SKETCH)).alias("_sketch"),
+        F.min(number).alias("_least"), F.max(number).alias("_most"), *aggregates))
+    last = F.col("_total") - 1
+    wanted = {name: F.bround(last * F.lit(f)).cast("bigint") for name, f in ranks.items()}
+    wanted |= {"_lower": F.floor(last / 2), "_upper": F.floor(F.col("_total") / 2)}
+
+    def bracket(share: float) -> Column:
+        def at(inner: float) -> Column:
+            return F.call_function(f"kll_sketch_get_quantile_{kind}", F.col("_sketch"), F.lit(inner))
+
+        # few values are all inside, and the ends stand for everything beyond them
+        few = F.col("_total") <= SKETCH
+        low = at(share - RANK_ERROR) if share > RANK_ERROR else F.col("_least")
+        high = at(share + RANK_ERROR) if share < 1 - RANK_ERROR else F.col("_most")
+        return F.struct(F.when(few, F.col("_least")).otherwise(low).alias("low"),
+                        F.when(few, F.col("_most")).otherwise(high).alias("high"))
+
+    shares = sorted({*ranks.values(), 0.5})
+    filled = sketched.where("_total > 0")
+    brackets = cut(filled.select(*keys, F.array(*map(bracket, shares)).alias("_brackets")))
+    picked = _picks(df, keys, number, filled, brackets, wanted)
+    lost = cut(picked.where(" OR ".join(f"`{name}` IS NULL" for name in wanted)).select(*keys))
+    if not lost.isEmpty():
+        wide = filled.join(lost, keys, "left_semi").select(
+            *keys, F.array(F.struct(F.col("_least").alias("low"), F.col("_most").alias("high"))).alias("_brackets"))
+        again = _picks(df.join(lost, keys, "left_semi"), keys, number, filled, wide, wanted)
+        picked = picked.join(lost, keys, "left_anti").unionByName(again)
+    picked = picked.select(
+        *keys, *[F.col(name).cast(df.schema[value].dataType).alias(name) for name in ranks],
+        ((F.col("_lower") + F.col("_upper")) / 2).alias("median"))
+    if not aggregates:
+        return picked
+    told = [c for c in sketched.columns if c not in (*keys, "_total", "_sketch", "_least", "_most")]
+    return sketched.select(*keys, *told).join(picked, keys, "left")
+
+
+def _picks(
+    df: DataFrame, keys: list[str], number: Column, totals: DataFrame, brackets: DataFrame, wanted: Mapping[str, Column]
+) -> DataFrame:
+    """The element at each wanted rank; null where the rank lies outside all brackets."""
+    inside = F.exists("_brackets", lambda b: number.between(b["low"], b["high"]))
+    above = F.filter("_brackets", lambda b: b["low"] > number)
+    # values between two brackets go by the lower end of the upper one, ahead of it; above all of them by none
+    anchor = F.when(inside, number).otherwise(F.get(above, F.lit(0))["low"])
+    counted = df.where(number.isNotNull()).join(brackets, keys).select(
+        *keys, anchor.alias("_anchor"), inside.alias("_inside")
+    ).where("_anchor IS NOT NULL").groupBy(*keys, "_anchor", "_inside").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_anchor", "_inside")
+    ranked = counted.withColumn("_at_most", F.sum("_n").over(order)).join(totals.select(*keys, "_total"), keys)
+
+    def at(rank: Column) -> Column:
+        here = F.col("_inside") & (rank < F.col("_at_most")) & (rank >= F.col("_at_most") - F.col("_n"))
+        return F.max(F.when(here, F.col("_anchor")))
+
+    return ranked.groupBy(*keys).agg(*[at(rank).alias(name) for name, rank in wanted.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import defaults as D
+from tidemark.functions.rates import rounded
 from tidemark.operators import search
 from tidemark.operators.answers import digest_sources, quotable_percents
 from tidemark.operators.facts import ISSUE
@@ -67,7 +68,7 @@ def question_facts(
     ).withColumns({
         "title": F.coalesce("title", F.lit("")),
         "text": F.substring("text", 1, D.QUICK_EXCERPT_CHARS),
-        "similarity": F.bround(1 - F.col("distance"), 3),
+        "similarity": rounded(1 - F.col("distance"), 3),
     })
 
     shown = label_rows.join(related.select("review_id").distinct(), "review_id", "left_semi")

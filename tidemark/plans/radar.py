@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import defaults as D
+from tidemark.functions.rates import rounded
 from tidemark.operators import compare
 from tidemark.operators.facts import ISSUE
 from tidemark.operators.lineage import cut
@@ -79,7 +80,7 @@ def radar_items(
     if products is not None:
         rows = rows.join(products, "product_id")
     return rows.withColumns({
-        "p_value": F.bround("p_value", 5), "q_value": F.bround("q_value", 5)
+        "p_value": rounded(F.col("p_value"), 5), "q_value": rounded(F.col("q_value"), 5)
     })
 
 

@@ -366,7 +366,7 @@ def question_digest_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {QUESTIONS_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), review_id) AS rank FROM sc)
-SELECT query_id, r.review_id, CAST(rank AS INTEGER) AS rank, round_even(1 - distance, 3) AS similarity,
+SELECT query_id, r.review_id, CAST(rank AS INTEGER) AS rank, CAST(format('{{:.3f}}', 1 - distance) AS DOUBLE) AS similarity,
   CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rating, CAST(o_orderdate AS DATE) AS date,
   coalesce(source, '') AS title, substr(text, 1, 300) AS text,
   coalesce((SELECT string_agg(DISTINCT detail || ':' || polarity, ',' ORDER BY detail || ':' || polarity)

@@ -442,17 +442,20 @@ def nearest_rank_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {RUNS_SQL},
 b AS (SELECT run_id, count(*) AS result_records, min(duration_ms) AS duration_min,
-        max(duration_ms) AS duration_max, min(input_chars) AS input_chars_min FROM res GROUP BY ALL)
-SELECT run_id, result_records, round(mean, 1) AS duration_mean, round(median, 1) AS duration_median,
+        max(duration_ms) AS duration_max, min(input_chars) AS input_chars_min,
+        max(input_chars) AS input_chars_max, avg(input_chars) AS input_chars_mean FROM res GROUP BY ALL)
+SELECT run_id, result_records, CAST(format('{{:.1f}}', mean) AS DOUBLE) AS duration_mean,
+  CAST(format('{{:.1f}}', median) AS DOUBLE) AS duration_median,
   duration_min, duration_max, p25::DOUBLE AS duration_p25, p95::DOUBLE AS duration_p95,
-  CAST(input_chars_min AS INTEGER) AS input_chars_min,
-  round(mean * (SELECT count(*) FROM orders) / 3600000, 2) AS estimate_hours_mean
-FROM b JOIN pct USING (run_id)""")
+  CAST(format('{{:.1f}}', input_chars_mean) AS DOUBLE) AS input_chars_mean,
+  CAST(input_chars_min AS INTEGER) AS input_chars_min, CAST(input_chars_max AS INTEGER) AS input_chars_max,
+  CAST(format('{{:.2f}}', mean * total / 3600000) AS DOUBLE) AS estimate_hours_mean,
+  CAST(format('{{:.2f}}', p25 * total / 3600000::DOUBLE) AS DOUBLE) AS estimate_hours_p25,
+  CAST(format('{{:.2f}}', p95 * total / 3600000::DOUBLE) AS DOUBLE) AS estimate_hours_p95
+FROM b JOIN pct USING (run_id), (SELECT count(*) AS total FROM orders)""")
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
     total = table(spark, sf, "orders").agg(F.count(F.lit(1))).scalar()
-    return runs.run_report(run_results(spark, sf), total).drop(
-        "input_chars_mean", "input_chars_max", "estimate_hours_p25", "estimate_hours_p95"
-    )
+    return runs.run_report(run_results(spark, sf), total)
 
 
 @query(f"""WITH {RUNS_SQL}

@@ -211,19 +211,19 @@ ch AS (SELECT t.product_id, i.aspect, i.detail,
        LEFT JOIN nc c ON c.product_id = i.product_id AND c.month = t.month AND c.aspect = i.aspect AND c.detail = i.detail),
 up AS (SELECT product_id, br, tr, (tr - br) * 100 AS pp, row_number() OVER (PARTITION BY product_id
          ORDER BY (tr - br) * 100 DESC, aspect, detail) AS r FROM ch WHERE (tr - br) * 100 > 0),
-v AS (SELECT query_id, 0 AS k, round_even(ps / s::DOUBLE * 100, 1) AS x FROM qs JOIN s USING (product_id) WHERE s >= 30
-  UNION ALL SELECT query_id, 1, round_even(ns / s::DOUBLE * 100, 1) FROM qs JOIN s USING (product_id) WHERE s >= 30
-  UNION ALL SELECT query_id, rank * 2, round_even(n / s::DOUBLE * 100, 1) FROM tc JOIN s USING (product_id)
+v AS (SELECT query_id, 0 AS k, CAST(format('{{:.1f}}', ps / s::DOUBLE * 100) AS DOUBLE) AS x FROM qs JOIN s USING (product_id) WHERE s >= 30
+  UNION ALL SELECT query_id, 1, CAST(format('{{:.1f}}', ns / s::DOUBLE * 100) AS DOUBLE) FROM qs JOIN s USING (product_id) WHERE s >= 30
+  UNION ALL SELECT query_id, rank * 2, CAST(format('{{:.1f}}', n / s::DOUBLE * 100) AS DOUBLE) FROM tc JOIN s USING (product_id)
     WHERE s >= 30 AND m > 0
-  UNION ALL SELECT query_id, rank * 2 + 1, round_even(p / s::DOUBLE * 100, 1) FROM tc JOIN s USING (product_id)
+  UNION ALL SELECT query_id, rank * 2 + 1, CAST(format('{{:.1f}}', p / s::DOUBLE * 100) AS DOUBLE) FROM tc JOIN s USING (product_id)
     WHERE s >= 30 AND m > 0
-  UNION ALL SELECT query_id, 100 + r, round_even(n / s::DOUBLE * 100, 1) FROM co JOIN qs USING (product_id)
+  UNION ALL SELECT query_id, 100 + r, CAST(format('{{:.1f}}', n / s::DOUBLE * 100) AS DOUBLE) FROM co JOIN qs USING (product_id)
     JOIN s USING (product_id) WHERE s >= 30 AND r <= 3
-  UNION ALL SELECT query_id, 200 + 10 * r, round_even(br * 100, 1) FROM up JOIN qs USING (product_id)
+  UNION ALL SELECT query_id, 200 + 10 * r, CAST(format('{{:.1f}}', br * 100) AS DOUBLE) FROM up JOIN qs USING (product_id)
     JOIN s USING (product_id) WHERE s >= 30 AND r <= 2
-  UNION ALL SELECT query_id, 201 + 10 * r, round_even(tr * 100, 1) FROM up JOIN qs USING (product_id)
+  UNION ALL SELECT query_id, 201 + 10 * r, CAST(format('{{:.1f}}', tr * 100) AS DOUBLE) FROM up JOIN qs USING (product_id)
     JOIN s USING (product_id) WHERE s >= 30 AND r <= 2
-  UNION ALL SELECT query_id, 202 + 10 * r, round_even(abs(pp), 1) FROM up JOIN qs USING (product_id)
+  UNION ALL SELECT query_id, 202 + 10 * r, CAST(format('{{:.1f}}', abs(pp)) AS DOUBLE) FROM up JOIN qs USING (product_id)
     JOIN s USING (product_id) WHERE s >= 30 AND r <= 2)
 SELECT query_id, string_agg(CAST(x AS VARCHAR), ',' ORDER BY k) AS percents FROM v GROUP BY ALL""")
 def question_percents(spark: SparkSession, sf: str) -> DataFrame:
