@@ -184,6 +184,11 @@ def issue_order() -> list[F.Column]:
     return [F.abs("change_pp").desc_nulls_last(), F.col("aspect"), F.col("detail"), F.col("polarity")]
 
 
+def ranked_issues(issue_rows: DataFrame) -> DataFrame:
+    """Issues with their ``rank`` in the listing of their pair; a pair has as many as there are kinds of label."""
+    return issue_rows.withColumn("rank", F.row_number().over(Window.partitionBy(*PAIR).orderBy(*issue_order())))
+
+
 def signals(
     covered: DataFrame, issue_rows: DataFrame, min_review_count: int = D.MIN_REVIEW_COUNT
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from tidemark.functions.evidence import bind
 from tidemark.functions.hashing import PROCESSING_SALT, order_hash
 from tidemark.functions.months import key_of_index, month_index
 from tidemark.operators.lineage import cut
-from tidemark.operators.topk import hash_rank, top_per_group
+from tidemark.operators.topk import rank_in_slices, slice_counts, top_per_group
 
 
 def month_quotas(counts: DataFrame, size: str = "sample_size") -> DataFrame:
@@ -42,18 +42,17 @@ def month_sample(
     quota, rank`` and ``position``, the review's place in an order whose every
     prefix fills the months in proportion.
     """
-    dated = reviews.filter("eligible").select(
+    hashed = reviews.filter("eligible").select(
         "product_id", "review_id", month_index(F.col("reviewed_at")).alias("month_idx")
-    )
-    counts = dated.groupBy("product_id", "month_idx").agg(F.count(F.lit(1)).alias("n"))
-    # one row per product and month, read by the ranking and by its hot-group counts
-    quotas = cut(month_quotas(counts.join(sizes, "product_id", "left")))
-    hashed = dated.join(quotas, ["product_id", "month_idx"]).withColumn(
-        "order_hash", order_hash(salt, F.col("review_id"))
-    )
-    return hash_rank(
-        hashed, ["product_id", "month_idx"], "order_hash", "review_id", "quota"
-    ).withColumn("position", (F.col("rank") - 0.5) / F.col("quota"))
+    ).withColumn("order_hash", order_hash(salt, F.col("review_id")))
+    group = ["product_id", "month_idx"]
+    # one scan counts the slices of every month; quotas and the slices that can reach them follow from that
+    slices = cut(slice_counts(hashed, group, "order_hash"))
+    counts = slices.groupBy(*group).agg(F.sum("_n").alias("n"))
+    quotas = month_quotas(counts.join(sizes, "product_id", "left"))
+    reached = cut(slices.join(quotas, group).filter(F.col("_before") < F.col("quota")))
+    return rank_in_slices(hashed, reached, group, "order_hash", "review_id", "quota").withColumn(
+        "position", (F.col("rank") - 0.5) / F.col("quota"))
 
 
 def processing_order(sample: DataFrame) -> list[F.Column]:
@@ -78,12 +77,13 @@ def product_month_order(
     )
     if months:
         chosen = chosen.filter(key_of_index(F.col("month_idx")).isin(*sorted(set(months))))
-    chosen = chosen.select("product_id", "review_id", "month_idx")
-    sizes = cut(chosen.groupBy("product_id", "month_idx").agg(F.count(F.lit(1)).alias("n")))
-    hashed = chosen.join(sizes, ["product_id", "month_idx"]).withColumn(
+    hashed = chosen.select("product_id", "review_id", "month_idx").withColumn(
         "order_hash", order_hash(salt, F.col("review_id"))
     )
-    return hash_rank(hashed, ["product_id", "month_idx"], "order_hash", "review_id")
+    group = ["product_id", "month_idx"]
+    whole = Window.partitionBy(*group)
+    slices = cut(slice_counts(hashed, group, "order_hash").withColumn("n", F.sum("_n").over(whole)))
+    return rank_in_slices(hashed, slices, group, "order_hash", "review_id")
 
 
 def with_stage(ordered: DataFrame, rank: str, size: str, stages: Sequence[int] = STAGES) -> DataFrame:

@@ -33,40 +33,65 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"))
 
 
-def hash_rank(
+SLICE_DIGITS = 2  # hash digits that tell the slices of a group: at most 256
+
+
+def slice_counts(df: DataFrame, keys: Sequence[str], hash_col: str) -> DataFrame:
+    """``keys, _slice, _n, _before``: rows of each slice of a group, and rows in the slices before it.
+
+    Slices are the first digits of the hash, which follow its order. Counted in the map tasks first.
+    """
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        df.groupBy(*keys, F.substring(hash_col, 1, SLICE_DIGITS).alias("_slice"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    )
+
+
+def rank_in_slices(
     df: DataFrame,
+    slices: DataFrame,
     keys: Sequence[str],
     hash_col: str,
     id_col: str,
     limit: str | None = None,
     rank: str = "rank",
 ) -> DataFrame:
-    """Exact 1-based rank by (hash, id) inside each group, groups split.
+    """Exact 1-based rank by (hash, id) inside each group, from its counted slices.
 
-    A group is cut into at most 4,096 slices by the first three hash digits, which
-    follow the sort order; a slice's first rank is the number of rows in the slices
-    before it. With ``limit`` (a column) only ranks up to it are kept and slices past
-    it are dropped unsorted, before the ranking shuffle.
+    Rows take on the further columns of their slice. Rows whose slice is not listed are dropped by the join, before
+    anything is sorted, and in the scan itself where the slices are few enough to be broadcast;
+    so with slices up to a ``limit`` only about as many rows as that are shuffled. A slice is ranked by one
+    task, a group by up to 256.
     """
-    keys = list(keys)
-    prefix = F.substring(hash_col, 1, 3)
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*keys, prefix.alias("_slice"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    placed = df.withColumn("_slice", prefix).join(offsets, [*keys, "_slice"])
-    if limit is not None:
-        placed = placed.filter(F.col("_before") < F.col(limit))
     inner = Window.partitionBy(*keys, "_slice").orderBy(hash_col, id_col)
+    placed = df.withColumn("_slice", F.substring(hash_col, 1, SLICE_DIGITS)).join(slices.drop("_n"), [*keys, "_slice"])
     ranked = placed.withColumn(rank, F.col("_before") + F.row_number().over(inner))
     if limit is not None:
         ranked = ranked.filter(F.col(rank) <= F.col(limit))
     return ranked.drop("_slice", "_before")
 
 
+def hash_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    hash_col: str,
+    id_col: str,
+    limit: str | None = None,
+    rank: str = "rank",
+) -> DataFrame:
+    """Exact 1-based rank by (hash, id) inside each group, groups split into slices.
+
+    With ``limit`` (a column, the same for all rows of a group) only ranks up to it are kept.
+    """
+    keys = list(keys)
+    slices = slice_counts(df, [*keys, limit] if limit else keys, hash_col)
+    if limit is not None:
+        slices = slices.filter(F.col("_before") < F.col(limit)).drop(limit)
+    return rank_in_slices(df, slices, keys, hash_col, id_col, limit, rank)
+
+
 def cumulative_counts(
     df: DataFrame,
     keys: Sequence[str],

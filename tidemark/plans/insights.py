@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark import defaults as D
 from tidemark.functions.months import key_of_index
@@ -64,6 +65,11 @@ def aspect_order() -> list[F.Column]:
     return [F.desc("mention_count"), F.col("aspect"), F.col("detail")]
 
 
+def ranked_aspects(aspect_rows: DataFrame) -> DataFrame:
+    """Aspects with their ``rank`` in the listing of their product."""
+    return aspect_rows.withColumn("rank", F.row_number().over(Window.partitionBy("product_id").orderBy(*aspect_order())))
+
+
 def top_complaints(aspect_rows: DataFrame, k: int = 3) -> DataFrame:
     """The issues with most negative reviews in each product."""
     complained = aspect_rows.filter(F.col("negative_count") > 0)

@@ -129,7 +129,9 @@ def write_csv(rows: DataFrame, path: str, byte_order_mark: bool = True) -> None:
     if byte_order_mark:
         first, *rest = flat.columns
         flat = flat.toDF("\ufeff" + first, *rest)
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    flat.write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_json_report(rows: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from workload import (  # noqa: F401
     quality,
     reports,
     samples,
+    sources,
 )
 from workload.registry import ORACLES, QUERIES
 

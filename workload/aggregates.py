@@ -169,7 +169,7 @@ def label_examples_latest3(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("day", F.date_format("reviewed_at", "yyyy-MM-dd")).drop("reviewed_at")
 
 
-@query(f"""WITH {sql_views()},
+ASPECTS_SQL = f"""{sql_views()},
 n AS (SELECT product_id, count(*) AS n FROM rf WHERE status = 'succeeded' GROUP BY ALL),
 m AS (SELECT product_id, aspect, detail, count(DISTINCT review_id) AS mention_count,
         count(DISTINCT CASE WHEN polarity = 'positive' THEN review_id END) AS positive_count,
@@ -180,12 +180,24 @@ m AS (SELECT product_id, aspect, detail, count(DISTINCT review_id) AS mention_co
 SELECT m.*, CAST(mention_count AS DOUBLE) / n AS mention_rate,
        CAST(positive_count AS DOUBLE) / n AS positive_rate,
        CAST(negative_count AS DOUBLE) / n AS negative_rate
-FROM m JOIN n USING (product_id)""")
+FROM m JOIN n USING (product_id)"""
+
+
+@query(f"WITH {ASPECTS_SQL}")
 def aspect_insights(spark: SparkSession, sf: str) -> DataFrame:
     f = Facts(spark, sf)
     return insights.aspects(insights.overview(f.products, f.month_table), f.issue_table)
 
 
+@query(f"""WITH {ASPECTS_SQL.replace("SELECT m.*", ", asp AS (SELECT m.*")})
+SELECT product_id, aspect, detail, mention_count, CAST(row_number() OVER (PARTITION BY product_id
+  ORDER BY mention_count DESC, aspect, detail) AS INTEGER) AS rank FROM asp""")
+def aspect_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Aspects in the order they are listed in."""
+    return insights.ranked_aspects(aspect_insights(spark, sf)).select(
+        "product_id", "aspect", "detail", "mention_count", "rank")
+
+
 @query(f"""WITH {sql_views()}, {COVERAGE_SQL},
 pos AS (SELECT product_id, count(DISTINCT CASE WHEN polarity = 'positive' THEN review_id END) AS p,
                count(DISTINCT CASE WHEN polarity = 'negative' THEN review_id END) AS n

@@ -98,10 +98,24 @@ ISSUE_COLUMNS = """product_id, baseline_month, target_month, aspect, detail, pol
 @query(f"""WITH {sql_views()}, {COVERAGE_SQL}, {pairs_sql(CONSECUTIVE_SQL)}
 SELECT {ISSUE_COLUMNS} FROM iss""")
 def two_month_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.with_month_keys(_issues(spark, sf))
+
+
+def _issues(spark: SparkSession, sf: str) -> DataFrame:
     f = Facts(spark, sf)
     months = f.month_table
     covered = compare.coverage(compare.consecutive_pairs(months), months)
-    return compare.with_month_keys(compare.issues(covered, f.issue_table))
+    return compare.issues(covered, f.issue_table)
+
+
+@query(f"""WITH {sql_views()}, {COVERAGE_SQL}, {pairs_sql(CONSECUTIVE_SQL)}
+SELECT product_id, baseline_month, target_month, aspect, detail, polarity, CAST(row_number() OVER (
+  PARTITION BY product_id, baseline_month, target_month
+  ORDER BY abs(change_pp) DESC NULLS LAST, aspect, detail, polarity) AS INTEGER) AS rank FROM iss""")
+def issue_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of every pair of months in the order they are listed in."""
+    return compare.with_month_keys(compare.ranked_issues(_issues(spark, sf))).select(
+        "product_id", "baseline_month", "target_month", "aspect", "detail", "polarity", "rank")
 
 
 SIGNAL_SQL = """

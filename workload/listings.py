@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import compare, facts, sampling, search
+from tidemark.operators import compare, facts, sampling, search, textsearch
 from tidemark.operators.topk import page, total
 from tidemark.plans import catalog, insights, questions
 from workload.aggregates import COVERAGE_SQL
@@ -35,6 +35,47 @@ def product_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("product_id", "title", "category")
 
 
+@query(f"""WITH {PRODUCTS_SQL}
+SELECT product_id, title, category FROM prod WHERE category IN ('ASIA', 'EUROPE')""")
+def official_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a category, only products of the official ones."""
+    found = catalog.filter_products(Facts(spark, sf, "nation").products, " ", official=("ASIA", "EUROPE"))
+    return found.select("product_id", "title", "category")
+
+
+# Customers as products; suppliers give the search strings: digits, words, wildcards, too short and too rare ones.
+SEARCHES_SQL = """
+items AS (SELECT c_custkey, c_name AS title, CASE WHEN c_nationkey % 3 > 0 THEN lower(c_mktsegment) END AS title_ko,
+            'A' || c_custkey || '_' || c_nationkey AS parent_asin FROM customer),
+searches AS (SELECT s_suppkey AS search_id, CASE s_suppkey % 8 WHEN 0 THEN ' MER#%' || s_suppkey || ' '
+    WHEN 1 THEN 'a' || s_suppkey WHEN 2 THEN '_' || s_suppkey || '_' WHEN 3 THEN 'build_n' WHEN 4 THEN 'ma%y'
+    WHEN 5 THEN '9_' || s_suppkey % 10 WHEN 6 THEN 'none of them' ELSE s_name END AS query FROM supplier)
+"""
+
+
+@query(f"""WITH {SEARCHES_SQL}
+SELECT search_id, c_custkey FROM items JOIN searches ON title ILIKE '%' || trim(query) || '%'
+  OR title_ko ILIKE '%' || trim(query) || '%' OR parent_asin ILIKE '%' || trim(query) || '%'""")
+def product_search_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Many searches at once, through the index of letter groups."""
+    c = F.col
+    key = c("c_custkey").cast("string")
+    items = table(spark, sf, "customer").select(
+        "c_custkey", c("c_name").alias("title"),
+        F.when(c("c_nationkey") % 3 > 0, F.lower("c_mktsegment")).alias("title_ko"),
+        F.concat(F.lit("A"), key, F.lit("_"), c("c_nationkey").cast("string")).alias("parent_asin"))
+    number = c("s_suppkey").cast("string")
+    kind = c("s_suppkey") % 8
+    searches = table(spark, sf, "supplier").select(
+        c("s_suppkey").alias("search_id"),
+        F.when(kind == 0, F.concat(F.lit(" MER#%"), number, F.lit(" "))).when(kind == 1, F.concat(F.lit("a"), number))
+        .when(kind == 2, F.concat(F.lit("_"), number, F.lit("_"))).when(kind == 3, "build_n").when(kind == 4, "ma%y")
+        .when(kind == 5, F.concat(F.lit("9_"), (c("s_suppkey") % 10).cast("string"))).when(kind == 6, "none of them")
+        .otherwise(c("s_name")).alias("query"))
+    fields = {name: c(name) for name in ("title", "title_ko", "parent_asin")}
+    return textsearch.search_many(items, "c_custkey", fields, searches)
+
+
 CARDS_SQL = f"""
 tot AS (SELECT product_id, sum(review_count)::BIGINT AS review_count,
   sum(succeeded)::BIGINT AS succeeded, sum(failed)::BIGINT AS failed,
