@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.rows import DOC, PLACE, ROW, cut, placed, scratch, without
+from tidemark.llm.rows import DOC, PLACE, ROW, cut, placed, released, scratch, without
 
 FILTER_BITS = 24  # the filter sent to all tasks is 2 MiB, whatever the benchmark's size
 
@@ -135,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     cells = cut(benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
-                .mapInArrow(lambda it: _windows(it, window, shingle), WINDOWS))
+                .mapInArrow(lambda it: released(_windows(it, window, shingle)), WINDOWS))
     distinct = cells.groupBy("window").agg(
         F.first("size").alias("size"), F.first("hashes").alias("hashes"), F.first("k").alias("k"))
     tokens = distinct.select("window", "size", F.posexplode("hashes").alias("shift", "hash"))
@@ -143,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     everything = hash_filter(spark, tokens.select("hash").distinct())
     counts = docs.select(F.col(text).alias("text")).mapInArrow(
-        lambda it: _counts(it, sizes, everything), COUNTS).groupBy("hash").agg(F.sum("n").alias("n"))
+        lambda it: released(_counts(it, sizes, everything)), COUNTS).groupBy("hash").agg(F.sum("n").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "shift"))
     prefixes = cut(tokens.join(counts, "hash", "left").groupBy("window", "size").agg(rarest.alias("p")).select(
         "window", "size", "p.hash", "p.shift"))
@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 at += out.num_rows
                 yield pa.RecordBatch.from_arrays([*out.columns, part], names=[*out.schema.names, "doc_id"])
 
-    rows = cut(source.mapInArrow(with_id, f"{PLACES}, doc_id {kind}"))
+    rows = cut(source.mapInArrow(lambda it: released(with_id(it)), f"{PLACES}, doc_id {kind}"))
 
     candidates = rows.select(ROW, "n_words", F.explode("places").alias("c")).select(ROW, "n_words", "c.*")
     paired = candidates.join(prefixes, "hash").withColumn("start", F.col("at") - F.col("shift"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import numbered
+from tidemark.llm.rows import numbered, release_memory
 
 BASE = ("email", "ip", "card", "phone")
 FURTHER = ("secret", "number", "local_phone", "spelled_email")
@@ -198,7 +198,10 @@ def find_candidates(text: Column) -> Column:
 
     @F.pandas_udf(SPAN)
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(names, s)) for s in candidates(t)] for t in texts], dtype=object)
+        try:
+            return pd.Series([[dict(zip(names, s)) for s in candidates(t)] for t in texts], dtype=object)
+        finally:
+            release_memory()
 
     return find(text)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import cut, scratch
 
-__all__ = ["cut", "numbered", "part_count", "placed", "scratch", "without"]
+__all__ = ["cut", "numbered", "part_count", "placed", "release_memory", "released", "scratch", "without"]
 
 ROW = "_row"
 DOC = "_doc"
@@ -44,3 +48,20 @@ def without(rows: DataFrame, places: DataFrame) -> DataFrame:
 def part_count(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitioning by a key."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release_memory() -> None:
+    """Give freed memory of a Python worker back: it lives on between tasks and would keep each one's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task that releases its memory at the end."""
+    try:
+        yield from batches
+    finally:
+        release_memory()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components, unite
 from tidemark.llm import words as W
-from tidemark.llm.rows import DOC, PLACE, ROW, cut, numbered, part_count, placed, scratch, without
+from tidemark.llm.rows import DOC, PLACE, ROW, cut, numbered, part_count, placed, released, scratch, without
 
 BITS = 64
 SLICE = 1 << 15  # shingles whose bits are counted at once
@@ -232,7 +232,7 @@ def near_links(prints: DataFrame, budget: int, wide: tuple[str, ...] = (), limit
     dealt = _chunk_pairs(dealt, ["block", "head"], F.ceil(F.count("*") / CHUNK)).select(
         "block", "turn", "low", "high", "part", *kept, "head")
     dealt = dealt.repartition(part_count(prints), "block", "head", "low", "high").drop("head")
-    return dealt.mapInArrow(lambda batches: _forest(batches, budget, limit), "a long, b long")
+    return dealt.mapInArrow(lambda batches: released(_forest(batches, budget, limit)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -551,7 +551,7 @@ def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return cut(cut(possible_pairs(pairs, similarity)).join(left, "a").join(right, "b").select(
-            "a", "b", "x", "y").mapInArrow(lambda it: _similar_pairs(it, similarity), "a long, b long"))
+            "a", "b", "x", "y").mapInArrow(lambda it: released(_similar_pairs(it, similarity)), "a long, b long"))
 
     def rooted(roots: DataFrame) -> DataFrame:
         return posted.join(roots, "node", "left").select(*posted.columns, F.coalesce("root", "node").alias("root"))
@@ -569,7 +569,7 @@ def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity:
     cells = _chunk_pairs(own, ["shingle"], F.ceil(F.count("*") / CHUNK)).select(
         "shingle", "low", "high", "root", "node", "size", "place", "part")
     across = cells.repartition(part_count(sets), "shingle", "low", "high").mapInArrow(
-        lambda it: _across(it, similarity), ", ".join(f"{c} long" for c in _PAIR))
+        lambda it: released(_across(it, similarity)), ", ".join(f"{c} long" for c in _PAIR))
     links = links.unionByName(verified(across))
     return connected_components(links)
 
@@ -600,7 +600,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similari
     cells = min(max(1 << int(letters // SHINGLE_BYTES).bit_length(), LEAST_CELLS), MOST_CELLS)
     source = docs.select(F.monotonically_increasing_id().alias(ROW), PLACE, of[doc_id].alias("doc_id"), of[text].alias("text"))
     told = cut(source.mapInArrow(
-        lambda it: _prints(it, shingle, tables, cells),
+        lambda it: released(_prints(it, shingle, tables, cells)),
         ", ".join([f"{ROW} bigint, {PLACE} {place}, doc_id {kind}, prints array<bigint>, digest bigint",
                    *(f"{w} bigint" for w in _WIDE_NAMES), "slot int, counts binary"])))
     rows = told.where("slot is null")
@@ -617,7 +617,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similari
     groups = connected_components(near)
 
     posted = cut(docs.select(of[text].alias("text")).mapInArrow(
-        lambda it: _postings(it, shingle, counts, similarity), "node long, size long, place long, shingle long"))
+        lambda it: released(_postings(it, shingle, counts, similarity)), "node long, size long, place long, shingle long"))
     shared = posted.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     posted = cut(posted.join(cut(shared.select("shingle")), "shingle").dropDuplicates(["shingle", "node"]))
 
@@ -625,7 +625,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similari
     wanted = cut(wanted.join(classes.select("node", f"of.{PLACE}.*"), "node"))
     at = F.col(PLACE)
     sets = cut(docs.join(wanted, (at["file"] == F.col("file")) & (at["at"] == F.col("at"))).select(
-        "node", of[text].alias("text")).mapInArrow(lambda it: _sets(it, shingle), "node long, shingles binary"))
+        "node", of[text].alias("text")).mapInArrow(lambda it: released(_sets(it, shingle)), "node long, shingles binary"))
 
     members = groups.join(prints, "node").join(sets, "node")
     chunks = F.ceil(F.greatest(F.count("*") / GROUP_CHUNK, F.sum(F.length("shingles")) / CHUNK_BYTES))
