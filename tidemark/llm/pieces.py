@@ -3,9 +3,11 @@
 A ``.model`` file is read with a small protobuf reader and rebuilt: normaliser, the blank marker, piece scores
 (or the merges that they imply) and byte fallback. If no piece has a blank marker after another
 character, no piece crosses the start of a run of blanks, and a text may be encoded chunk by
-chunk; a task then encodes each distinct chunk once, in multithreaded batches. Every
-distinct chunk is also encoded by the original library; a text is at parity if all of its chunks are, and takes
-that library's pieces for those that are not.
+chunk; a task then encodes each distinct chunk once, in multithreaded batches.
+
+Parity is verified against the original library with the untouched model file: it normalises every whole text, which
+must give what the rebuilt normaliser gave, and every distinct chunk must get the same pieces. A
+text of which either fails is encoded anew by that library, whole; all others have the rebuilt model's pieces.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from tidemark.llm.rows import released
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -178,9 +182,11 @@ class Encoder:
         self.plain = not self.model.charsmap and not self.model.single_blanks
         self.normaliser = self.model.normaliser()
         self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.model.splits else r"(?s).+")
-        # the original library on text that is normalised already: every setting but the pieces is off
         self.original = sentencepiece.SentencePieceProcessor()
-        self.original.LoadFromSerializedProto(_without_normaliser(data))
+        self.original.LoadFromSerializedProto(data)
+        # the same on chunks, which are normalised already
+        self.on_chunks = sentencepiece.SentencePieceProcessor()
+        self.on_chunks.LoadFromSerializedProto(_without_normaliser(data))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.odd: set[str] = set()  # kept chunks without parity
@@ -193,15 +199,17 @@ class Encoder:
 
     def _encode(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
         ours = self.backend.encode_batch_fast(chunks, add_special_tokens=False)
-        theirs = self.original.encode(chunks, num_threads=1)
+        theirs = self.on_chunks.encode(chunks, num_threads=1)
         for c, a, b in zip(chunks, ours, theirs):
             if a.ids != b:
                 self.odd.add(c)
-            yield c, array("i", b).tobytes()
+            yield c, array("i", a.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[bool]]:
-        """Piece ids of each text, and whether both libraries agree."""
-        split = [self.chunk.findall(self.normalised(t or "")) for t in texts]
+        """Piece ids of each text, and whether both libraries agree; where not, they are the original's."""
+        plain = [self.normalised(t or "") for t in texts]
+        theirs = self.original.normalize([t or "" for t in texts])
+        split = [self.chunk.findall(t) for t in plain]
         distinct = set().union(*split)
         known = self.young
         for c in distinct - known.keys() & self.old.keys():
@@ -210,7 +218,10 @@ class Encoder:
         for k in range(0, len(new), BLOCK):
             known.update(self._encode(new[k: k + BLOCK]))
         ids = [np.frombuffer(b"".join([known[c] for c in chunks]), np.int32) for chunks in split]
-        parity = [self.odd.isdisjoint(chunks) for chunks in split] if self.odd else [True] * len(split)
+        parity = [a == b and self.odd.isdisjoint(chunks) for a, b, chunks in zip(plain, theirs, split)]
+        for k, same in enumerate(parity):
+            if not same:
+                ids[k] = np.array(self.original.encode(texts[k] or ""), np.int32)
         if len(known) > HELD:
             # chunks that come again move to the next generation, the others are dropped
             self.old, self.young = {c: v for c, v in known.items() if len(c) <= SHORT}, {}
@@ -306,8 +317,8 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids",
            restored: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (piece numbers) and ``parity``; batches are encoded by ``threads`` threads.
 
-    ``parity`` tells whether the rebuilt model gave the original library's pieces; where it did
-    not, ``ids`` are the original's. With ``restored``, that column tells whether decoding the pieces gives
+    ``parity`` tells whether the rebuilt model gave the original library's normalised text and pieces; where it did
+    not, and only there, ``ids`` are the original's. With ``restored``, that column tells whether decoding the pieces gives
     the text again. Null and empty texts have no pieces, are at parity and restored. All columns
     and rows are kept; an empty table gives no rows.
     """
@@ -330,7 +341,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids",
                     [*part.columns, *more], names=[*batch.schema.names, out, "parity", "restored"][: len(part.columns) + len(more)])
         encoder.forget()
 
-    return docs.mapInArrow(run, _schema(docs, f"`{out}` array<int>", "parity boolean",
+    return docs.mapInArrow(lambda it: released(run(it)), _schema(docs, f"`{out}` array<int>", "parity boolean",
                                         *(["restored boolean"] if restored else [])))
 
 
