@@ -3,8 +3,9 @@
 Text is reduced to lower-case letters with one blank for anything between. Four-grams are counted
 per language over all training rows; lower orders count the distinct left neighbours
 (continuation counts), and each order interpolates with the next lower one by absolute discount.
-The model is kept as sorted arrays of 20-bit n-gram hashes with a row of log probabilities, one
-column a language, so its size is at most ``4 * 2**20`` rows for any amount of text. A text gets
+The model is kept as sorted arrays of whole 64-bit n-gram hashes with a row of log probabilities, one
+column a language: no n-grams share a row. It grows with the distinct n-grams of the training texts, which
+writing systems bound and not the amount of text: 40 thousand four-grams for four languages. A text gets
 the language with the lowest cross-entropy per letter, and is rejected if even that is above
 the level that (almost) all training texts of similar length stay under.
 """
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import DOC, PLACE, ROW, cut, placed, scratch, without
+from tidemark.llm.rows import DOC, PLACE, ROW, cut, placed, released, scratch, without
 from tidemark.llm.words import row_groups
 
 ORDER = 4
-HASH_BITS = 20
+PLACE_BITS = 20  # leading bits of a hash by which its place in a sorted array is looked up
 KEPT = 1 << 20  # distinct n-grams that a task holds before it passes their counts on
 QUANTILE = 0.999  # share of the training texts that calibration keeps
 SLACK = 1.15  # above the calibrated level
@@ -80,7 +81,7 @@ def grams(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def hashed(gram: np.ndarray) -> np.ndarray:
-    """XXH64 of a 64-bit value with seed 42, its low bits; the same as the SQL function gives."""
+    """XXH64 of a 64-bit value with seed 42; the same as the SQL function gives."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (
         0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -94,8 +95,7 @@ def hashed(gram: np.ndarray) -> np.ndarray:
     h *= p2
     h ^= h >> np.uint64(29)
     h *= p3
-    h ^= h >> np.uint64(32)
-    return h & np.uint64((1 << HASH_BITS) - 1)
+    return h ^ (h >> np.uint64(32))
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -159,13 +159,26 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_places"}
 
     def _find(self, table: str, order: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each hash in a sorted array, by the first place of every possible hash."""
+        """Place of each hash in a sorted array: from the first place of its leading bits onward."""
         places = self.__dict__.setdefault("_places", {})
         values = getattr(self, table)[order]
+        if not len(values):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
         if (table, order) not in places:
-            places[table, order] = np.searchsorted(values, np.arange(1 << HASH_BITS)).astype(np.int32)
-        at = np.minimum(places[table, order][key], max(len(values) - 1, 0))
-        return at, (values[at] == key) if len(values) else np.zeros(len(key), bool)
+            heads = np.arange(1 << PLACE_BITS, dtype=np.uint64) << np.uint64(64 - PLACE_BITS)
+            places[table, order] = np.append(np.searchsorted(values, heads), len(values)).astype(np.int32)
+        head = (key >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        at, end = places[table, order][head], places[table, order][head + 1]
+        known = values[np.minimum(at, len(values) - 1)] == key
+        known &= at < end
+        rest = np.flatnonzero(~known & (at + 1 < end))
+        while len(rest):
+            at[rest] += 1
+            found = values[at[rest]] == key[rest]
+            known[rest[found]] = True
+            rest = rest[~found]
+            rest = rest[at[rest] + 1 < end[rest]]
+        return np.minimum(at, len(values) - 1), known
 
     def log_probabilities(self, gram: np.ndarray) -> np.ndarray:
         """A row for each n-gram, a column for each language."""
@@ -186,17 +199,12 @@ class Model:
 
 
 def _order_table(counts: DataFrame, order: int) -> DataFrame:
-    """Hashed n-grams of one order with hashed context and suffix; equal hashes are added up."""
-    def key(of: Column) -> Column:
-        return F.xxhash64(of).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-
+    """Hashed n-grams of one order with hashed context and suffix."""
     gram = F.col("gram")
     suffix = gram.bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)) if order > 1 else F.lit(0).cast("long")
     return counts.select(
-        "lang", key(gram).alias("key"), key(F.call_function("shiftrightunsigned", gram, F.lit(16))).alias("context"),
-        key(suffix).alias("suffix"), "n",
-    ).groupBy("lang", "key").agg(
-        F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
+        "lang", F.xxhash64(gram).alias("key"), F.xxhash64(F.call_function("shiftrightunsigned", gram, F.lit(16))).alias("context"),
+        F.xxhash64(suffix).alias("suffix"), "n")
 
 
 def _kneser_ney(langs: list[str], tables: dict[int, pa.Table], discounts: dict) -> Model:
@@ -206,7 +214,8 @@ def _kneser_ney(langs: list[str], tables: dict[int, pa.Table], discounts: dict)
     for order in range(1, ORDER + 1):
         t = tables[order]
         lang = np.array([number[x] for x in t.column("lang").to_pylist()], np.int64)
-        key, context, suffix, n = (np.asarray(t.column(c)).astype(np.int64) for c in ("key", "context", "suffix", "n"))
+        key, context, suffix = (np.asarray(t.column(c)).astype(np.int64).view(np.uint64) for c in ("key", "context", "suffix"))
+        n = np.asarray(t.column("n")).astype(np.int64)
         keys, first = np.unique(key, return_index=True)
         contexts, of_context = np.unique(context, return_inverse=True)
         cell = lang * len(contexts) + of_context
@@ -227,9 +236,9 @@ def _kneser_ney(langs: list[str], tables: dict[int, pa.Table], discounts: dict)
 
 
 def train(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """Model of all ``rows`` with a language. What comes to the driver is bounded by the hash arrays."""
+    """Model of all ``rows`` with a language. To the driver come its distinct n-grams, a row for each language that has one."""
     source = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = cut(source.mapInArrow(_count, COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = cut(source.mapInArrow(lambda it: released(_count(it)), COUNTS).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     tables, discounts = {}, {}
     for order in range(ORDER, 0, -1):
         for r in counts.groupBy("lang").agg(
@@ -270,8 +279,9 @@ def identify(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: st
 
     Rows that ``training`` picks and that have a language are learned from; a prediction reads the text alone.
     ``lang_pred`` is a learned language, or ``und`` for a null text or one without a letter, which
-    is always rejected; so are all rows if nothing could be learned. ``score`` is the share of the best
-    language among all, from the cross-entropies, 0 for ``und``. Ties go to the first language by
+    is always rejected; so are all rows if nothing could be learned; other texts of fewer than ``LEAST_LETTERS``
+    letters never are, their entropy says too little. ``score`` is the share of the best
+    language among all, from the cross-entropies of at most a hundred letters, 0 for ``und``. Ties go to the first language by
     name; repeated rows each get a row; an empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
@@ -293,7 +303,7 @@ def identify(docs: DataFrame, training: Column, doc_id: str = "doc_id", text: st
     source = docs.select(
         F.monotonically_increasing_id().alias(ROW), F.col(doc_id).alias("doc_id"),
         F.when(learn, F.col(lang)).alias("right"), F.col(text).alias("text"))
-    rows = cut(source.mapInArrow(scored, f"{ROW} bigint, doc_id {kind}, right string, {SCORES}"))
+    rows = cut(source.mapInArrow(lambda it: released(scored(it)), f"{ROW} bigint, doc_id {kind}, right string, {SCORES}"))
     name = F.get(F.array(*map(F.lit, model.langs)).cast("array<string>"), F.when(F.col("best") >= 0, F.col("best")))
     rows = rows.withColumn("lang_pred", F.coalesce(name, F.lit("und")))
     band = F.floor(F.log2(F.col("letters") + 1)).cast("int")
