@@ -14,22 +14,22 @@ from tidemark.operators.topk import top_per_group
 FIELDS = ("parent_asin", "asin", "text", "rating", "timestamp")
 
 
-def shard_volumes(shards: DataFrame) -> DataFrame:
+def shard_volumes(shards: DataFrame, *by: str) -> DataFrame:
     """Row and validity counts per product and month, from one scan.
 
     Audit, product totals and month counts are all sums of these rows, so the raw
     shards are read once and combined in the map tasks. Rows that are not eligible
-    have no month.
+    have no month. ``by`` names columns of the shards to tell apart as well.
     """
     checks = validity()
     month = F.when(
         checks["eligible"], month_index(F.timestamp_millis("timestamp"))
     )
     flags = shards.select(
-        "parent_asin", month.alias("month_idx"), "timestamp",
+        *by, "parent_asin", month.alias("month_idx"), "timestamp",
         *[checks[f].alias(f"ok_{f}") for f in FIELDS], checks["eligible"].alias("eligible"),
     )
-    return flags.groupBy("parent_asin", "month_idx").agg(
+    return flags.groupBy(*by, "parent_asin", "month_idx").agg(
         F.count(F.lit(1)).alias("total_rows"),
         *[F.count_if(~F.col(f"ok_{f}")).alias(f"invalid_{f}") for f in FIELDS],
         F.count_if("eligible").alias("eligible_rows"),
@@ -38,22 +38,18 @@ def shard_volumes(shards: DataFrame) -> DataFrame:
     )
 
 
-def product_totals(volumes: DataFrame) -> DataFrame:
-    """Eligible reviews of each product that has any."""
-    return (
-        volumes.filter(F.col("eligible_rows") > 0)
-        .groupBy("parent_asin").agg(F.sum("eligible_rows").alias("eligible_rows"))
+def add_up(volumes: DataFrame, *keys: str) -> DataFrame:
+    """Volumes of parts of the shards as volumes of all, by the given keys."""
+    return volumes.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("total_rows", *[f"invalid_{f}" for f in FIELDS], "eligible_rows")],
+        F.min("first_timestamp").alias("first_timestamp"),
+        F.max("last_timestamp").alias("last_timestamp"),
     )
 
 
 def audit(volumes: DataFrame) -> DataFrame:
     """One row: totals, invalid counts per field, eligible products, month range."""
-    per_product = volumes.groupBy("parent_asin").agg(
-        *[F.sum(c).alias(c) for c in
-          ("total_rows", *[f"invalid_{f}" for f in FIELDS], "eligible_rows")],
-        F.min("first_timestamp").alias("first_timestamp"),
-        F.max("last_timestamp").alias("last_timestamp"),
-    )
+    per_product = add_up(volumes, "parent_asin")
 
     def month(value: F.Column) -> F.Column:
         return key_of_index(month_index(F.timestamp_millis(value)))

@@ -14,7 +14,7 @@ from tidemark.defaults import WINDOW_MIN_TOTAL
 from tidemark.functions import hashing
 from tidemark.functions.months import key_of_index
 from tidemark.functions.products import description_text, first_image
-from tidemark.operators import ingest, merge, profile
+from tidemark.operators import growing, ingest, merge, profile
 from tidemark.operators.keyed import KeyedTable
 from tidemark.operators.lineage import cut, new_path
 from tidemark.sources.shards import latest_metadata, missing_keys
@@ -65,7 +65,7 @@ raw AS (
 """
 
 
-@query(f"""WITH {SHARDS_SQL}
+AUDIT_SQL = f"""WITH {SHARDS_SQL}
 SELECT count(*) AS total_rows, count(*) FILTER (WHERE NOT ok_parent) AS invalid_parent_asin,
   count(*) FILTER (WHERE NOT ok_asin) AS invalid_asin,
   count(*) FILTER (WHERE NOT ok_text) AS invalid_text,
@@ -73,11 +73,27 @@ SELECT count(*) AS total_rows, count(*) FILTER (WHERE NOT ok_parent) AS invalid_
   count(*) FILTER (WHERE NOT ok_timestamp) AS invalid_timestamp,
   count(*) FILTER (WHERE eligible) AS eligible_rows,
   count(DISTINCT parent_asin) FILTER (WHERE eligible) AS eligible_product_count,
-  min(month) AS first_observed_month, max(month) AS last_observed_month FROM raw""")
+  min(month) AS first_observed_month, max(month) AS last_observed_month FROM raw"""
+
+
+@query(AUDIT_SQL)
 def shard_audit(spark: SparkSession, sf: str) -> DataFrame:
     return profile.audit(profile.shard_volumes(shards(spark, sf)))
 
 
+@query(AUDIT_SQL)
+def growing_shard_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of three shards of which the last arrives later; then it alone is scanned."""
+    rows = shards(spark, sf)
+    folder, state = new_path(spark), new_path(spark)
+    third = F.pmod(F.xxhash64("asin", "text"), F.lit(3))
+    for k in (0, 1):
+        rows.filter(third == k).write.mode("append").parquet(folder)
+    growing.grow_profile(spark, state, folder)
+    rows.filter(third == 2).write.mode("append").parquet(folder)
+    return profile.audit(growing.grow_profile(spark, state, folder).volumes)
+
+
 @query(f"""WITH {SHARDS_SQL}
 SELECT parent_asin, month, n FROM (
   SELECT *, sum(n) OVER (PARTITION BY parent_asin) AS total FROM (

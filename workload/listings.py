@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import compare, facts, sampling, search, textsearch
+from tidemark.operators.lineage import cut
 from tidemark.operators.topk import page, total
 from tidemark.plans import catalog, insights, questions
 from workload.aggregates import COVERAGE_SQL
@@ -105,6 +108,15 @@ def product_cards(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.card_page(_cards(Facts(spark, sf, "nation")), 2, 10)
 
 
+@query(f"""WITH {sql_views("nation")}, {COVERAGE_SQL}, {PRODUCTS_SQL}, {CARDS_SQL}
+SELECT *, CAST((row_number() OVER (ORDER BY title, product_id) + 9) // 10 AS INTEGER) AS page FROM card""")
+def product_card_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages of ten cards, and one that is empty."""
+    cards = cut(_cards(Facts(spark, sf, "nation")))
+    return reduce(DataFrame.unionByName, [
+        catalog.card_page(cards, n, 10).withColumn("page", F.lit(n)) for n in range(1, 5)])
+
+
 @query("""SELECT count(*) AS total FROM nation JOIN region ON n_regionkey = r_regionkey
 WHERE r_name <> 'ASIA'""")
 def product_total(spark: SparkSession, sf: str) -> DataFrame:

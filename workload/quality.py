@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.defaults import INTERNAL_TERMS, PERCENT_TOLERANCE
 from tidemark.functions.evidence import find_evidence, highlight_spans
 from tidemark.functions.hashing import content_hash
 from tidemark.functions.text import (
@@ -31,11 +32,14 @@ from workload.registry import query
   substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 300) AS excerpt,
   substr(regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[\\s?!.~。？！]+$', ''),
          1, 600) AS question_key,
-  len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS n_words
-FROM documents WHERE trim(text) <> ''""")
+  CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0
+    ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS n_words
+FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN chr(9) || '  ' ELSE text END AS text FROM documents)""")
 def text_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fiftieth text is blanks alone."""
     text = F.col("text")
-    return table(spark, sf, "documents").filter(F.trim(text) != "").select(
+    blank = F.when(F.col("doc_id") % 50 == 7, "\t  ").otherwise(text).alias("text")
+    return table(spark, sf, "documents").select("doc_id", blank).select(
         "doc_id", collapse(text).alias("collapsed"),
         F.substring(collapse(text), 1, 300).alias("excerpt"),
         question_key(text).alias("question_key"),
@@ -236,6 +240,30 @@ def answer_audit(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(f"""SELECT conv_id, turn, concat_ws(',',
+  CASE WHEN turn % 3 <> 0 AND turn > 4 THEN 'unknown_citation' END,
+  CASE WHEN turn % 3 = 0 AND conv_id % 2 = 1 THEN 'no_citation' END,
+  CASE WHEN abs(turn * 10 - 10.3) > {PERCENT_TOLERANCE} AND abs(turn * 10 - 29.6) > {PERCENT_TOLERANCE}
+    THEN 'unknown_percent' END,
+  CASE WHEN conv_id % 5 = 0 THEN 'internal_term' END) AS problems,
+  CASE WHEN turn % 3 <> 0 AND turn BETWEEN 1 AND 4 THEN CAST(turn AS VARCHAR) ELSE '' END AS citations
+FROM conversations WHERE role = 'assistant'""")
+def answer_audit_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules but the repeat check, on answers that break each of them."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id")
+    cited = F.when(F.col("turn") % 3 != 0, F.concat(F.lit(" ["), turn, F.lit("]"))).otherwise("")
+    term = F.when(conv % 5 == 0, f" {INTERNAL_TERMS[0].upper()}").otherwise("")
+    rows = table(spark, sf, "conversations").filter(F.col("role") == "assistant").select(
+        "conv_id", "turn", F.concat("text", cited, F.lit(" "), turn, F.lit("0%"), term).alias("answer"),
+        F.lit(4).alias("source_count"), (conv % 2).alias("topic_sources"),
+        F.array(F.lit(10.3), F.lit(29.6)).alias("allowed"),
+    )
+    return answers.audit_answers(rows, check_repeats=False).select(
+        "conv_id", "turn", F.array_join("problems", ",").alias("problems"),
+        F.array_join(F.col("citations").cast("array<string>"), ",").alias("citations"),
+    )
+
+
 @query("""SELECT conv_id, turn,
   CASE WHEN turn > 4 THEN 'unknown_citation' ELSE '' END
   || CASE WHEN abs(turn * 10 - 10.3) > 0.51 AND abs(turn * 10 - 29.6) > 0.51
