@@ -90,8 +90,8 @@ def op6_licences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document without the lines and sentences that an earlier one has."""
-    found = repeats.remove_repeats(table(spark, sf, "documents", DOCUMENTS))
+    """Every document without the passages that stand in an earlier one."""
+    found = repeats.remove_passages(table(spark, sf, "documents", DOCUMENTS))
     spans = F.transform("removed", lambda s: F.concat_ws(":", s.start, s.end))
     return found.select(
         "doc_id", "n_units", F.size("removed").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans"),

@@ -5,6 +5,10 @@ and blanks) and hashed to 128 bits. Equal digests are grouped over all rows, the
 that ranks first (by key, row and place) stays, and all later ones are removed, with their offsets
 in the original text. Lines find repeated paragraphs and boilerplate, sentences find passages
 that were put into a longer line.
+
+``remove_passages`` looks for passages alone: every sentence is a unit, whether it fills a line or not, and neighbouring
+units that all stand elsewhere before are removed if together they are long enough. So short sentences count
+with their neighbours, a line meets the same sentence inside another line, and a phrase that recurs by itself stays.
 """
 
 from __future__ import annotations
@@ -16,12 +20,18 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.rows import ROW, cut, numbered
+from tidemark.llm.rows import ROW, cut, numbered, release_memory
 
 LINE, SENTENCE = 0, 1
 LINE_WORDS, SENTENCE_WORDS = 3, 8  # shorter units repeat by chance and are left alone
 
+PASSAGE_WORDS = 25  # words of the shortest run of repeated sentences that is removed
+WORD_LETTERS = 6  # letters that count as a word where a text has no blanks
+_ENDED = re.compile(r"(?:[^.!?。！？]|[.!?](?!\s))+(?:[。！？]+|[.!?]*)")
+PART = "array<struct<high: bigint, low: bigint, place: int, start: int, end: int, words: int>>"
+
 _SENTENCE = re.compile(r"(?:[^.!?]|[.!?](?!\s))+[.!?]*")
 UNIT = "array<struct<high: bigint, low: bigint, kind: int, start: int, end: int>>"
 
@@ -100,3 +110,71 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     done = done.withColumn("removed", F.coalesce("removed", none))
     kept = rest(F.col("text"), F.col("removed.start"), F.col("removed.end"), F.col("removed.kind"))
     return done.select(ROW, "doc_id", "n_units", "removed", kept.alias("kept_text"))
+
+
+def parts_of(text: str) -> Iterator[tuple[str, int, int, int]]:
+    """Normalised sentence, offsets and size in words of every sentence of every line; blank ones are none."""
+    at = 0
+    for line in text.split("\n"):
+        for m in _ENDED.finditer(line):
+            words = m[0].lower().split()
+            if words:
+                lead = len(m[0]) - len(m[0].lstrip())
+                size = max(len(words), sum(map(len, words)) // WORD_LETTERS)
+                yield " ".join(words), at + m.start() + lead, at + m.start() + len(m[0].rstrip()), size
+        at += len(line) + 1
+
+
+def _parts(text: str) -> list[dict]:
+    out = []
+    for place, (part, start, end, words) in enumerate(parts_of(text)):
+        digest = xxhash.xxh3_128_intdigest(part.encode("utf-8", "surrogatepass"))
+        out.append({"high": (digest >> 64) - (1 << 63), "low": (digest & (1 << 64) - 1) - (1 << 63),
+                    "place": place, "start": start, "end": end, "words": words})
+    return out
+
+
+def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``_row, doc_id, n_units, removed, kept_text`` for every row of ``docs``.
+
+    ``removed`` is an array of ``start, end`` in the original text (code points, end exclusive) by start: runs of neighbouring
+    sentences, of ``passage_words`` words or more together, each of which stands in an earlier text or place. ``kept_text`` is what
+    stays. The first occurrence of a sentence by key, then row and place is never removed; null keys rank last. Null, empty and
+    blank texts have no units and stay; a text without sentence ends is a unit a line; repeated rows keep the text
+    in one of them if it is long enough; an empty table gives no rows; other columns are not read.
+
+    Grouping keeps one candidate per digest and task, so a sentence that stands in a third of all rows
+    costs one row a task; the join back with the repeated digests is split where one is hot. Texts move only
+    if they lose something.
+    """
+    @F.pandas_udf(PART)
+    def cut_up(texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([_parts(t or "") for t in texts], dtype=object)
+        finally:
+            release_memory()
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([without(t, ((a, b, SENTENCE) for a, b in zip(x, y))) for t, x, y in zip(texts, starts, ends)], dtype=object)
+
+    rows = numbered(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), cut_up(F.col(text)).alias("units"))
+    units = rows.select(ROW, "doc_id", F.explode("units").alias("u")).select(ROW, "doc_id", "u.*")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW, "place")
+    first = cut(units.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+        "high", "low", F.col(f"first.{ROW}").alias("first_row"), F.col("first.place").alias("first_place")))
+    later = units.drop("doc_id").join(first, ["high", "low"]).where(
+        (F.col(ROW) != F.col("first_row")) | (F.col("place") != F.col("first_place")))
+    # neighbouring places less their numbers in order are equal
+    run = F.col("place") - F.row_number().over(Window.partitionBy(ROW).orderBy("place"))
+    runs = later.withColumn("run", run).groupBy(ROW, "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
+    removed = cut(runs.where(F.col("words") >= passage_words).groupBy(ROW).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")))
+    shown = [ROW, "doc_id", F.size("units").alias("n_units")]
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    whole = rows.join(removed.select(ROW), ROW, "left_anti").select(*shown, none.alias("removed"), F.col("text").alias("kept_text"))
+    less = rows.join(removed, ROW).select(
+        *shown, "removed", rest(F.col("text"), F.col("removed.start"), F.col("removed.end")).alias("kept_text"))
+    return whole.unionByName(less)
