@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import compare, facts, sampling, search, textsearch
+from tidemark.operators import compare, facts, pivots, sampling, search, textsearch
 from tidemark.operators.lineage import cut
 from tidemark.operators.topk import page, total
 from tidemark.plans import catalog, insights, questions
@@ -232,6 +232,16 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("distance")
 
 
+@query(f"""WITH {VECTORS_SQL}
+SELECT query_id, product_id, review_id, CAST(rank AS INTEGER) AS rank,
+  round(1 - distance, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY round(distance, 12), review_id) AS rank FROM sc) WHERE rank <= 8""")
+def cosine_topk_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through stored distances to a few pivots of each product."""
+    index = pivots.pivot_index(embedded_reviews(spark, sf), embeddings(spark, sf))
+    return pivots.nearest_indexed(product_queries(spark, sf), index).nearest.drop("distance")
+
+
 PERIOD = ["1996-01", "1996-02", "1996-03", "1998-07", "1998-08"]
 
 
