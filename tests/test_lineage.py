@@ -42,3 +42,9 @@ def test_a_local_warehouse_is_refused_on_a_cluster():
     assert lineage.shared_folder(near) == "file:/home/work/warehouse/_stored"
     settings["spark.checkpoint.dir"] = "hdfs://cluster/shared/"
     assert lineage.shared_folder(far) == "hdfs://cluster/shared"
+
+
+def test_short_lists_are_checked(spark):
+    assert lineage.bounded(spark.range(5), 5, "things").count() == 5
+    with pytest.raises(Exception, match="things: more than 4 rows"):
+        lineage.bounded(spark.range(5), 4, "things").collect()

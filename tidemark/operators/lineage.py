@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # folders of the open scratch blocks, below the application's, the innermost last
 _blocks: ContextVar[tuple[str, ...]] = ContextVar("_blocks", default=())
@@ -51,6 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """A short list that will be put into one row; more than ``most`` rows end the query with an error."""
+    first = df.limit(most + 1)
+    fits = F.assert_true(first.agg(F.count(F.lit(1))).scalar() <= most, F.lit(f"{what}: more than {most} rows"))
+    return first.filter(fits.isNull())
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A block whose stored tables are removed at its end.

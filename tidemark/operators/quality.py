@@ -17,6 +17,8 @@ from tidemark.functions.evidence import (
     search_parts,
 )
 from tidemark.functions.text import is_filled, numbers, strip
+from tidemark.operators.lineage import bounded
+from tidemark.operators.search import MOST_TOPICS
 
 _LABEL = (
     "struct<code: string, sentiment: string, evidence: string, aspect_code: string, "
@@ -27,7 +29,7 @@ _LABEL = (
 def taxonomy_codes(taxonomy: DataFrame) -> DataFrame:
     """Allowed ``aspect.detail`` codes per category, a short fixed list."""
     code = F.concat_ws(".", "aspect", "detail")
-    return taxonomy.groupBy("category").agg(F.sort_array(F.collect_set(code)).alias("_codes"))
+    return bounded(taxonomy, MOST_TOPICS, "taxonomy").groupBy("category").agg(F.sort_array(F.collect_set(code)).alias("_codes"))
 
 
 def validate_label_documents(

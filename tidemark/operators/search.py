@@ -9,8 +9,12 @@ from tidemark import defaults as D
 from tidemark.functions.months import index_of_key, month_index
 from tidemark.functions.rates import rounded
 from tidemark.functions.vectors import cosine, dot, norm
+from tidemark.operators.lineage import bounded
 from tidemark.operators.topk import top_per_group
 
+MOST_TOPICS = 10_000  # of all categories together; they are put into one row
+MOST_QUESTIONS = 1_000
+
 
 def nearest_reviews(
     queries: DataFrame, reviews: DataFrame, embeddings: DataFrame, limit: int = D.SEARCH_LIMIT
@@ -102,7 +106,7 @@ def topic_vectors(taxonomy: DataFrame) -> DataFrame:
     of entries per category, so the array is small and queries need no pair rows.
     """
     entry = F.struct("aspect", "detail", "vector", norm(F.col("vector")).alias("norm"))
-    return taxonomy.groupBy("category").agg(F.sort_array(F.collect_list(entry)).alias("_topics"))
+    return bounded(taxonomy, MOST_TOPICS, "taxonomy").groupBy("category").agg(F.sort_array(F.collect_list(entry)).alias("_topics"))
 
 
 def nearest_topics(
@@ -139,7 +143,7 @@ def best_faq(
     along each query as one array. Among equals the first of the list is taken.
     """
     entry = F.struct("position", "faq_key", "vector", norm(F.col("vector")).alias("norm"))
-    listed = faq_vectors.agg(F.sort_array(F.collect_list(entry))).scalar()
+    listed = bounded(faq_vectors, MOST_QUESTIONS, "questions").agg(F.sort_array(F.collect_list(entry))).scalar()
     scored = F.transform("_faq", lambda t: F.struct(
         cosine(dot(t["vector"], F.col("vector")), t["norm"], F.col("_norm")).alias("similarity"),
         (-t["position"]).alias("place"), t["faq_key"].alias("faq_key"),
