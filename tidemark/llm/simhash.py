@@ -53,6 +53,7 @@ LEVELS = np.array([1, 2, 3, 5, 12, 30, 75, 190, 470, 1200, 3000, 7500, 19000, 50
 SHINGLE_BYTES = 8  # bytes of text for each shingle, about
 SEEN = 1 << 17  # texts that a task remembers to have posted
 POSTINGS = 1 << 19  # candidate pairs of a task that are made at once
+FAMILY = 1 << 17  # postings of one family of shingles that a task takes from each side
 DEVIATIONS = 3  # standard deviations of the wide bits that a similar pair may be off
 
 
@@ -468,19 +469,29 @@ def _postings(batches: Iterator[pa.RecordBatch], shingle: int, counts, similarit
                      pa.array(np.concatenate(posted).view(np.int64))], names=["node", "size", "place", "shingle"])
 
 
-_PAIR = ["a", "size_a", "place_a", "b", "size_b", "place_b"]
+_PAIR = ["a", "b", "size_a", "size_b", "met", "place_a", "place_b"]
+
+
+def leaves_room(size_a, place_a, size_b, place_b, similarity: float):
+    """Whether two sets whose first common shingle has these places can be that similar: no more can follow than follows in either."""
+    rest_a, rest_b = size_a - place_a, size_b - place_b
+    least = similarity / (1 + similarity) * (size_a + size_b) - 1e-9
+    return (rest_a >= least) & (rest_b >= least)
 
 
 def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different roots that share a prefix shingle and whose sizes allow the similarity, in the chunk pairs of a partition."""
+    """Pairs of different roots that share prefix shingles and whose places leave room for the similarity.
+
+    In the chunk pairs of a partition, with the number of shingles met and the last places, a row for a pair of a family as a rule.
+    """
     read = [[np.asarray(c) for c in b.columns] for b in batches]
     if not read:
         return
     rows = [np.concatenate(c) for c in zip(*read)]
     order = np.lexsort(tuple(rows[::-1]))
-    shingle, low, high, root, node, size, place, part = (x[order] for x in rows)
+    star, low, high, shingle, root, node, size, place, part = (x[order] for x in rows)
     cell = np.ones(len(node), bool)
-    cell[1:] = (shingle[1:] != shingle[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    cell[1:] = (shingle[1:] != shingle[:-1]) | (star[1:] != star[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     new = cell.copy()
     new[1:] |= root[1:] != root[:-1]
 
@@ -493,6 +504,18 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
     first, end = ends(new), ends(cell)
     n = end - first
     total = np.cumsum(n)
+    held: list[np.ndarray] = []
+
+    def merged() -> np.ndarray:
+        """The rows held, one for a pair: shingles met are added up, places are the last."""
+        every = np.concatenate(held, axis=1)
+        every = every[:, np.lexsort((every[1], every[0]))]
+        begins = np.flatnonzero(np.append(True, (every[:2, 1:] != every[:2, :-1]).any(axis=0)))
+        out = every[:, begins]
+        out[4] = np.add.reduceat(every[4], begins)
+        out[5], out[6] = np.maximum.reduceat(every[5], begins), np.maximum.reduceat(every[6], begins)
+        return out
+
     lo = 0
     while lo < len(n):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + POSTINGS, "right")))
@@ -501,11 +524,19 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         # two rows of one part meet in that part's own cell
         keep = (low[i] == high[i]) | (part[i] != part[j])
         keep &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        keep &= leaves_room(size[i], place[i], size[j], place[j], similarity)
         i, j = i[keep], j[keep]
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for k in (i, j) for x in (node[k], size[k], place[k])], names=_PAIR)
+        if len(i):
+            held.append(np.stack([node[i], node[j], size[i], size[j], np.ones_like(i), place[i], place[j]]))
+        if held and sum(x.shape[1] for x in held) > POSTINGS:
+            held = [merged()]
+            if held[0].shape[1] > POSTINGS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=_PAIR)
         lo = hi
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=_PAIR)
 
 
 def _similar_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -527,12 +558,13 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
 
 
 def possible_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of those pairs whose prefixes leave room for the similarity, from a row for each shared shingle.
+    """``a, b`` of those pairs whose prefixes leave room for the similarity, from the shingles met.
 
-    Sets share no more than the shingles met, and the fewer of those that follow the last one met in either.
+    Sets share no more than the shingles met, and the fewer of those that follow the last one met in either. Places
+    only leave less room further on, so of a pair's common shingles the first ones are met.
     """
     met = pairs.groupBy("a", "b").agg(
-        F.count("*").alias("met"), F.first("size_a").alias("m"), F.first("size_b").alias("n"),
+        F.sum("met").alias("met"), F.first("size_a").alias("m"), F.first("size_b").alias("n"),
         F.max("place_a").alias("i"), F.max("place_b").alias("j"))
     most = F.col("met") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
     return met.where(most * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-9).select("a", "b")
@@ -543,14 +575,19 @@ def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity:
 
     ``sets`` has ``node, shingles`` of all nodes in ``links`` and ``posted``, which has the prefix shingles that several nodes
     have. First every node meets the least one of each of its shingles, which joins dense groups
-    without all of their pairs; then all pairs that are still in different components are verified. A shingle of very many
-    nodes is cut into chunks.
+    without all of their pairs; then all pairs that are still in different components are verified. Shingles with the same
+    least node are a family, whose pairs are put together in one place; one with very many postings is cut into chunks.
     """
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return cut(cut(possible_pairs(pairs, similarity)).join(left, "a").join(right, "b").select(
+        pairs = cut(possible_pairs(pairs, similarity))
+
+        def side(name: str, value: str) -> DataFrame:
+            """The sets of one side of the pairs alone."""
+            return sets.join(pairs.select(F.col(name).alias("node")).distinct(), "node", "left_semi").select(
+                F.col("node").alias(name), F.col("shingles").alias(value))
+
+        return cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(
             "a", "b", "x", "y").mapInArrow(lambda it: released(_similar_pairs(it, similarity)), "a long, b long"))
 
     def rooted(roots: DataFrame) -> DataFrame:
@@ -559,16 +596,19 @@ def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity:
     links = cut(links.select("a", "b"))
     own = rooted(connected_components(links))
     stars = own.groupBy("shingle").agg(F.min(F.struct("node", "size", "place", "root")).alias("star"))
-    pairs = own.join(stars, "shingle").where("root <> star.root").select(
-        F.col("star.node").alias("a"), F.col("star.size").alias("size_a"), F.col("star.place").alias("place_a"),
-        F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    links = links.unionByName(verified(pairs))
+    met = own.join(stars, "shingle").where("root <> star.root")
+    met = met.where(leaves_room(F.col("size"), F.col("place"), F.col("star.size"), F.col("star.place"), similarity))
+    links = links.unionByName(verified(met.select(
+        F.col("star.node").alias("a"), F.col("node").alias("b"), F.col("star.size").alias("size_a"),
+        F.col("size").alias("size_b"), F.lit(1).alias("met"), F.col("star.place").alias("place_a"),
+        F.col("place").alias("place_b"))))
     own = cut(rooted(connected_components(links)))
-    open_ = own.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    own = own.join(open_.select("shingle"), "shingle")
-    cells = _chunk_pairs(own, ["shingle"], F.ceil(F.count("*") / CHUNK)).select(
-        "shingle", "low", "high", "root", "node", "size", "place", "part")
-    across = cells.repartition(part_count(sets), "shingle", "low", "high").mapInArrow(
+    open_ = own.groupBy("shingle").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("star")).where("least <> most")
+    own = own.join(open_.select("shingle", "star"), "shingle")
+    cells = _chunk_pairs(own, ["star"], F.ceil(F.count("*") / FAMILY)).select(
+        "star", "low", "high", "shingle", "root", "node", "size", "place", "part")
+    across = cells.repartition(part_count(sets), "star", "low", "high").mapInArrow(
         lambda it: released(_across(it, similarity)), ", ".join(f"{c} long" for c in _PAIR))
     links = links.unionByName(verified(across))
     return connected_components(links)
