@@ -30,7 +30,7 @@ LINE_WORDS, SENTENCE_WORDS = 3, 8  # shorter units repeat by chance and are left
 PASSAGE_WORDS = 25  # words of the shortest run of repeated sentences that is removed
 WORD_LETTERS = 6  # letters that count as a word where a text has no blanks
 _ENDED = re.compile(r"(?:[^.!?。！？]|[.!?](?!\s))+(?:[。！？]+|[.!?]*)")
-PART = "array<struct<high: bigint, low: bigint, place: int, start: int, end: int, words: int>>"
+PART = "array<struct<digest: bigint, place: int, start: int, end: int, words: int>>"
 
 _SENTENCE = re.compile(r"(?:[^.!?]|[.!?](?!\s))+[.!?]*")
 UNIT = "array<struct<high: bigint, low: bigint, kind: int, start: int, end: int>>"
@@ -128,9 +128,8 @@ def parts_of(text: str) -> Iterator[tuple[str, int, int, int]]:
 def _parts(text: str) -> list[dict]:
     out = []
     for place, (part, start, end, words) in enumerate(parts_of(text)):
-        digest = xxhash.xxh3_128_intdigest(part.encode("utf-8", "surrogatepass"))
-        out.append({"high": (digest >> 64) - (1 << 63), "low": (digest & (1 << 64) - 1) - (1 << 63),
-                    "place": place, "start": start, "end": end, "words": words})
+        digest = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass")) - (1 << 63)
+        out.append({"digest": digest, "place": place, "start": start, "end": end, "words": words})
     return out
 
 
@@ -145,8 +144,8 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     in one of them if it is long enough; an empty table gives no rows; other columns are not read.
 
     Grouping keeps one candidate per digest and task, so a sentence that stands in a third of all rows
-    costs one row a task; the join back with the repeated digests is split where one is hot. Texts move only
-    if they lose something.
+    costs one row a task; the join back with the repeated digests is split where one is hot. Digests have 64 bits: two
+    sentences that share one by chance do no harm unless all their neighbours are repeated too.
     """
     @F.pandas_udf(PART)
     def cut_up(texts: pd.Series) -> pd.Series:
@@ -157,14 +156,15 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([without(t, ((a, b, SENTENCE) for a, b in zip(x, y))) for t, x, y in zip(texts, starts, ends)], dtype=object)
+        return pd.Series([t if t is None or not len(x) else without(t, ((a, b, SENTENCE) for a, b in zip(x, y)))
+                          for t, x, y in zip(texts, starts, ends)], dtype=object)
 
     rows = numbered(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), cut_up(F.col(text)).alias("units"))
     units = rows.select(ROW, "doc_id", F.explode("units").alias("u")).select(ROW, "doc_id", "u.*")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW, "place")
-    first = cut(units.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
-        "high", "low", F.col(f"first.{ROW}").alias("first_row"), F.col("first.place").alias("first_place")))
-    later = units.drop("doc_id").join(first, ["high", "low"]).where(
+    first = cut(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+        "digest", F.col(f"first.{ROW}").alias("first_row"), F.col("first.place").alias("first_place")))
+    later = units.drop("doc_id").join(first, "digest").where(
         (F.col(ROW) != F.col("first_row")) | (F.col("place") != F.col("first_place")))
     # neighbouring places less their numbers in order are equal
     run = F.col("place") - F.row_number().over(Window.partitionBy(ROW).orderBy("place"))
@@ -172,9 +172,8 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
     removed = cut(runs.where(F.col("words") >= passage_words).groupBy(ROW).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")))
-    shown = [ROW, "doc_id", F.size("units").alias("n_units")]
     none = F.array().cast("array<struct<start: int, end: int>>")
-    whole = rows.join(removed.select(ROW), ROW, "left_anti").select(*shown, none.alias("removed"), F.col("text").alias("kept_text"))
-    less = rows.join(removed, ROW).select(
-        *shown, "removed", rest(F.col("text"), F.col("removed.start"), F.col("removed.end")).alias("kept_text"))
-    return whole.unionByName(less)
+    done = rows.select(ROW, "doc_id", "text", F.size("units").alias("n_units")).join(removed, ROW, "left").withColumn(
+        "removed", F.coalesce("removed", none))
+    kept = rest(F.col("text"), F.col("removed.start"), F.col("removed.end"))
+    return done.select(ROW, "doc_id", "n_units", "removed", kept.alias("kept_text"))
