@@ -292,3 +292,9 @@ def test_evaluation_export(spark):
     row = evaluation.export_rows(rows, reviews, products).first()
     assert (row["sample_id"], row["month"], row["title_en"]) == ("evaluation-007", "2025-01", "")
     assert row["gold_labels_json"] == '[{"aspect_code":"a","detail_code":"b"}]'
+
+
+def test_sample_ids_keep_all_digits(spark):
+    places = spark.createDataFrame([(0,), (99,), (100,), (1000,), (123456,)], "position int")
+    got = [r[0] for r in places.orderBy("position").select(evaluation.sample_id(F.col("position"), "trial")).collect()]
+    assert got == ["trial-000", "trial-099", "trial-100", "trial-1000", "trial-123456"]

@@ -61,11 +61,17 @@ def revealed_predictions(evaluations: DataFrame, predictions: DataFrame) -> Data
     })
 
 
+def sample_id(position: F.Column, prefix: str) -> F.Column:
+    """The prefix and the position with three digits at least; longer positions keep all of theirs."""
+    digits = position.cast("string")
+    return F.concat(F.lit(f"{prefix}-"), F.lpad(digits, F.greatest(F.char_length(digits), F.lit(3)), F.lit("0"))).alias("sample_id")
+
+
 def sample_row(position: F.Column, prefix: str) -> list[F.Column]:
     """The columns every evaluation sheet shares."""
     empty = F.lit("")
     return [
-        F.concat(F.lit(f"{prefix}-"), F.lpad(position.cast("string"), 3, "0")).alias("sample_id"),
+        sample_id(position, prefix),
         F.col("product_id"), F.col("parent_asin"),
         F.coalesce("product_name_ko", empty).alias("product_name_ko"), F.col("category"),
         F.col("review_id"), month_key(F.col("reviewed_at")).alias("month"), F.col("rating"),
@@ -114,8 +120,7 @@ def trial_rows(
         .join(done, "review_id", "left").join(predicted, "review_id", "left")
     )
     return joined.orderBy("position").select(
-        F.concat(F.lit("trial-"), F.lpad(F.col("position").cast("string"), 3, "0"))
-        .alias("sample_id"),
+        sample_id(F.col("position"), "trial"),
         "product_id", F.coalesce("product_name_ko", empty).alias("product_name_ko"), "category",
         "review_id", month_key(F.col("reviewed_at")).alias("month"),
         F.col("rating").alias("rating_reference_only"),
