@@ -39,3 +39,18 @@ def test_queries_agree_with_sql(spark, name):
         return sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in (r[i] for i in order)) for r in data)
 
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(names, cur.fetchall())
+
+
+def test_tasks_after_a_shuffle_grow_in_number(spark):
+    """A report's shuffles start with 200 partitions in a session of 4, and with the session's where it has more."""
+    initial, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    own = {k: spark.conf.get(k, None) for k in (initial, size, "spark.sql.shuffle.partitions")}
+    try:
+        for wished, got in (("4", 200), ("300", 300)):
+            spark.conf.set("spark.sql.shuffle.partitions", wished)
+            df = entry.queries()["mention_counts"](spark, SMALL)
+            assert f", {got}), ENSURE_REQUIREMENTS" in df._jdf.queryExecution().executedPlan().toString()
+            assert spark.conf.get(size) == "8m"
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
