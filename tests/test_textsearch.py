@@ -38,3 +38,23 @@ def test_no_nested_loop(spark):
     found = textsearch.search_many(things, "id", fields(), searches)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and found.count() == 10
+
+
+def test_equal_searches_are_looked_for_once(spark, monkeypatch):
+    """A thousand searches with one query verify each item once, and lose none in the slices they are dealt over."""
+    monkeypatch.setattr(textsearch, "SLICE", 7)
+    things = spark.range(40).select("id", F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"), F.lit(None).cast("string").alias("other"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    watched = {"title": F.col("title"), "other": F.col("other")}
+    index = textsearch.gram_index(things, "id", watched).localCheckpoint()
+    searches = spark.range(1000).select(F.col("id").alias("search_id"), F.lit(" ITLE 1").alias("query"))
+    found = textsearch.search_many(things, "id", {"title": counted(F.col("title")), "other": F.col("other")}, searches.union(searches), index)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) == 1000 * 11
+    assert seen.value <= 80

@@ -10,11 +10,12 @@ SHUFFLE_PARTITIONS = 200
 TASK_SHUFFLE = "8m"
 
 
-def bound_tasks(spark: SparkSession) -> None:
-    """Let the number of tasks after a shuffle grow with the input instead of the memory of each.
+def partitions(spark: SparkSession) -> int:
+    """Partitions a shuffle of much data starts with; a session with more shuffle partitions keeps them."""
+    return max(SHUFFLE_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
-    A session with more shuffle partitions keeps them.
-    """
-    most = max(SHUFFLE_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(most))
+def bound_tasks(spark: SparkSession) -> None:
+    """Let the number of tasks after a shuffle grow with the input instead of the memory of each."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions(spark)))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_SHUFFLE)
