@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tidemark import session
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
@@ -54,3 +55,20 @@ def test_tasks_after_a_shuffle_grow_in_number(spark):
     finally:
         for k, v in own.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tasks_after_a_shuffle_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    """Shuffles start with a partition for every so many bytes of the largest table, once that is over 200."""
+    initial, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    own = {k: spark.conf.get(k, None) for k in (initial, size)}
+    (tmp_path / "a.parquet").write_bytes(b"x" * 1000)
+    (tmp_path / "b.parquet").mkdir()
+    for name in ("part-0", "part-1"):
+        (tmp_path / "b.parquet" / name).write_bytes(b"x" * 1500)
+    monkeypatch.setattr("tidemark.session.PARTITION_INPUT", 7)
+    try:
+        session.bound_tasks(spark, str(tmp_path))
+        assert spark.conf.get(initial) == "429"
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
