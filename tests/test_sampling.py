@@ -114,3 +114,28 @@ def test_exhausted_product_fails(reviews):
     few = reviews.filter("review_id in ('p1-1', 'p1-2')")
     with pytest.raises(Exception, match="fewer than 3 reviews"):
         sampling.stratified_sample(few, 3, "s").collect()
+
+
+@pytest.mark.parametrize("spare", [20, -8, -9])
+def test_first_by_hash_is_exact_where_too_few_rows_pass_the_bound(spark, monkeypatch, spare):
+    """Few rows or none pass the bound of a large group, which is then sorted whole; null ratings are a group."""
+    monkeypatch.setattr(sampling, "SPARE_ROWS", spare)
+    rows = spark.range(400).selectExpr(
+        "'p' as product_id", "id as review_id", "if(id % 2 = 0, null, 1) as rating", "cast(id div 200 as int) as month_idx")
+    got = sampling._first_by_hash(rows, ["product_id", "rating", "month_idx"], 3, "s").collect()
+    want = set()
+    for turn in range(3):
+        for rest in (0, 1):
+            for month in (0, 1):
+                ids = [i for i in range(400) if i % 2 == rest and i // 200 == month]
+                ids.sort(key=lambda i: hashlib.sha256(f"s:p:{turn}|{i}".encode()).hexdigest())
+                want |= {(turn, i, rank) for rank, i in enumerate(ids[: turn + 1], 1)}
+    assert sorted((r["turn"], r["review_id"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_few_offers_are_sorted(spark, tmp_path):
+    """Of 30,000 reviews in one month, rating and product about fifty a turn are sorted, not all."""
+    rows = spark.range(30000).selectExpr("'p' as product_id", "id as review_id", "1 as rating", "0 as month_idx")
+    plan = sampling._first_by_hash(rows, ["product_id", "rating", "month_idx"], 10, "s")
+    assert plan.count() == 55
+    assert "WindowGroupLimit" not in plan._jdf.queryExecution().executedPlan().toString()

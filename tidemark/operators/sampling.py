@@ -121,6 +121,7 @@ def official_order(reviews: DataFrame, products: DataFrame) -> DataFrame:
 
 
 RATINGS = (1, 2, 3, 4, 5)
+SPARE_ROWS = 20  # rows of a group beyond three a turn that are expected below its hash bound
 
 
 def _greedy_picks(candidates: Column, per_product: int, product: Column, picks_type: str) -> Column:
@@ -158,6 +159,43 @@ def _greedy_picks(candidates: Column, per_product: int, product: Column, picks_t
     return F.aggregate(F.sequence(F.lit(0), F.lit(per_product - 1)), F.array().cast(picks_type), add)
 
 
+def _first_by_hash(pool: DataFrame, group: list[str], turns: int, seed: str) -> DataFrame:
+    """The first ``turn + 1`` rows of each group by hash, for every turn, with ``turn, turn_hash, rank``.
+
+    A bound on the hash that some three times as many rows are expected to pass keeps nearly all of a large group out of
+    the sort. Where fewer rows than a turn needs passed, all rows of the group are sorted, so the cut is exact.
+    """
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"p.{c}")) for c in group]
+    own = [F.col(f"p.{c}").alias(c) for c in pool.columns]
+    sizes = cut(pool.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
+
+    def first(rows: DataFrame, *kept: str) -> DataFrame:
+        salted = F.concat_ws(":", F.lit(seed), F.col("product_id").cast("string"), F.col("turn"))
+        hashed = rows.withColumn("turn_hash", order_hash(salted, F.col("review_id")))
+        if kept:
+            hashed = hashed.filter(F.col("_all") | (F.col("turn_hash") < F.col("_bound")))
+        ranked = top_per_group(hashed, [*group, "turn"], [F.col("turn_hash"), F.col("review_id")], turns)
+        return ranked.filter(F.col("rank") <= F.col("turn") + 1).select(*pool.columns, *kept, "turn", "turn_hash", "rank")
+
+    turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
+    wanted = (3 * turns + SPARE_ROWS) / F.col("_n")
+    bound = F.lower(F.lpad(F.hex((F.least(wanted, F.lit(1.0)) * (2**32 - 1)).cast("bigint")), 8, "0"))
+    bounded = sizes.select("*", (wanted >= 1).alias("_all"), bound.alias("_bound"))
+    found = cut(first(pool.alias("p").join(bounded.alias("g"), same).select(
+        *own, "_n", "_all", "_bound", turn), "_n", "_all", "_bound"))
+    # turns of groups that may lack rows: none passed, or fewer than the group has and the turn needs
+    passed = found.groupBy(*group, "turn").agg(F.count(F.lit(1)).alias("_passed")).alias("f")
+    due = sizes.select("*", turn).alias("g")
+    met = [F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}")) for c in [*group, "turn"]]
+    short = cut(due.join(passed, met, "left").filter(
+        F.coalesce("_passed", F.lit(0)) < F.least(F.col("_n"), F.col("g.turn") + 1)).select("g.*"))
+    if short.isEmpty():
+        return found.drop("_n", "_all", "_bound")
+    gone = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*group, "turn"]]
+    whole = first(pool.alias("p").join(short.alias("g"), same).select(*own, "g.turn"))
+    return found.drop("_n", "_all", "_bound").alias("f").join(short.alias("s"), gone, "left_anti").unionByName(whole)
+
+
 def stratified_sample(
     reviews: DataFrame,
     per_product: int,
@@ -185,17 +223,8 @@ def stratified_sample(
         pool = pool.join(products.select("product_id"), "product_id", "left_semi")
     if exclude is not None:
         pool = pool.join(exclude.select("review_id"), "review_id", "left_anti")
-    turns = F.explode(F.sequence(F.lit(0), F.lit(per_product - 1))).alias("turn")
-    salted = F.concat_ws(":", F.lit(seed), F.col("product_id").cast("string"), F.col("turn"))
-    offered = pool.select("*", turns).withColumn(
-        "turn_hash", order_hash(salted, F.col("review_id"))
-    )
-    cells = top_per_group(
-        offered,
-        ["product_id", "rating", "month_idx", "turn"],
-        [F.col("turn_hash"), F.col("review_id")],
-        per_product,
-    ).filter(F.col("rank") <= F.col("turn") + 1)
+    pool = cut(pool)
+    cells = _first_by_hash(pool, ["product_id", "rating", "month_idx"], per_product, seed)
     kinds = {f.name: f.dataType.simpleString() for f in pool.schema.fields}
     picks_type = f"array<struct<turn: int, review_id: {kinds['review_id']}, rating: int, month_idx: int>>"
     offers = cells.groupBy("product_id").agg(F.collect_list(F.struct(
