@@ -92,3 +92,10 @@ def test_a_line_meets_the_same_sentence_inside_a_line(spark):
     assert got[2] == "Before it.  After it." and got[4] == "New here!  And more."
     assert got[1] == long and got[3] == short and got[5] == got[6] == "see also here"
     assert got[7] == word and got[8] == ""
+
+
+def test_texts_meet_their_spans_by_the_same_join_at_every_size(spark):
+    """A few spans are not broadcast, as they grow with the texts."""
+    rows = spark.createDataFrame([(k, "One two three four. " * 9) for k in range(3)], "doc_id long, text string")
+    plan = repeats.remove_passages(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

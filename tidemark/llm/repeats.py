@@ -173,7 +173,8 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     removed = cut(runs.where(F.col("words") >= passage_words).groupBy(ROW).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")))
     none = F.array().cast("array<struct<start: int, end: int>>")
-    done = rows.select(ROW, "doc_id", "text", F.size("units").alias("n_units")).join(removed, ROW, "left").withColumn(
-        "removed", F.coalesce("removed", none))
+    # the spans grow with the texts: the same join at every size, no broadcast that must end somewhere
+    done = rows.select(ROW, "doc_id", "text", F.size("units").alias("n_units")).join(
+        removed.hint("merge"), ROW, "left").withColumn("removed", F.coalesce("removed", none))
     kept = rest(F.col("text"), F.col("removed.start"), F.col("removed.end"))
     return done.select(ROW, "doc_id", "n_units", "removed", kept.alias("kept_text"))

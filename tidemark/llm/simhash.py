@@ -584,10 +584,11 @@ def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity:
 
         def side(name: str, value: str) -> DataFrame:
             """The sets of one side of the pairs alone."""
-            return sets.join(pairs.select(F.col(name).alias("node")).distinct(), "node", "left_semi").select(
+            named = pairs.select(F.col(name).alias("node")).distinct()
+            return sets.join(named.hint("merge"), "node", "left_semi").select(
                 F.col("node").alias(name), F.col("shingles").alias(value))
 
-        return cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(
+        return cut(pairs.hint("merge").join(side("a", "x"), "a").join(side("b", "y").hint("merge"), "b").select(
             "a", "b", "x", "y").mapInArrow(lambda it: released(_similar_pairs(it, similarity)), "a long, b long"))
 
     def rooted(roots: DataFrame) -> DataFrame:
@@ -664,10 +665,11 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similari
     wanted = groups.select("node").unionByName(posted.select("node")).distinct()
     wanted = cut(wanted.join(classes.select("node", f"of.{PLACE}.*"), "node"))
     at = F.col(PLACE)
-    sets = cut(docs.join(wanted, (at["file"] == F.col("file")) & (at["at"] == F.col("at"))).select(
+    # what texts and sets are joined with grows with them: the same joins at every size, no broadcast that must end somewhere
+    sets = cut(docs.join(wanted.hint("merge"), (at["file"] == F.col("file")) & (at["at"] == F.col("at"))).select(
         "node", of[text].alias("text")).mapInArrow(lambda it: released(_sets(it, shingle)), "node long, shingles binary"))
 
-    members = groups.join(prints, "node").join(sets, "node")
+    members = groups.join(prints, "node").join(sets.hint("merge"), "node")
     chunks = F.ceil(F.greatest(F.count("*") / GROUP_CHUNK, F.sum(F.length("shingles")) / CHUNK_BYTES))
     links = _chunk_pairs(members, ["root"], chunks).groupBy("root", "low", "high").applyInArrow(
         lambda group: _verified(group, budget, limit, similarity), "a long, b long")
