@@ -72,3 +72,23 @@ def test_tasks_after_a_shuffle_grow_with_the_tables(spark, tmp_path, monkeypatch
     finally:
         for k, v in own.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tasks_before_a_shuffle_grow_in_number(spark, tmp_path, monkeypatch):
+    """A task reads a bounded part of a file; a session with smaller tasks keeps them."""
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+             "spark.sql.files.maxPartitionBytes")
+    own = {k: spark.conf.get(k, None) for k in names}
+    spark.range(4000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    stored = session.largest_table(spark, str(tmp_path))
+    monkeypatch.setattr("tidemark.session.TASK_INPUT", 1000, raising=False)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        session.bound_tasks(spark, str(tmp_path))
+        assert spark.read.parquet(f"{tmp_path}/t.parquet").rdd.getNumPartitions() >= stored // 1000 - 1 > 5
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+        session.bound_tasks(spark, str(tmp_path))
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "500"
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
