@@ -11,31 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, langid, pieces, pii, simhash
 from tidemark.llm.queries import BENCHMARK, DOCUMENTS, PIECE_MODEL, table
+from tidemark.llm.rows import bound_batches
 from tidemark.operators.lineage import scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; the rejected ones go."""
+    bound_batches(spark)
     return langid.keep_known(docs, stored=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    bound_batches(spark)
     return simhash.keep_one(docs, stored=True)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
+    bound_batches(spark)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark", BENCHMARK), stored=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal spans masked."""
+    bound_batches(spark)
     return pii.mask_personal(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece numbers of every document."""
+    bound_batches(spark)
     done = pieces.encode(docs, pieces.read_model(spark, PIECE_MODEL))
     return done.select("doc_id", "lang", "source", "ids", "parity")
 

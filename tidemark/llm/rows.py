@@ -6,16 +6,17 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import cut, scratch
 
-__all__ = ["cut", "numbered", "part_count", "placed", "release_memory", "released", "scratch", "without"]
+__all__ = ["bound_batches", "cut", "numbered", "part_count", "placed", "release_memory", "released", "scratch", "without"]
 
 ROW = "_row"
 DOC = "_doc"
 PLACE = "_place"
+BATCH_ROWS = 2000
 
 
 def numbered(df: DataFrame, *columns: F.Column | str) -> DataFrame:
@@ -50,6 +51,13 @@ def part_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Python get ``BATCH_ROWS`` rows at once at most: a batch is held by the JVM and by Python. The setting stays in the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
+
+
 def release_memory() -> None:
     """Give freed memory of a Python worker back: it lives on between tasks and would keep each one's peak."""
     pa.default_memory_pool().release_unused()

@@ -14,8 +14,8 @@ Three differing bits are far fewer than those of texts with, say, four fifths of
 hardly change. A wide fingerprint of the distinct shingles drops pairs that are clearly too far apart; what
 hangs together after that is a candidate group, in which the same tries are walked again and each
 pair is verified by its shingle sets. The tries find most links cheaply but not all, so an exact search by
-set prefixes follows, which leaves out only pairs that are in one component already. A shingle
-that is known to occur in one row alone can be shared by none and is not posted.
+set prefixes follows, which leaves out only pairs that are in one component already. Prefixes go once, packed,
+to where their shingles are met; only shingles that several sets have there are kept.
 """
 
 from __future__ import annotations
@@ -44,13 +44,16 @@ WIDE = 4 * BITS  # bits that estimate the similarity of shingles
 CHUNK = 8192  # fingerprints of one cell that a task takes from each side
 GROUP_CHUNK = 1024  # members of one candidate group that a task takes from each side
 CHUNK_BYTES = 1 << 24  # and their shingle sets, about
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27  # bits that tell shingles of several rows: about one a shingle, at most 16 MB
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 27  # bits that tell the rows whose texts are wanted: 16 a row, at most 16 MB
 SLOT = 1 << 19  # bits that are put together at once
-MOST_COUNTS = 1 << 21  # counters that put rare shingles first
+MOST_COUNTS = 1 << 23  # counters that put rare shingles first
 COUNT_SLOT = 1 << 14
-# fixed values: least counts of the levels that a counter is rounded to
-LEVELS = np.array([1, 2, 3, 5, 12, 30, 75, 190, 470, 1200, 3000, 7500, 19000, 50000, 200000])
+# fixed values: least counts of the levels that a counter is rounded to, each half as much again
+LEVELS = np.unique(np.round(1.5 ** np.arange(32)).astype(np.int64))
 SHINGLE_BYTES = 8  # bytes of text for each shingle, about
+LEAST_RANGES, MOST_RANGES = 1 << 6, 1 << 12  # ranges of shingles that postings are dealt by
+RANGE_BYTES = 1 << 22  # bytes of text for each of them, about
+POSTED = 1 << 18  # postings that a task packs at once
 SEEN = 1 << 17  # texts that a task remembers to have posted
 POSTINGS = 1 << 19  # candidate pairs of a task that are made at once
 FAMILY = 1 << 17  # postings of one family of shingles that a task takes from each side
@@ -300,14 +303,12 @@ def _add(bits: np.ndarray, cell: np.ndarray) -> None:
     np.bitwise_or.at(bits, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
 
 
-def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int, cells: int) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int, counters: int) -> Iterator[pa.RecordBatch]:
     """Row number, place, key, word fingerprints, digest of the shingles and wide fingerprint of each row.
 
-    Last come, packed by slot, the cells whose shingles occur in one row of the partition and in more, and, with
-    negative slots, counts of the rows they occur in.
+    Last come, packed by slot, counts of the rows that shingles occur in.
     """
-    once, more = np.zeros(cells // 8, np.uint8), np.zeros(cells // 8, np.uint8)
-    counts = np.zeros(min(cells, MOST_COUNTS), np.uint32)
+    counts = np.zeros(counters, np.uint32)
     schema = None
     for batch in batches:
         for lo, words, sets in _shingle_sets(batch.column(3), shingle):
@@ -316,12 +317,7 @@ def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int, cells:
                 prints.append([_majority(W.mix(own ^ salt)) for salt in _WORD_SALTS[:tables]])
                 digests.append(_digest(shingles))
                 wide.append([_majority(W.mix(shingles ^ salt)) for salt in _WIDE_SALTS])
-            found = np.concatenate(sets)
-            cell, often = np.unique(_cells_of(found, cells), return_counts=True)
-            again = (often > 1) | _has(once, cell)
-            _add(once, cell)
-            _add(more, cell[again])
-            np.add.at(counts, _cells_of(found, len(counts)), 1)
+            np.add.at(counts, _cells_of(np.concatenate(sets), counters), 1)
             part = batch.slice(lo, len(sets))
             out = pa.RecordBatch.from_arrays(
                 [*part.columns[:3], pa.array(prints, pa.list_(pa.int64())),
@@ -332,13 +328,9 @@ def _prints(batches: Iterator[pa.RecordBatch], shingle: int, tables: int, cells:
             schema = out.schema
             yield out
     if schema is not None:
-        size = min(SLOT, cells) // 8
-        used = np.flatnonzero(once.reshape(-1, size).any(axis=1)).tolist()
-        packed = [zlib.compress(once[k * size: (k + 1) * size].tobytes() + more[k * size: (k + 1) * size].tobytes(), 1) for k in used]
-        many = min(COUNT_SLOT, len(counts))
-        for k in range(len(counts) // many):
-            used.append(-1 - k)
-            packed.append(zlib.compress(counts[k * many: (k + 1) * many].tobytes(), 1))
+        many = min(COUNT_SLOT, counters)
+        used = np.flatnonzero(counts.reshape(-1, many).any(axis=1)).tolist()
+        packed = [zlib.compress(counts[k * many: (k + 1) * many].tobytes(), 1) for k in used]
         yield pa.RecordBatch.from_arrays(
             [*[pa.nulls(len(used), f.type) for f in list(schema)[:-2]], pa.array(used, pa.int32()), pa.array(packed, pa.binary())],
             schema=schema)
@@ -394,93 +386,126 @@ def _verified(group: pa.Table, budget: int, limit: int, similarity: float) -> pa
 
 
 def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each slot the cells of several rows, or the levels of its counters."""
-    once: dict[int, np.ndarray] = {}
-    more: dict[int, np.ndarray] = {}
+    """For each slot the levels of its counters."""
     counts: dict[int, np.ndarray] = {}
     for batch in batches:
         for slot, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = zlib.decompress(packed)
-            if slot < 0:
-                counts[slot] = counts.get(slot, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
-                continue
-            own = np.frombuffer(raw, np.uint8).reshape(2, -1)
-            seen = once.get(slot, np.zeros_like(own[0]))
-            more[slot] = more.get(slot, np.zeros_like(own[1])) | own[1] | (seen & own[0])
-            once[slot] = seen | own[0]
-    out = [(k, x.tobytes()) for k, x in more.items()]
-    out += [(k, np.searchsorted(LEVELS, c, "right").astype(np.uint8).tobytes()) for k, c in counts.items()]
-    for k, x in out:
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["slot", "told"])
-
-
-def shingle_counts(packed: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the cells whose shingles occur in several rows, and levels that order shingles by frequency.
-
-    At most ``MOST_CELLS`` bits and ``MOST_COUNTS`` bytes. A shingle whose bit is 0 occurs in one row alone; shingles that
-    share a bit or a counter cost time and no pair.
-    """
-    more, levels = np.zeros(cells // 8, np.uint8), np.zeros(min(cells, MOST_COUNTS), np.uint8)
+            counts[slot] = counts.get(slot, 0) + np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
+    for k, c in counts.items():
+        levels = np.searchsorted(LEVELS, c, "right").astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([levels], pa.binary())], names=["slot", "told"])
+
+
+def shingle_levels(packed: DataFrame, counters: int) -> np.ndarray:
+    """Levels that order shingles by frequency, at most ``MOST_COUNTS`` bytes; shingles that share a counter cost time and no pair."""
+    levels = np.zeros(counters, np.uint8)
     for r in packed.repartition(part_count(packed), "slot").mapInArrow(_added_up, "slot int, told binary").toLocalIterator():
-        into, k = (more, r.slot) if r.slot >= 0 else (levels, -1 - r.slot)
-        into[k * len(r.told): (k + 1) * len(r.told)] = np.frombuffer(r.told, np.uint8)
-    return more, levels
+        levels[r.slot * len(r.told): (r.slot + 1) * len(r.told)] = np.frombuffer(r.told, np.uint8)
+    return levels
+
+
+def prefix_of(shingles: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets of that similarity share one of them."""
+    size = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    return shingles[np.lexsort((shingles, levels[_cells_of(shingles, len(levels))]))[:size]]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit values by byte, the lowest bytes of all first; leading zeros are left out."""
+    width = max(1, -(-int(values.max()).bit_length() // 8))
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(packed: list[bytes], counts: list[int]) -> np.ndarray:
+    out = np.zeros((sum(counts), 8), np.uint8)
+    at = 0
+    for x, n in zip(packed, counts):
+        out[at: at + n, : len(x) // n] = np.frombuffer(x, np.uint8).reshape(-1, n).T
+        at += n
+    return out.view("<u8").reshape(-1)
 
 
-def prefix_of(shingles: np.ndarray, counts: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places and shingles of a set's prefix that other sets may have.
+def _postings(batches: Iterator[pa.RecordBatch], shingle: int, levels, similarity: float, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Shingle, node, size and place of the prefixes, packed by ranges of shingles.
 
-    The prefix are the rarest shingles, so many that two sets of that similarity share one of them.
+    A text that the task has seen just before is not posted again.
     """
-    more, levels = counts
-    n = len(shingles)
-    common = _has(more, _cells_of(shingles, 8 * len(more)))
-    alone = n - int(np.count_nonzero(common))
-    size = n - math.ceil(similarity * n - 1e-9) + 1 - alone
-    if size <= 0 or not n:
-        return np.zeros(0, np.int64), shingles[:0]
-    rest = shingles[common]
-    found = rest[np.lexsort((rest, levels[_cells_of(rest, len(levels))]))[:size]]
-    return alone + np.arange(len(found)), found
-
-
-def _postings(batches: Iterator[pa.RecordBatch], shingle: int, counts, similarity: float) -> Iterator[pa.RecordBatch]:
-    """``node, size, place, shingle`` of the prefixes; a text that the task has seen just before is not posted again."""
     seen: set[int] = set()
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def dealt() -> pa.RecordBatch:
+        posted, node, size, place = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(posted)
+        posted, node, size, place = (x[order] for x in (posted, node, size, place))
+        at = _cells_of(posted, ranges)
+        begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        ends = np.append(begins[1:], len(at))
+        # of a range the first shingle, then differences
+        step = np.append(np.uint64(0), posted[1:] - posted[:-1])
+        step[begins] = posted[begins]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(at[begins], pa.int32()), pa.array(ends - begins, pa.int32()),
+             *[pa.array([_packed(x[a:b]) for a, b in zip(begins, ends)], pa.binary()) for x in (step, node, size, place)]],
+            names=["part", "count", "shingle", "node", "size", "place"])
+
     for batch in batches:
         for _, _, sets in _shingle_sets(batch.column(0), shingle):
-            node, size, place, posted = [], [], [], []
             for shingles in sets:
-                digest = int(_digest(shingles).view(np.int64))
-                if digest in seen:
+                digest = _digest(shingles)
+                if int(digest) in seen:
                     continue
                 if len(seen) == SEEN:
                     seen.clear()
-                seen.add(digest)
-                at, found = prefix_of(shingles, counts.value, similarity)
-                if len(found):
-                    node.append(np.full(len(found), digest))
-                    size.append(np.full(len(found), len(shingles)))
-                    place.append(at)
-                    posted.append(found)
-            if node:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(node)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)),
-                     pa.array(np.concatenate(posted).view(np.int64))], names=["node", "size", "place", "shingle"])
+                seen.add(int(digest))
+                if len(shingles):
+                    found = prefix_of(shingles, levels.value, similarity)
+                    held.append((found, np.full(len(found), digest), np.full(len(found), len(shingles), np.uint64),
+                                 np.arange(len(found), dtype=np.uint64)))
+            if sum(len(x[0]) for x in held) > POSTED:
+                yield dealt()
+                held.clear()
+    if held:
+        yield dealt()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, size, place, shingle`` of the shingles that several nodes have, once a node. Rows come by range."""
+
+    def told(rows: list[list]) -> pa.RecordBatch:
+        counts, shingle, *rest = zip(*rows)
+        # differences start anew in each row
+        shingle = np.concatenate([np.cumsum(_unpacked([x], [n]), dtype=np.uint64) for x, n in zip(shingle, counts)])
+        node, size, place = (_unpacked(x, counts) for x in rest)
+        order = np.lexsort((node, shingle))
+        shingle, node, size, place = (x[order] for x in (shingle, node, size, place))
+        same = np.append(shingle[1:] == shingle[:-1], False)  # as the next one
+        first = np.append(True, ~same[:-1])
+        again = same & np.append(node[1:] == node[:-1], False)
+        # a shingle's nodes are several if its first is not its last
+        begins = np.flatnonzero(first)
+        last = np.append(begins[1:], len(node)) - 1
+        several = np.repeat(node[begins] != node[last], last - begins + 1)
+        keep = several & ~again
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x[keep].view(np.int64)) for x in (node, size, place, shingle)], names=["node", "size", "place", "shingle"])
+
+    part, rows = None, []
+    for batch in batches:
+        for own, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != part and rows:
+                yield told(rows)
+                rows = []
+            part = own
+            rows.append(row)
+    if rows:
+        yield told(rows)
 
 
 _PAIR = ["a", "b", "size_a", "size_b", "met", "place_a", "place_b"]
 
 
-def leaves_room(size_a, place_a, size_b, place_b, similarity: float):
-    """Whether two sets whose first common shingle has these places can be that similar: no more can follow than follows in either."""
-    rest_a, rest_b = size_a - place_a, size_b - place_b
-    least = similarity / (1 + similarity) * (size_a + size_b) - 1e-9
-    return (rest_a >= least) & (rest_b >= least)
-
-
 def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different roots that share prefix shingles and whose places leave room for the similarity.
+    """Pairs of different roots that share prefix shingles and whose sizes leave room for the similarity.
 
     In the chunk pairs of a partition, with the number of shingles met and the last places, a row for a pair of a family as a rule.
     """
@@ -524,7 +549,6 @@ def _across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         # two rows of one part meet in that part's own cell
         keep = (low[i] == high[i]) | (part[i] != part[j])
         keep &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
-        keep &= leaves_room(size[i], place[i], size[j], place[j], similarity)
         i, j = i[keep], j[keep]
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -549,38 +573,66 @@ def _similar_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iter
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in part.columns[:2]], names=["a", "b"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _told(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """For each slot the cells of all hashes; rows are a slot and a hash."""
+    bits: dict[int, np.ndarray] = {}
+    size = min(SLOT, cells)
+    for batch in batches:
+        slot, cell = np.asarray(batch.column(0)), _cells_of(np.asarray(batch.column(1)).view(np.uint64), cells) % size
+        for k in np.unique(slot).tolist():
+            _add(bits.setdefault(k, np.zeros(size // 8, np.uint8)), cell[slot == k])
+    for k, x in bits.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slot", "told"])
+
+
+def hash_bits(hashes: DataFrame, cells: int) -> np.ndarray:
+    """Bits that the hashes in ``spot`` have; another hash has one by chance, and is then taken for one of them."""
+    size = min(SLOT, cells)
+    slot = F.call_function("shiftrightunsigned", "spot", F.lit(65 - (cells // size).bit_length())) if cells > size else F.lit(0)
+    dealt = hashes.select(slot.cast("int").alias("slot"), "spot").repartition(part_count(hashes), "slot")
+    bits = np.zeros(cells // 8, np.uint8)
+    for r in dealt.mapInArrow(lambda it: released(_told(it, cells)), "slot int, told binary").collect():
+        bits[r.slot * len(r.told): (r.slot + 1) * len(r.told)] = np.frombuffer(r.told, np.uint8)
+    return bits
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int, bits) -> Iterator[pa.RecordBatch]:
+    """``node, shingles`` of the rows whose hash has its bit."""
     for batch in batches:
-        for lo, _, sets in _shingle_sets(batch.column(1), shingle):
+        has = _has(bits.value, _cells_of(np.asarray(batch.column(0)).view(np.uint64), 8 * len(bits.value)))
+        texts = batch.column(1).filter(pa.array(has))
+        for _, _, sets in _shingle_sets(texts, shingle):
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, len(sets)), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())],
-                names=["node", "shingles"])
+                [pa.array(np.array([_digest(x) for x in sets], np.uint64).view(np.int64)),
+                 pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
 
 def possible_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of those pairs whose prefixes leave room for the similarity, from the shingles met.
+    """``a, b`` of those pairs whose prefixes leave room for the similarity, from all shingles met.
 
-    Sets share no more than the shingles met, and the fewer of those that follow the last one met in either. Places
-    only leave less room further on, so of a pair's common shingles the first ones are met.
+    Sets share no more than the shingles met, and the fewer of those that follow the last one met in either. Nor do they share
+    more than the shingles met, and those behind the prefix that ends first: up to there all have met.
     """
     met = pairs.groupBy("a", "b").agg(
         F.sum("met").alias("met"), F.first("size_a").alias("m"), F.first("size_b").alias("n"),
         F.max("place_a").alias("i"), F.max("place_b").alias("j"))
-    most = F.col("met") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) - 1
+    behind = F.greatest(*(F.ceil(similarity * F.col(c) - 1e-9) for c in "mn"))
+    most = F.col("met") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"), behind) - 1
     return met.where(most * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-9).select("a", "b")
 
 
-def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+def all_roots(sets_of: Callable[[DataFrame], DataFrame], posted: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """``node, root`` of all nodes that are linked by ``links`` or by a pair of that similarity; no pair is missed.
 
-    ``sets`` has ``node, shingles`` of all nodes in ``links`` and ``posted``, which has the prefix shingles that several nodes
-    have. First every node meets the least one of each of its shingles, which joins dense groups
+    ``sets_of`` gives ``node, shingles`` of the nodes in a table, ``posted`` has the prefix shingles that several nodes
+    have. First nodes meet the least one of each of their shingles, which joins dense groups
     without all of their pairs; then all pairs that are still in different components are verified. Shingles with the same
     least node are a family, whose pairs are put together in one place; one with very many postings is cut into chunks.
     """
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(possible_pairs(pairs, similarity))
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
 
         def side(name: str, value: str) -> DataFrame:
             """The sets of one side of the pairs alone."""
@@ -598,7 +650,6 @@ def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity:
     own = rooted(connected_components(links))
     stars = own.groupBy("shingle").agg(F.min(F.struct("node", "size", "place", "root")).alias("star"))
     met = own.join(stars, "shingle").where("root <> star.root")
-    met = met.where(leaves_room(F.col("size"), F.col("place"), F.col("star.size"), F.col("star.place"), similarity))
     links = links.unionByName(verified(met.select(
         F.col("star.node").alias("a"), F.col("node").alias("b"), F.col("star.size").alias("size_a"),
         F.col("size").alias("size_b"), F.lit(1).alias("met"), F.col("star.place").alias("place_a"),
@@ -609,7 +660,7 @@ def all_roots(sets: DataFrame, posted: DataFrame, links: DataFrame, similarity:
     own = own.join(open_.select("shingle", "star"), "shingle")
     cells = _chunk_pairs(own, ["star"], F.ceil(F.count("*") / FAMILY)).select(
         "star", "low", "high", "shingle", "root", "node", "size", "place", "part")
-    across = cells.repartition(part_count(sets), "star", "low", "high").mapInArrow(
+    across = cells.repartition(part_count(posted), "star", "low", "high").mapInArrow(
         lambda it: released(_across(it, similarity)), ", ".join(f"{c} long" for c in _PAIR))
     links = links.unionByName(verified(across))
     return connected_components(links)
@@ -625,8 +676,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     its row with the smallest key (then row number; null keys last). Null, blank and wordless texts
     are equal to each other; repeated rows are copies; an empty table gives no rows; other columns are not read.
 
-    Texts are scanned for their fingerprints, then for their prefixes; shingle sets are made only for members of candidate
-    groups and for texts that share a prefix shingle. A large group is cut into chunks, and a task holds two chunks.
+    Texts are scanned for their fingerprints, then for their prefixes, then for those whose sets are compared: members of
+    candidate groups and pairs with room for the similarity. A large group is cut into chunks, and a task holds two chunks.
     """
     return _similar(placed(docs.select(doc_id, text), False), doc_id, text, shingle, similarity, tables, budget).drop(PLACE)
 
@@ -637,16 +688,17 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similari
     of = F.col(DOC)
     kind = docs.schema[DOC].dataType[doc_id].dataType.simpleString()
     place = docs.schema[PLACE].dataType.simpleString()
-    letters = docs.agg(F.sum(F.octet_length(of[text]))).first()[0] or 0
-    cells = min(max(1 << int(letters // SHINGLE_BYTES).bit_length(), LEAST_CELLS), MOST_CELLS)
+    letters, count = docs.agg(F.coalesce(F.sum(F.octet_length(of[text])), F.lit(0)), F.count("*")).first()
+    cells = min(max(1 << (16 * count).bit_length(), LEAST_CELLS), MOST_CELLS)
+    counters = min(max(1 << int(letters // SHINGLE_BYTES).bit_length(), LEAST_CELLS), MOST_COUNTS)
     source = docs.select(F.monotonically_increasing_id().alias(ROW), PLACE, of[doc_id].alias("doc_id"), of[text].alias("text"))
     told = cut(source.mapInArrow(
-        lambda it: released(_prints(it, shingle, tables, cells)),
+        lambda it: released(_prints(it, shingle, tables, counters)),
         ", ".join([f"{ROW} bigint, {PLACE} {place}, doc_id {kind}, prints array<bigint>, digest bigint",
                    *(f"{w} bigint" for w in _WIDE_NAMES), "slot int, counts binary"])))
     rows = told.where("slot is null")
-    counts = docs.sparkSession.sparkContext.broadcast(
-        shingle_counts(told.where("slot is not null").select("slot", "counts"), cells))
+    share = docs.sparkSession.sparkContext.broadcast
+    levels = share(shingle_levels(told.where("slot is not null").select("slot", "counts"), counters))
     # equal sets are one node, named by their digest
     classes = cut(rows.groupBy(F.col("digest").alias("node")).agg(
         F.min_by(F.struct("prints", PLACE, *_WIDE_NAMES), ROW).alias("of"),
@@ -657,23 +709,30 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int = 5, similari
                       budget, _WIDE_NAMES, limit)
     groups = connected_components(near)
 
-    posted = cut(docs.select(of[text].alias("text")).mapInArrow(
-        lambda it: released(_postings(it, shingle, counts, similarity)), "node long, size long, place long, shingle long"))
-    shared = posted.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    posted = cut(posted.join(cut(shared.select("shingle")), "shingle").dropDuplicates(["shingle", "node"]))
-
-    wanted = groups.select("node").unionByName(posted.select("node")).distinct()
-    wanted = cut(wanted.join(classes.select("node", f"of.{PLACE}.*"), "node"))
-    at = F.col(PLACE)
-    # what texts and sets are joined with grows with them: the same joins at every size, no broadcast that must end somewhere
-    sets = cut(docs.join(wanted.hint("merge"), (at["file"] == F.col("file")) & (at["at"] == F.col("at"))).select(
-        "node", of[text].alias("text")).mapInArrow(lambda it: released(_sets(it, shingle)), "node long, shingles binary"))
-
-    members = groups.join(prints, "node").join(sets.hint("merge"), "node")
+    ranges = min(max(1 << int(letters // RANGE_BYTES).bit_length(), LEAST_RANGES), MOST_RANGES)
+    posted = docs.select(of[text].alias("text")).mapInArrow(
+        lambda it: released(_postings(it, shingle, levels, similarity, ranges)),
+        "part int, count int, shingle binary, node binary, size binary, place binary")
+    posted = cut(posted.repartition(part_count(docs), "part").sortWithinPartitions("part").mapInArrow(
+        lambda it: released(_met(it)), "node long, size long, place long, shingle long"))
+
+    def spot(at: Column) -> Column:
+        return F.xxhash64(at["file"], at["at"]).alias("spot")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """The sets of some nodes, made anew from the texts: nothing but them is shuffled."""
+        wanted = nodes.distinct().join(classes.select("node", spot(F.col("of")[PLACE])), "node")
+        bits = share(hash_bits(wanted, cells))
+        sets = cut(docs.select(spot(F.col(PLACE)), of[text].alias("text")).mapInArrow(
+            lambda it: released(_sets(it, shingle, bits)), "node long, shingles binary"))
+        bits.destroy()
+        return sets
+
+    members = groups.join(prints, "node").join(sets_of(groups.select("node")).hint("merge"), "node")
     chunks = F.ceil(F.greatest(F.count("*") / GROUP_CHUNK, F.sum(F.length("shingles")) / CHUNK_BYTES))
     links = _chunk_pairs(members, ["root"], chunks).groupBy("root", "low", "high").applyInArrow(
         lambda group: _verified(group, budget, limit, similarity), "a long, b long")
-    roots = all_roots(sets, posted, links, similarity)
+    roots = all_roots(sets_of, posted, links, similarity)
     named = cut(classes.select("node", "least").join(roots, "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("component")))
     firsts = named.groupBy("component").agg(F.min(F.col("least")).alias("first"))
