@@ -58,3 +58,25 @@ def test_equal_searches_are_looked_for_once(spark, monkeypatch):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) == 1000 * 11
     assert seen.value <= 80
+
+
+def test_neither_index_nor_items_are_broadcast(spark, tmp_path):
+    """A small file makes a large index, which the planner takes to be as small as the file."""
+    spark.range(500).select("id", F.concat(F.lit("some long title "), F.col("id").cast("string")).alias("title"),
+                            F.lit(None).cast("string").alias("other")).write.parquet(f"{tmp_path}/things")
+    spark.range(300).select(F.col("id").alias("search_id"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("query")
+                            ).write.parquet(f"{tmp_path}/searches")
+    found = textsearch.search_many(
+        spark.read.parquet(f"{tmp_path}/things"), "id", fields(), spark.read.parquet(f"{tmp_path}/searches"))
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            under = []
+            for x in lines[at + 1:]:
+                if len(x) - len(x.lstrip(" :+-")) <= depth:
+                    break
+                under.append(x)
+            # the groups' counts may be, one row a group that is looked for
+            assert "things" not in "".join(under) or "Aggregate" in under[0], line
+    assert found.count() == sum(str(k).startswith(str(s)) for s in range(300) for k in range(500))

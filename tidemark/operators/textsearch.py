@@ -82,10 +82,11 @@ def search_many(
     rarest = wanted.join(spread, "gram", "left").groupBy("query", "slices").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
     chosen = rarest.where("least.n > 0").select("query", "slices", F.col("least.gram").alias("gram"))
-    met = index.join(chosen, "gram").select("query", "slices", key, "field")
+    # the planner takes the index to be as small as the items it is made of: neither may go to the driver to be broadcast
+    met = index.hint("merge").join(chosen, "gram").select("query", "slices", key, "field")
     texts = F.element_at(F.create_map(*[x for name, text in fields.items() for x in (F.lit(name), text)]), F.col("field"))
     pattern = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
-    found = met.join(items, key).where(F.call_function("ilike", texts, pattern)).select("query", "slices", key).distinct()
+    found = met.join(items.hint("merge"), key).where(F.call_function("ilike", texts, pattern)).select("query", "slices", key).distinct()
     # many searches with one query are dealt over slices, each of which meets all that it finds
     sliced = asked.join(queries, "query").select(
         "search_id", "query", F.pmod(F.xxhash64("search_id"), F.col("slices")).alias("slice"))
